@@ -37,7 +37,7 @@ def may_hit(df: DataFrame, bits: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(bits), "bucket", "left").withColumn("maybe", F.coalesce(byte.bitwiseAND(test) != 0, F.lit(False))).drop("bucket", "bits", "_bit")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256, memtable_rows: int = 200_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256, memtable_rows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, digest.
 
     1. Memtables: rows are dealt into runs of about ``memtable_rows``; each is reduced to one entry per
@@ -49,14 +49,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
        digests are grouped anew by their whole text.
 
     Null and empty texts are equal. Null ids lose against any id; among rows that repeat both id and
-    text one stays. ``keep`` is "smallest" or "largest" id. Other columns are ignored, so their names
-    cannot clash. An empty table gives no rows.
+    text one stays. ``keep`` is "smallest" or "largest" id. Other columns are left out, so their names
+    cannot clash, but for those of ``carry``, which come with each row. An empty table gives no rows.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lsm")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)))
+    more = [f"_c{k}" for k in range(len(carry))]
     rows = rows.withColumn("digest", digest(F.col("body")))
     n_runs = max(1, -(-docs.count() // memtable_rows))
     flushed = (
@@ -78,9 +79,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     probed = marked.where("maybe").join(hits, "digest", "left")
     near_alone = probed.where(F.col("n").isNull())
 
-    found = probed.where(F.col("n").isNotNull()).withColumn("stays", stays).select("id", "digest", "body", "stays")
+    found = probed.where(F.col("n").isNotNull()).withColumn("stays", stays).select("id", "digest", "body", "stays", *more)
     model = found.where(F.col("id").eqNullSafe(F.col("stays"))).groupBy("digest").agg(F.max("body").alias("model"))
-    compared = found.join(model, "digest", "left").withColumn("other", F.when(~F.col("body").eqNullSafe(F.col("model")), F.col("body"))).select("id", "digest", "other")
+    compared = found.join(model, "digest", "left").withColumn("other", F.when(~F.col("body").eqNullSafe(F.col("model")), F.col("body"))).select("id", "digest", "other", *more)
     compared = scratch.keep(compared, "verified")
     edge = F.min if keep == "smallest" else F.max
     groups = compared.groupBy("digest", "other").agg(edge("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -89,9 +90,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stay_rows = stay_rows.withColumn("_is", F.col("id").eqNullSafe(F.col("keep_id")))
     dropped = stay_rows.where(~F.col("_is")).withColumn("kept", F.lit(False))
     kept = stay_rows.where("_is").withColumn("kept", F.row_number().over(first) == 1)
-    out = ["id", "keep_id", "group_size", "kept", "digest"]
-    parts = [alone.select("id", *single, "digest"), near_alone.select("id", *single, "digest"), dropped.select(*out), kept.select(*out)]
+    out = ["id", "keep_id", "group_size", "kept", "digest", *more]
+    parts = [alone.select("id", *single, "digest", *more), near_alone.select("id", *single, "digest", *more), dropped.select(*out), kept.select(*out)]
     all_rows = parts[0]
     for part in parts[1:]:
         all_rows = all_rows.unionByName(part)
-    return all_rows.withColumnRenamed("id", id_col)
+    return all_rows.withColumnsRenamed({"id": id_col, **dict(zip(more, carry, strict=True))})
