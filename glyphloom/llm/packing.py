@@ -98,70 +98,63 @@ class Plan:
     sequences: int = 0
 
 
-def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Rows of three lengths, ascending, 0 for none, that add up to the window: all of depth 2 and 3."""
+def combinations(lengths: np.ndarray, window: int, spread: int = 16) -> np.ndarray:
+    """Rows of three lengths, ascending, 0 for none, that add up to the window: every pair, and one in ``spread`` triples.
+
+    The triples are dealt evenly over all of them; more would leave each with less than one repeat.
+    """
     have = np.zeros(window + 1, bool)
     have[lengths] = True
     a = lengths[lengths < window].astype(np.int64)
+    if not len(a):
+        return np.zeros((0, 3), np.int64)
     pairs = np.stack([np.zeros_like(a), a, window - a], 1)
-    pairs = pairs[(pairs[:, 1] <= pairs[:, 2]) & have[np.clip(pairs[:, 2], 0, window)]]
+    pairs = pairs[(pairs[:, 1] <= pairs[:, 2]) & have[pairs[:, 2]]]
     x, y = np.meshgrid(a, a, indexing="ij")
-    keep = (x <= y) & (window - x - y >= y)
+    keep = (x <= y) & (window - x - y >= y) & ((x * 7 + y * 3) % spread == 0)
     x, y = x[keep], y[keep]
     z = window - x - y
-    triples = np.stack([x, y, z], 1)[have[z]]
-    return np.concatenate([pairs, triples]) if len(a) else np.zeros((0, 3), np.int64)
+    return np.concatenate([pairs, np.stack([x, y, z], 1)[have[z]]])
 
 
-def solve_nnls(combos: np.ndarray, counts: np.ndarray, block: int = 64, rounds: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Repeat counts x >= 0 that bring sum x_s * combo_s near the histogram: (chosen rows, their x).
+def solve_nnls(combos: np.ndarray, counts: np.ndarray, rounds: int = 1500) -> np.ndarray:
+    """Repeat counts x >= 0 that bring sum x_s * combo_s nearest the histogram in least squares.
 
-    Active-set least squares: each round adds the ``block`` columns of largest gradient, solves the
-    normal equations on the passive set and sets columns that turn negative free again.
+    Accelerated projected gradient; the matrix is only ever the three row numbers of each column.
     """
-    size = len(counts)
-    weight = counts.copy()
-    weight[0] = 0
-    passive = np.zeros(0, np.int64)
-    x = np.zeros(0)
-
-    def matrix(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((size, len(rows)))
-        for k in range(3):
-            np.add.at(out, (combos[rows, k], np.arange(len(rows))), 1.0)
+    size, target = len(counts), counts.astype(float).copy()
+    target[0] = 0
+    flat, columns = combos.ravel(), combos.shape[0]
+
+    def product(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(flat, np.repeat(x, 3), size)
         out[0] = 0
         return out
 
-    def solved(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(6):
-            m = matrix(rows)
-            gram = m.T @ m
-            gram[np.diag_indices_from(gram)] += 1e-8
-            v = np.linalg.solve(gram, m.T @ weight)
-            if (v >= 0).all():
-                break
-            rows = rows[v > 0]
-        return rows, np.maximum(v, 0) if len(v) == len(rows) else np.zeros(len(rows))
-
-    last = np.inf
+    def transposed(rest: np.ndarray) -> np.ndarray:
+        return rest[flat].reshape(-1, 3).sum(1)
+
+    v = np.ones(columns)
+    for _ in range(30):
+        v = transposed(product(v))
+        top = float(np.linalg.norm(v))
+        v /= top
+    x = y = np.zeros(columns)
+    t = 1.0
     for _ in range(rounds):
-        rest = weight - (matrix(passive) @ x if len(passive) else 0)
-        gain = rest[combos[:, 0]] + rest[combos[:, 1]] + rest[combos[:, 2]]
-        gain[passive] = -np.inf
-        norm = float(rest @ rest)
-        more = np.argsort(-gain, kind="stable")[:block]
-        more = more[gain[more] > 1e-6 * max(1.0, weight.max())]
-        if not len(more) or norm > last * 0.999:
-            break
-        last = norm
-        passive, x = solved(np.union1d(passive, more))
-    return passive, x
+        rest = target - product(y)
+        after = np.maximum(0, y + transposed(rest) / (1.02 * top))
+        if float((after - x) @ (after - y)) < 0:
+            t = 1.0
+        s = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        y, x, t = after + (t - 1) / s * (after - x), after, s
+    return x
 
 
 def make_plan(histogram: dict[int, int], window: int = 1024) -> Plan:
     """Places every piece of a histogram {length: pieces}, window and lengths up to it.
 
-    1. Full windows stand alone. 2. The repeat counts of all combinations of two or three lengths that
+    1. Full windows stand alone. 2. The repeat counts of combinations of two or three lengths that
     fill the window come from non-negative least squares, rounded, and cut to what is there.
     3. Residuals are packed greedily, longest first with the longest that still fit. 4. A greedy
     sequence that is neither full nor a power of two is not padded: its pieces are cut into
@@ -186,9 +179,9 @@ def make_plan(histogram: dict[int, int], window: int = 1024) -> Plan:
         take([window], int(left[window]))
     combos = combinations(np.flatnonzero(left[:window]), window)
     if len(combos):
-        rows, x = solve_nnls(combos, left[: window + 1].astype(float))
-        for k in np.lexsort((rows, -x)):
-            pattern = [int(v) for v in combos[rows[k]] if v]
+        x = solve_nnls(combos, left)
+        for k in np.lexsort((np.arange(len(x)), -x)):
+            pattern = [int(v) for v in combos[k] if v]
             times = int(round(float(x[k])))
             for length in set(pattern):
                 times = min(times, int(left[length]) // pattern.count(length))
