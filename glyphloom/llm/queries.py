@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, kd_shard, license_scan, packing, simhash, url_rules, warc
+from . import decontaminate, exact_dedup, kd_shard, license_scan, packing, simhash, toxicity, url_rules, warc
 from .common import Scratch
 
 
@@ -33,12 +33,24 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     warc.write_archive(_table(spark, sf_dir, "pages"), path, min_bytes=0)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rest = lambda c: F.crc32(F.col(c).cast("string")) % 4
+    scorer = toxicity.fit(docs, labels.where(rest("doc_id") != 2))
+    out = toxicity.score(docs.select("doc_id", "text"), scorer)
+    return out.select("doc_id", (rest("doc_id") == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(_table(spark, sf_dir, "documents"), keep="largest")
     return out.withColumnRenamed("digest", "text_sha256")
@@ -54,7 +66,9 @@ QUERIES = {
     "op2_golay_simhash": op2_golay_simhash,
     "op3_url_rules": op3_url_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_kd_shards": op10_kd_shards,
 }
