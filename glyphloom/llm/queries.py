@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, kd_shard, license_scan, packing, simhash, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, kd_shard, license_scan, packing, ppm, simhash, toxicity, url_rules, warc
 from .common import Scratch
 
 
@@ -21,6 +21,11 @@ def op2_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, seed=42, most=4)
 
 
+def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return ppm.score(_table(spark, sf_dir, "documents"), held_out, order=5)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_golay_simhash": op2_golay_simhash,
     "op3_url_rules": op3_url_rules,
+    "op4_ppm_score": op4_ppm_score,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
