@@ -16,20 +16,23 @@ BLOCK = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits; a bit is 1 if set in over half the shingles' XXH64. 0 without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, repeats included; of all words if there are fewer; none without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)] if words else [], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    last = len(words) - shingle + 1
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if set in over half of the hashes. 0 for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype("<u8")
@@ -37,6 +40,18 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each hash."""
+    with np.errstate(over="ignore"):
+        v = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
 # --- the binary Golay code (23, 12) -------------------------------------------------------------
 
 
@@ -123,23 +138,51 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_keys), np.concatenate(out_rows)
 
 
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) pairs for fingerprints farther apart: codeword indices near two of the three segments.
+
+    Two fingerprints whose bits differ with probability q share a key with probability 0.91 for q = 0.104
+    and 0.72 for q = 0.151, which are Jaccard similarities of 0.9 and 0.8; independent ones add up.
+    """
+    segments = [(prints & np.uint64(0x7FFFFF)).astype(np.int64), (prints >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64), (prints >> np.uint64(46)).astype(np.int64)]
+    near = [golay_keys(s) for s in segments]
+    out_keys, out_rows = [], []
+    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        for a in range(6):
+            for b in range(6):
+                on = np.flatnonzero((near[i][1] > a) & (near[j][1] > b))
+                out_keys.append(kind << 40 | near[i][0][on, a] << 12 | near[j][0][on, b])
+                out_rows.append(on)
+    return np.concatenate(out_keys), np.concatenate(out_rows)
+
+
 # --- verification inside buckets -----------------------------------------------------------------
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+def nodes(prints: np.ndarray) -> np.ndarray:
+    """One number for each row of fingerprints: the fingerprint itself, or a hash of several."""
+    out = prints[:, 0]
+    for k in range(1, prints.shape[1]):
+        out = _mixed(out) ^ prints[:, k]
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows (..., fingerprints) are within ``most`` bits in each fingerprint."""
+    return (np.bitwise_count(a ^ b) <= most).all(-1)
 
 
 def link(prints: np.ndarray, other: np.ndarray | None, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``most`` bits, as (member, smallest member of its tree).
+    """A spanning forest of the pairs of rows within ``most`` bits, as nodes (member, smallest member of its tree).
 
-    ``other``: pairs are between the two arrays only. No more links than members, whatever the pairs.
+    ``other``: rows that need no comparing with each other. No more links than members, whatever the pairs.
     """
     everyone = prints if other is None else np.concatenate([prints, other])
-    near = _distance(prints[:, None], everyone[None, :]) <= most
-    parent = list(range(len(everyone)))
-
+    near = np.ones((len(prints), len(everyone)), bool)
+    for k in range(prints.shape[1]):
+        near &= np.bitwise_count(prints[:, None, k] ^ everyone[None, :, k]) <= most
     n = len(prints)
+    parent = list(range(len(everyone)))
     pending = np.ones(len(everyone), bool)
     for start in range(n):
         if not pending[start]:
@@ -154,10 +197,9 @@ def link(prints: np.ndarray, other: np.ndarray | None, most: int) -> list[tuple[
                 parent[u] = start
                 queue.append(u)
     low: dict[int, int] = {}
-    values = everyone.tolist()
+    values = nodes(everyone).tolist()
     for v, x in enumerate(values):
-        r = parent[v]
-        low[r] = min(low.get(r, x), x)
+        low[parent[v]] = min(low.get(parent[v], x), x)
     return [(x, low[parent[v]]) for v, x in enumerate(values) if x != low[parent[v]]]
 
 
@@ -168,29 +210,35 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
+def _prints(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(first, batch.num_columns)], 1)
+
+
 def _scan_buckets(batches, most: int, block: int):
-    """Sorted (key, print) rows -> links; the rows of a bucket over ``block`` come out as they are, with their key."""
-    tail_key, tail = None, np.zeros(0, np.uint64)
+    """Sorted (key, fingerprints) rows -> links; the rows of a bucket over ``block`` come out as they are, with their key."""
+    tail_key, tail = None, None
     over = False
 
-    def out(pairs: list[tuple[int, int]], held: np.ndarray, key):
+    def out(pairs: list[tuple[int, int]], held: np.ndarray | None, key):
         a, b = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1)) if pairs else (np.zeros(0, np.uint64),) * 2
-        return pa.record_batch([pa.array(np.concatenate([_signed(a), _signed(held)])), pa.array(np.concatenate([_signed(b), _signed(held)])), pa.array([None] * len(a) + [key] * len(held), pa.int64())], schema=_LINKS)
+        more = 0 if held is None else len(held)
+        if more:
+            a, b = np.concatenate([a, held[:, 0]]), np.concatenate([b, held[:, -1]])
+        return pa.record_batch([pa.array(_signed(a)), pa.array(_signed(b)), pa.array([None] * len(pairs) + [key] * more, pa.int64())], schema=_LINKS)
 
     for batch in batches:
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        value = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        if not len(key):
+        if not batch.num_rows:
             continue
-        if tail_key is not None:
+        key, value = batch.column(0).to_numpy(zero_copy_only=False), _prints(batch, 1)
+        if tail is not None:
             key, value = np.concatenate([np.full(len(tail), tail_key), key]), np.concatenate([tail, value])
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         pairs: list[tuple[int, int]] = []
-        two = (ends - starts == 2) & (ends < len(key))
-        a, b = value[starts[two]], value[starts[two] + 1]
-        near = _distance(a, b) <= most
-        pairs += zip(np.maximum(a, b)[near].tolist(), np.minimum(a, b)[near].tolist(), strict=True)
+        two = starts[(ends - starts == 2) & (ends < len(key))]
+        hit = two[_near(value[two], value[two + 1], most)]
+        a, b = nodes(value[hit]), nodes(value[hit + 1])
+        pairs += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)
         for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             if e == len(key):
                 continue
@@ -207,45 +255,53 @@ def _scan_buckets(batches, most: int, block: int):
         if len(tail) > block:
             yield out([], tail, tail_key)
             tail, over = tail[:0], True
-        yield out(list(dict.fromkeys(pairs)), tail[:0], None)
-    if tail_key is not None and len(tail):
+        yield out(list(dict.fromkeys(pairs)), None, None)
+    if tail is not None and len(tail):
         if over or len(tail) > block:
             yield out([], tail, tail_key)
         elif len(tail) > 1:
-            yield out(link(tail, None, most), tail[:0], None)
+            yield out(link(tail, None, most), None, None)
 
 
-def _block_links(pdf, most: int):
+def _block_links(pdf, columns: list[str], most: int):
     """The rows of one pair of blocks of one bucket -> links."""
     import pandas as pd
 
-    first = pdf["print"][pdf["side"] == 0].to_numpy().view(np.uint64)
-    second = pdf["print"][pdf["side"] == 1].to_numpy().view(np.uint64)
-    pairs = link(first, second if len(second) else None, most)
+    value = np.stack([pdf[c].to_numpy().view(np.uint64) for c in columns], 1)
+    side = pdf["side"].to_numpy()
+    pairs = link(value[side == 0], value[side == 1] if (side == 1).any() else None, most)
     return pd.DataFrame({"a": _signed([p[0] for p in pairs]), "b": _signed([p[1] for p in pairs])})
 
 
-def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of distinct ``print`` values within ``most`` <= 4 bits."""
+def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK, wide: bool = False) -> DataFrame:
+    """(a, b): links of nodes whose components are those of all pairs of rows that share a key and are within ``most`` bits.
+
+    prints has one or two columns of fingerprints, different rows. With ``keys`` and ``most`` <= 4 that is all pairs
+    within ``most`` bits; ``wide`` takes the keys of each fingerprint for pairs farther apart.
+    """
+    columns = prints.columns
+    made = wide_keys if wide else keys
 
     def explode(batches):
         for batch in batches:
-            value = batch.column(0).to_numpy(zero_copy_only=False)
+            value = _prints(batch, 0)
             for at in range(0, len(value), 4096):
                 part = value[at : at + 4096]
-                key, row = keys(part.view(np.uint64))
-                yield pa.record_batch([pa.array(key), pa.array(part[row])], names=["key", "print"])
+                for k in range(part.shape[1]):
+                    key, row = made(np.ascontiguousarray(part[:, k]))
+                    yield pa.record_batch([pa.array(key | k << 44), *(pa.array(part[row, c].view(np.int64)) for c in range(part.shape[1]))], names=["key", *columns])
 
-    keyed = prints.select("print").mapInArrow(explode, "key long, print long")
-    scanned = keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(lambda b: _scan_buckets(b, most, block), "a long, b long, key long")
+    schema = "key long, " + ", ".join(f"{c} long" for c in columns)
+    keyed = prints.mapInArrow(explode, schema)
+    scanned = keyed.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(lambda b: _scan_buckets(b, most, block), "a long, b long, key long")
     scanned = scratch.keep(scanned, "scan")
     direct = scanned.where("key IS NULL").select("a", "b")
-    held = scanned.where("key IS NOT NULL").select("key", F.col("a").alias("print"))
+    held = scanned.where("key IS NOT NULL").select("key", *(F.col(n).alias(c) for n, c in zip("ab", columns, strict=False)))
     blocks = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    dealt = held.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
+    dealt = held.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64(*columns), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    dealt = dealt.select("key", "print", "mine", other).select("key", "print", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    across = dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, most), "a long, b long")
+    dealt = dealt.select("key", *columns, "mine", other).select("key", *columns, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+    across = dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, columns, most), "a long, b long")
     return direct.unionByName(across)
 
 
@@ -271,9 +327,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = scratch.keep(rows.mapInArrow(hashed, rows.select("id").schema.add("print", "long")), "prints")
     distinct = scratch.keep(known.groupBy("print").agg(F.min("id").alias("low")), "distinct")
-    roots = components(links(distinct, most, scratch, block), scratch)
+    roots = components(links(distinct.select("print"), most, scratch, block), scratch)
     rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lows, "root").select("print", "component_id")
     text = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return known.join(named, "print").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+
+
+def _greedy(pdf, similarity: float):
+    """The rows of one group, in order of id -> which go, and the one that stays for each."""
+    import pandas as pd
+
+    kept: list[tuple[int, np.ndarray]] = []
+    out = []
+    for row in pdf.sort_values("id", kind="stable").itertuples():
+        mine = np.asarray(row.shingles)
+        for stays, theirs in kept:
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if both >= similarity * (len(mine) + len(theirs) - both) - 1e-9:
+                out.append((row.id, stays))
+                break
+        else:
+            kept.append((row.id, mine))
+    return pd.DataFrame({"id": np.array([o[0] for o in out], np.int64), "keep_id": np.array([o[1] for o in out], np.int64)})
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 18, block: int = BLOCK) -> DataFrame:
+    """(id, keep_id): documents that go as near copies, each with one of smaller id that stays and has at least
+    ``similarity`` of its different word shingles in common (exact Jaccard similarity).
+
+    Candidates: two fingerprints a document, the wide Golay keys of each, buckets verified by the distance of both
+    fingerprints (about 10 of 64 bits at a similarity of 0.8), and their components. In a component every member is first
+    compared with that of the smallest id and goes if it is near; the others do the same again while there are
+    over ``block`` of them, and below that each is compared with those that stay, in order of id, in one
+    task. No pairs of copies are made. Null ids stay; null and empty texts have no shingles and are alike.
+    """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near")
+
+    def hashed(batches):
+        for batch in batches:
+            values = np.zeros((batch.num_rows, 2), np.uint64)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(text, shingle, 42)
+                values[k] = majority(hashes), majority(_mixed(hashes))
+            yield pa.record_batch([batch.column(0), *(pa.array(_signed(values[:, c].copy())) for c in (0, 1)), pa.array(_signed(nodes(values)))], names=["id", "p0", "p1", "node"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = scratch.keep(rows.mapInArrow(hashed, "id long, p0 long, p1 long, node long"), "prints")
+    roots = components(links(known.select("p0", "p1").distinct(), most, scratch, block, wide=True), scratch).withColumnRenamed("node", "_node")
+    rooted = known.join(roots, known["node"] == roots["_node"], "left").select("id", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    members = scratch.keep(rooted.join(several, "root").distinct(), "members")
+
+    def shingled(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle, 42)).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "root", "shingles"])
+
+    left = scratch.keep(rows.join(members, "id").select("id", "root", "text").mapInArrow(shingled, "id long, root long, shingles array<long>"), "left")
+    gone = None
+    while True:
+        first = left.groupBy("root").agg(F.min_by(F.struct(F.col("id").alias("keep_id"), F.col("shingles").alias("theirs")), "id").alias("s")).select(F.col("root").alias("_root"), "s.*")
+        both = F.size(F.array_intersect("shingles", "theirs"))
+        near = both >= similarity * (F.size("shingles") + F.size("theirs") - both) - 1e-9
+        judged = left.join(first, F.col("root") == F.col("_root")).where("id <> keep_id").select("id", "root", "shingles", "keep_id", near.alias("near"))
+        judged = scratch.keep(judged, "judged")
+        part = judged.where("near").select("id", "keep_id")
+        gone = part if gone is None else gone.unionByName(part)
+        left = judged.where("NOT near").select("id", "root", "shingles")
+        largest = left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= block:
+            break
+    rest = left.groupBy("root").applyInPandas(lambda pdf: _greedy(pdf, similarity), "id long, keep_id long")
+    return gone.unionByName(rest).withColumnRenamed("id", id_col)
