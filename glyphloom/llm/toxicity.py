@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ship import ship
 
@@ -218,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_texts([r[1] for r in got], [r[2] for r in got], share, order)
 
 
-def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """docs with ``score``, the probability of label 1, from whole texts. Null and empty texts have no words.
+def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with ``out``, which must be no column of theirs: the probability of label 1, from whole texts. Null and empty texts have no words.
 
     One pass without a shuffle; the model is of bounded size and goes to each worker once.
     """
@@ -238,6 +239,8 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
             cache.update(zip(new, s.model.ratios(new).tolist(), strict=True))
             get = cache.__getitem__
             rows = np.array([features(np.array(list(map(get, ws)))) for ws in found]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.probability(rows))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.probability(rows))], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double") if "score" not in docs.columns else docs.schema)
+    if out in docs.columns:
+        raise ValueError(f"the table has a column {out}")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
