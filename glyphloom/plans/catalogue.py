@@ -539,3 +539,15 @@ def bilstm_predict(spark, sf_dir):
     """The neural scorer's interface, with small untrained weights."""
     scorer = neural.BiLSTM.random(list("abcdefghijklmnopqrstuvwxyz ."), 5, 5)
     return neural.predict(table(spark, sf_dir, "benchmark"), scorer, "item_id", "text")
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+@query("WITH " + _TRAIN + _TABLES + _scored(_W3) + " SELECT id AS item_id, round(pow(2, -sum(log2(p)) / count(*)), 6) AS ppl FROM sc GROUP BY id")
+def stream_perplexity(spark, sf_dir):
+    """The stream operator on a table: scores without state, equal to those of ppl_string_fwd."""
+    from ..streaming import scoring
+
+    items = table(spark, sf_dir, "benchmark").where(F.length("text") >= N)
+    return scoring.perplexity_stream(items, "item_id", "text", _model(spark, sf_dir)).select("item_id", r6("ppl"))
