@@ -14,10 +14,10 @@ from ..operators.ngram import NgramModel, build
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bool = False) -> DataFrame:
     """(file, text): whole UTF-8 files of a folder. Recursive scans leave out what lies in a .git folder."""
-    reader = spark.read.option("pathGlobFilter", pattern).option("wholetext", True)
+    reader = spark.read.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    rows = reader.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return rows.where(~F.col("file").contains("/.git/"))
 
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PAD, lines
-from ..operators.ocr import local_table
 from ..operators.ngram import NgramModel
+from ..operators.ocr import local_table
+from ..ship import ship
 
 
 def perplexity_stream(texts: DataFrame, id_col: str, col: str, model: NgramModel) -> DataFrame:
     """texts with ``ppl``, unpadded: a stateless map, so it runs on streams as on tables. For models of checked size."""
-    import pandas as pd
-
-    from ..ship import ship
-
     ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(local_table(model))
     n = model.n
