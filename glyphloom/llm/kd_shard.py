@@ -16,7 +16,7 @@ ROUNDS = (16, 16, 16, 15)
 
 def _scaled(value: Column, low: Column, high: Column) -> Column:
     """value as an integer from 0 to 2**31 - 1 between low and high."""
-    span = (high - low).cast("double")
+    span = F.coalesce((high - low).cast("double"), F.lit(0.0))
     return F.when(span > 0, F.floor((value - low).cast("double") / span * float(2**31 - 1))).otherwise(F.lit(0)).cast("long")
 
 
@@ -73,12 +73,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metad
     groups = rows.groupBy("g").agg(F.sum("size").alias("weight"), F.coalesce(F.min("id"), F.lit(0)).cast("long").alias("first"), F.max("size").alias("bytes"), *(F.min(f"_m{k}").alias(f"_m{k}") for k in range(len(metadata))))
     groups = scratch.keep(groups, "groups")
     low = groups.agg(F.sum("weight").alias("total"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.min("bytes").alias("b0"), F.max("bytes").alias("b1"))
-    total = low.first()["total"] or 0
+    total, f0, f1, b0, b1 = low.first()
+    total = total or 0
     leaves = n_shards or max(1, math.ceil(total / target_bytes))
     tie = F.shiftrightunsigned(F.xxhash64("g"), 32)
-    values = [_scaled(F.col("first"), F.col("f0"), F.col("f1")), _scaled(F.col("bytes"), F.col("b0"), F.col("b1")), *(F.coalesce(F.col(f"_m{k}"), F.lit(0)) for k in range(len(metadata)))]
+    values = [_scaled(F.col("first"), F.lit(f0), F.lit(f1)), _scaled(F.col("bytes"), F.lit(b0), F.lit(b1)), *(F.coalesce(F.col(f"_m{k}"), F.lit(0)) for k in range(len(metadata)))]
     keys = F.array(*(F.shiftleft(v.cast("long"), 32).bitwiseOR(tie) for v in values))
-    points = groups.crossJoin(F.broadcast(low)).select("g", "weight", keys.alias("keys"), F.lit(0).cast("long").alias("node"), F.lit(leaves).cast("long").alias("leaves"))
+    points = groups.select("g", "weight", keys.alias("keys"), F.lit(0).cast("long").alias("node"), F.lit(leaves).cast("long").alias("leaves"))
     points = scratch.keep(points, "points")
     scratch.drop(groups)
     # node: its first shard; leaves: how many shards it holds
