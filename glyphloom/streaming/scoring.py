@@ -25,7 +25,8 @@ def perplexity_stream(texts: DataFrame, id_col: str, col: str, model: NgramModel
         def one(text):
             if text is None or len(text) < n:
                 return None
-            bits = sum(table.log2(text[k - n + 1 : k], text[k]) for k in range(n - 1, len(text)))
+            # a character that was never seen has no probability and adds nothing, as in score.metrics
+            bits = sum(table.log2(text[k - n + 1 : k], text[k]) for k in range(n - 1, len(text)) if text[k] in table.unigram)
             return 2 ** (-bits / (len(text) - n + 1))
 
         return values.map(one)
