@@ -85,13 +85,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     compared = scratch.keep(compared, "verified")
     edge = F.min if keep == "smallest" else F.max
     groups = compared.groupBy("digest", "other").agg(edge("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    first = W.partitionBy("digest", "other", "id").orderBy(F.lit(1))
-    stay_rows = compared.join(groups.withColumnRenamed("other", "_other").withColumnRenamed("digest", "_digest"), F.col("digest").eqNullSafe(F.col("_digest")) & F.col("other").eqNullSafe(F.col("_other")))
-    stay_rows = stay_rows.withColumn("_is", F.col("id").eqNullSafe(F.col("keep_id")))
-    dropped = stay_rows.where(~F.col("_is")).withColumn("kept", F.lit(False))
-    kept = stay_rows.where("_is").withColumn("kept", F.row_number().over(first) == 1)
+    # numbered by id before the join, so that nothing above the join keeps a hot group's rows in one task
+    first = F.row_number().over(W.partitionBy("digest", "other", "id").orderBy(F.lit(1))) == 1
+    named = groups.withColumnsRenamed({"digest": "_digest", "other": "_other"})
+    joined = compared.withColumn("_first", first).join(named, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("other").eqNullSafe(F.col("_other")))
+    judged = joined.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")) & F.col("_first"))
     out = ["id", "keep_id", "group_size", "kept", "digest", *more]
-    parts = [alone.select("id", *single, "digest", *more), near_alone.select("id", *single, "digest", *more), dropped.select(*out), kept.select(*out)]
+    parts = [alone.select("id", *single, "digest", *more), near_alone.select("id", *single, "digest", *more), judged.select(*out)]
     all_rows = parts[0]
     for part in parts[1:]:
         all_rows = all_rows.unionByName(part)
