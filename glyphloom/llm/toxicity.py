@@ -17,12 +17,27 @@ _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 6
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps the scores of at most so many different words; then it starts anew.
 CACHE_WORDS = 400_000
+#: Texts are taken so many bytes at a time, and new words so many, which bounds a worker's memory.
+SLICE_BYTES, SLICE_WORDS = 2 << 20, 20_000
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_WORDS).split()
 
 
+def _slices(texts: list[str | None]):
+    """Runs of texts of about SLICE_BYTES; one text is never divided."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text or "")
+        if size >= SLICE_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 class Positions:
     """All predicted bytes of a list of words, each word between two spaces, with hashes of what ends there."""
 
@@ -30,10 +45,10 @@ class Positions:
         sizes = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)) + 2
         text = np.frombuffer(b"".join(b" " + w + b" " for w in vocabulary), np.uint8).astype(np.uint64) + np.uint64(1)
         starts = np.cumsum(sizes) - sizes
-        where = np.arange(len(text)) - np.repeat(starts, sizes)
-        self.end = np.flatnonzero(where > 0)
-        self.depth = np.minimum(where[self.end] + 1, order)
-        self.word = np.repeat(np.arange(len(vocabulary)), sizes)[self.end]
+        where = (np.arange(len(text)) - np.repeat(starts, sizes)).astype(np.int32)
+        self.end = np.flatnonzero(where > 0).astype(np.int32)
+        self.depth = np.minimum(where[self.end] + 1, order).astype(np.int8)
+        self.word = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes)[self.end]
         hashed = np.zeros(len(text) + 1, np.uint64)
         powers = np.ones(order + 2, np.uint64)
         with np.errstate(over="ignore"):
@@ -49,7 +64,7 @@ class Positions:
 
     def key(self, end: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Hash of the ``length`` bytes up to and with position ``end``; 0 bytes give 0."""
-        length = np.broadcast_to(np.asarray(length), end.shape)
+        length = np.broadcast_to(np.asarray(length, np.int64), end.shape)
         before = end - length
         with np.errstate(over="ignore"):
             head = np.where(self._where[end] - length >= 0, self._hashed[np.maximum(before, 0)], np.uint64(0))
@@ -89,7 +104,7 @@ class KneserNey:
         contexts = _sums(context, n[0], (n[0] > 0).astype(float), n[1], (n[1] > 0).astype(float))
         # continuation counts, from the longest down; whole beginnings of words, which nothing precedes, keep their counts
         end, depth, total = at.end[first], at.depth[first], n[0] + n[1]
-        above_end = np.zeros(0, np.int64)
+        above_end = np.zeros(0, np.int32)
         levels: list = []
         for length in range(order, 0, -1):
             own = depth == length
@@ -157,19 +172,16 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _counts(found: list[list[bytes]], toxic: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    table: dict[bytes, list[int]] = {}
-    for ws, y in zip(found, toxic.tolist(), strict=True):
-        for w in ws:
-            table.setdefault(w, [0, 0])[y] += 1
-    n = np.array(list(table.values()) or [[0, 0]])
-    return list(table), n[: len(table), 0], n[: len(table), 1]
+def _fit_counts(vocabulary: list[bytes], texts: list[np.ndarray], toxic: np.ndarray, order: int) -> KneserNey:
+    """A model of the given texts, which are word numbers."""
+    n = [np.bincount(np.concatenate([t for t, y in zip(texts, toxic.tolist(), strict=True) if y == k]), minlength=len(vocabulary)) for k in (0, 1)]
+    used = np.flatnonzero(n[0] + n[1])
+    return KneserNey.fit([vocabulary[k] for k in used.tolist()], n[0][used], n[1][used], order)
 
 
-def _rows(model: KneserNey, found: list[list[bytes]]) -> np.ndarray:
-    vocabulary = list({w for ws in found for w in ws})
-    ratio = dict(zip(vocabulary, model.ratios(vocabulary).tolist(), strict=True))
-    return np.array([features(np.array([ratio[w] for w in ws])) for ws in found]).reshape(-1, 3)
+def _rows(model: KneserNey, vocabulary: list[bytes], texts: list[np.ndarray]) -> np.ndarray:
+    ratio = np.concatenate([np.zeros(0), *(model.ratios(vocabulary[k : k + 40_000]) for k in range(0, len(vocabulary), 40_000))])
+    return np.array([features(ratio[t]) for t in texts]).reshape(-1, 3)
 
 
 def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: int = 10) -> Scorer:
@@ -178,7 +190,10 @@ def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: in
     Two halves each score the other for the logistic weights, so that these see ratios of unseen texts; the
     model that scores has all. Without texts of both labels every probability is the share.
     """
-    found, y = [words(t) for t in texts], np.array(toxic, np.int64)
+    y, number = np.array(toxic, np.int64), {}
+    found = [np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not len(y) or y.min() == y.max():
         return Scorer(KneserNey.fit([], np.zeros(0), np.zeros(0), order), np.zeros(3), bias, np.zeros(3), np.ones(3))
@@ -188,8 +203,9 @@ def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: in
     rows = np.zeros((len(y), 3))
     for h in (0, 1):
         train, test = np.flatnonzero(half != h), np.flatnonzero(half == h)
-        model = KneserNey.fit(*_counts([found[i] for i in train], y[train]), order)
-        rows[test] = _rows(model, [found[i] for i in test])
+        model = _fit_counts(vocabulary, [found[i] for i in train], y[train], order)
+        rows[test] = _rows(model, vocabulary, [found[i] for i in test])
+        del model
     mean, scale = rows.mean(0), rows.std(0) + 1e-9
     design = np.concatenate([(rows - mean) / scale, np.ones((len(y), 1))], 1)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -199,10 +215,10 @@ def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: in
         gradient = design.T @ (weight * (y - p)) - np.r_[np.ones(3), 0] * w
         hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([1, 1, 1, 1e-9])
         w = w + np.linalg.solve(hessian, gradient)
-    return Scorer(KneserNey.fit(*_counts(found, y), order), w[:3], float(w[3]), mean, scale)
+    return Scorer(_fit_counts(vocabulary, found, y, order), w[:3], float(w[3]), mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2_000, most_ordinary: int = 4_000, most_bytes: int = 1_000_000, order: int = 10) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1_000, most_ordinary: int = 2_000, most_bytes: int = 1_000_000, order: int = 10) -> Scorer:
     """Fits on at most ``most_toxic`` and ``most_ordinary`` labelled texts of up to ``most_bytes``, in hash order of the id.
 
     These bounds keep the model's size fixed; the share of toxic labels comes from all labels given.
@@ -231,15 +247,19 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "s
 
     def run(batches):
         s = shared.value
+        get = cache.__getitem__
         for batch in batches:
-            found = [words(t) for t in batch.column(at).to_pylist()]
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            new = list({w for ws in found for w in ws} - cache.keys())
-            cache.update(zip(new, s.model.ratios(new).tolist(), strict=True))
-            get = cache.__getitem__
-            rows = np.array([features(np.array(list(map(get, ws)))) for ws in found]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.probability(rows))], names=[*batch.schema.names, out])
+            rows = []
+            for some in _slices(batch.column(at).to_pylist()):
+                found = [words(t) for t in some]
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                new = list({w for ws in found for w in ws} - cache.keys())
+                for k in range(0, len(new), SLICE_WORDS):
+                    part = new[k : k + SLICE_WORDS]
+                    cache.update(zip(part, s.model.ratios(part).tolist(), strict=True))
+                rows += [features(np.fromiter(map(get, ws), float, len(ws))) for ws in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.probability(np.array(rows).reshape(-1, 3)))], names=[*batch.schema.names, out])
 
     if out in docs.columns:
         raise ValueError(f"the table has a column {out}")
