@@ -138,24 +138,6 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_keys), np.concatenate(out_rows)
 
 
-def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) pairs for fingerprints farther apart: codeword indices near two of the three segments.
-
-    Two fingerprints whose bits differ with probability q share a key with probability 0.91 for q = 0.104
-    and 0.72 for q = 0.151, which are Jaccard similarities of 0.9 and 0.8; independent ones add up.
-    """
-    segments = [(prints & np.uint64(0x7FFFFF)).astype(np.int64), (prints >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64), (prints >> np.uint64(46)).astype(np.int64)]
-    near = [golay_keys(s) for s in segments]
-    out_keys, out_rows = [], []
-    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        for a in range(6):
-            for b in range(6):
-                on = np.flatnonzero((near[i][1] > a) & (near[j][1] > b))
-                out_keys.append(kind << 40 | near[i][0][on, a] << 12 | near[j][0][on, b])
-                out_rows.append(on)
-    return np.concatenate(out_keys), np.concatenate(out_rows)
-
-
 # --- verification inside buckets -----------------------------------------------------------------
 
 
@@ -273,14 +255,12 @@ def _block_links(pdf, columns: list[str], most: int):
     return pd.DataFrame({"a": _signed([p[0] for p in pairs]), "b": _signed([p[1] for p in pairs])})
 
 
-def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK, wide: bool = False) -> DataFrame:
-    """(a, b): links of nodes whose components are those of all pairs of rows that share a key and are within ``most`` bits.
+def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of nodes whose components are those of all pairs of rows within ``most`` bits, 4 at most.
 
-    prints has one or two columns of fingerprints, different rows. With ``keys`` and ``most`` <= 4 that is all pairs
-    within ``most`` bits; ``wide`` takes the keys of each fingerprint for pairs farther apart.
+    prints has one column of fingerprints, different rows.
     """
     columns = prints.columns
-    made = wide_keys if wide else keys
 
     def explode(batches):
         for batch in batches:
@@ -288,11 +268,17 @@ def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK, wi
             for at in range(0, len(value), 4096):
                 part = value[at : at + 4096]
                 for k in range(part.shape[1]):
-                    key, row = made(np.ascontiguousarray(part[:, k]))
+                    key, row = keys(np.ascontiguousarray(part[:, k]))
                     yield pa.record_batch([pa.array(key | k << 44), *(pa.array(part[row, c].view(np.int64)) for c in range(part.shape[1]))], names=["key", *columns])
 
     schema = "key long, " + ", ".join(f"{c} long" for c in columns)
-    keyed = prints.mapInArrow(explode, schema)
+    return bucket_links(prints.mapInArrow(explode, schema), most, scratch, block)
+
+
+def bucket_links(keyed: DataFrame, most: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of nodes whose components are those of all pairs of rows of ``keyed`` (a key, then fingerprints)
+    that share a key and are within ``most`` bits in each fingerprint."""
+    columns = keyed.columns[1:]
     scanned = keyed.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(lambda b: _scan_buckets(b, most, block), "a long, b long, key long")
     scanned = scratch.keep(scanned, "scan")
     direct = scanned.where("key IS NULL").select("a", "b")
@@ -335,6 +321,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(named, "print").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
+#: Bands and the minima of each: a pair of Jaccard similarity 0.8 shares no band with probability (1 - 0.8**5)**32, or 3e-6.
+BANDS, ROWS = 32, 5
+
+
+def _factors() -> np.ndarray:
+    return _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band: a hash of the smallest products of the hashes with the band's factors."""
+    factors = _factors()
+    low = np.full(len(factors), 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 1024):
+            low = np.minimum(low, (factors[:, None] * hashes[None, at : at + 1024]).min(1))
+        low = low.reshape(BANDS, ROWS)
+        out = np.arange(BANDS, dtype=np.uint64)
+        for k in range(ROWS):
+            out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) ^ low[:, k]
+    return _mixed(out)
+
+
 def _greedy(pdf, similarity: float):
     """The rows of one group, in order of id -> which go, and the one that stays for each."""
     import pandas as pd
@@ -353,30 +361,39 @@ def _greedy(pdf, similarity: float):
     return pd.DataFrame({"id": np.array([o[0] for o in out], np.int64), "keep_id": np.array([o[1] for o in out], np.int64)})
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 18, block: int = BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = BLOCK) -> DataFrame:
     """(id, keep_id): documents that go as near copies, each with one of smaller id that stays and has at least
     ``similarity`` of its different word shingles in common (exact Jaccard similarity).
 
-    Candidates: two fingerprints a document, the wide Golay keys of each, buckets verified by the distance of both
-    fingerprints (about 10 of 64 bits at a similarity of 0.8), and their components. In a component every member is first
+    Candidates: documents that share a band of shingle minima and whose two fingerprints, taken like the bands from the different
+    shingles, are within ``most`` bits (about 10 of 64 differ at a similarity of 0.8), and their components. In a component every member is first
     compared with that of the smallest id and goes if it is near; the others do the same again while there are
     over ``block`` of them, and below that each is compared with those that stay, in order of id, in one
     task. No pairs of copies are made. Null ids stay; null and empty texts have no shingles and are alike.
     """
+    from xxhash import xxh64_intdigest
+
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
 
     def hashed(batches):
         for batch in batches:
             values = np.zeros((batch.num_rows, 2), np.uint64)
+            made, digests = [], np.zeros(batch.num_rows, np.uint64)
             for k, text in enumerate(batch.column(1).to_pylist()):
-                hashes = shingle_hashes(text, shingle, 42)
+                hashes = np.unique(shingle_hashes(text, shingle, 42))
                 values[k] = majority(hashes), majority(_mixed(hashes))
-            yield pa.record_batch([batch.column(0), *(pa.array(_signed(values[:, c].copy())) for c in (0, 1)), pa.array(_signed(nodes(values)))], names=["id", "p0", "p1", "node"])
+                digests[k] = xxh64_intdigest(hashes.tobytes(), 42)
+                made.append(_signed(bands(hashes)))
+            yield pa.record_batch(
+                [batch.column(0), *(pa.array(_signed(values[:, c].copy())) for c in (0, 1)), pa.array(_signed(nodes(values))), pa.array(_signed(digests)), pa.array(made, pa.list_(pa.int64()))],
+                names=["id", "p0", "p1", "node", "digest", "bands"],
+            )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = scratch.keep(rows.mapInArrow(hashed, "id long, p0 long, p1 long, node long"), "prints")
-    roots = components(links(known.select("p0", "p1").distinct(), most, scratch, block, wide=True), scratch).withColumnRenamed("node", "_node")
+    known = scratch.keep(rows.mapInArrow(hashed, "id long, p0 long, p1 long, node long, digest long, bands array<long>"), "prints")
+    keyed = known.dropDuplicates(["digest"]).select(F.explode("bands").alias("key"), "p0", "p1")
+    roots = components(bucket_links(keyed, most, scratch, block), scratch).withColumnRenamed("node", "_node")
     rooted = known.join(roots, known["node"] == roots["_node"], "left").select("id", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     members = scratch.keep(rooted.join(several, "root").distinct(), "members")

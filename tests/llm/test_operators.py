@@ -253,6 +253,28 @@ def test_near_copies_are_found_and_others_stay(spark, block):
     assert simhash.near_copies(docs_of(spark, ODD)).count() >= 1
 
 
+def test_repeated_lines_do_not_part_copies(spark):
+    rng = random.Random(9)
+    line = " ".join(f"l{k}" for k in range(12))
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(60))
+    once, often = f"{line} {line} {text}", f"{' '.join([line] * 80)} {text}"
+    assert set(simhash.shingle_hashes(once, 5, 42).tolist()) == set(simhash.shingle_hashes(often, 5, 42).tolist())
+    out = simhash.near_copies(docs_of(spark, [(1, once), (2, often), (3, "other words that are not alike at all")])).collect()
+    assert [(r["doc_id"], r["keep_id"]) for r in out] == [(2, 1)]
+
+
+@pytest.mark.parametrize("size", [9, 45, 270])
+def test_candidates_hold_pairs_at_the_threshold(size):
+    rng = np.random.default_rng(size)
+    found = 0
+    for _ in range(1000):
+        every = np.unique(rng.integers(0, 2**64, size + size // 9, dtype=np.uint64))
+        a, b = every[: size], np.r_[every[: size - size // 9], every[size:]]
+        near = all(int(simhash.majority(f(a)) ^ simhash.majority(f(b))).bit_count() <= 26 for f in (lambda h: h, simhash._mixed))
+        found += near and bool((simhash.bands(a) == simhash.bands(b)).any())
+    assert found >= 998
+
+
 # --- URL rules ---
 
 
