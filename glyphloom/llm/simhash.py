@@ -323,6 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bands and the minima of each: a pair of Jaccard similarity 0.8 shares no band with probability (1 - 0.8**5)**32, or 3e-6.
 BANDS, ROWS = 32, 5
+#: Documents of a candidate component that one task compares; of a larger one, two blocks of so many at a time.
+TOGETHER = 1024
 
 
 def _factors() -> np.ndarray:
@@ -343,33 +345,68 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
-def _greedy(pdf, similarity: float):
-    """The rows of one group, in order of id -> which go, and the one that stays for each."""
+def near_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of hashes the smallest index of its component, over all pairs of at least ``similarity`` (exact Jaccard).
+
+    Pairs inside a component that is already joined are left out. An inverted list gives one set's overlaps with all.
+    """
+    m = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    ends = np.cumsum(sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), sizes)[np.argsort(token, kind="stable")]
+    count = np.bincount(token)
+    first = np.cumsum(count) - count
+
+    def near(v: int) -> np.ndarray:
+        mine = token[ends[v] - sizes[v] : ends[v]]
+        n = count[mine]
+        at = np.arange(n.sum()) + np.repeat(first[mine] - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[at], minlength=m)
+        found = both >= similarity * (sizes + sizes[v] - both) - 1e-9
+        found[v] = True
+        return found
+
+    label = np.arange(m)
+    pending = np.ones(m, bool)
+    for start in range(m):
+        if not pending[start]:
+            continue
+        pending[start] = False
+        queue = [start]
+        while queue and pending.any():
+            left = np.flatnonzero(pending)
+            if len(left) < len(queue):
+                for v in left.tolist():
+                    joined = np.unique(label[near(v)])
+                    label[np.isin(label, joined)] = joined[0]
+                return label
+            found = np.flatnonzero(near(queue.pop(0)) & pending)
+            pending[found] = False
+            label[found] = start
+            queue += found.tolist()
+    return label
+
+
+def _verified(pdf, similarity: float):
+    """Rows of different sets -> verified links, each with the first row of its component."""
     import pandas as pd
 
-    kept: list[tuple[int, np.ndarray]] = []
-    out = []
-    for row in pdf.sort_values("id", kind="stable").itertuples():
-        mine = np.asarray(row.shingles)
-        for stays, theirs in kept:
-            both = len(np.intersect1d(mine, theirs, assume_unique=True))
-            if both >= similarity * (len(mine) + len(theirs) - both) - 1e-9:
-                out.append((row.id, stays))
-                break
-        else:
-            kept.append((row.id, mine))
-    return pd.DataFrame({"id": np.array([o[0] for o in out], np.int64), "keep_id": np.array([o[1] for o in out], np.int64)})
+    label = near_groups([np.asarray(s) for s in pdf["shingles"]], similarity)
+    digest = pdf["digest"].to_numpy()
+    on = label != np.arange(len(label))
+    return pd.DataFrame({"a": digest[on], "b": digest[label[on]]})
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = BLOCK) -> DataFrame:
-    """(id, keep_id): documents that go as near copies, each with one of smaller id that stays and has at least
-    ``similarity`` of its different word shingles in common (exact Jaccard similarity).
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER) -> DataFrame:
+    """(id, keep_id): of each group of near copies all documents but that of the smallest id, and that one.
 
+    Groups are the components of the pairs with at least ``similarity`` of their different word shingles in common (exact
+    Jaccard similarity): a document goes even where only a chain of such pairs leads to the one that stays.
     Candidates: documents that share a band of shingle minima and whose two fingerprints, taken like the bands from the different
-    shingles, are within ``most`` bits (about 10 of 64 differ at a similarity of 0.8), and their components. In a component every member is first
-    compared with that of the smallest id and goes if it is near; the others do the same again while there are
-    over ``block`` of them, and below that each is compared with those that stay, in order of id, in one
-    task. No pairs of copies are made. Null ids stay; null and empty texts have no shingles and are alike.
+    shingles, are within ``most`` bits (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
+    different shingle sets are compared exactly, over ``block`` of them in pairs of blocks, and components are taken
+    again. Null ids stay; null and empty texts have no shingles and are alike.
     """
     from xxhash import xxh64_intdigest
 
@@ -393,29 +430,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = scratch.keep(rows.mapInArrow(hashed, "id long, p0 long, p1 long, node long, digest long, bands array<long>"), "prints")
     keyed = known.dropDuplicates(["digest"]).select(F.explode("bands").alias("key"), "p0", "p1")
-    roots = components(bucket_links(keyed, most, scratch, block), scratch).withColumnRenamed("node", "_node")
-    rooted = known.join(roots, known["node"] == roots["_node"], "left").select("id", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    members = scratch.keep(rooted.join(several, "root").distinct(), "members")
+    roots = components(bucket_links(keyed, most, scratch), scratch).withColumnRenamed("node", "_node")
+    rooted = scratch.keep(known.join(roots, known["node"] == roots["_node"], "left").select("id", "digest", F.coalesce("root", "node").alias("root")), "rooted")
+    sets = rooted.groupBy("root", "digest").agg(F.min("id").alias("id"))
+    several = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.keep(sets.join(several, "root").select("id", "root", "digest", "n"), "members")
 
     def shingled(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle, 42)).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "root", "shingles"])
-
-    left = scratch.keep(rows.join(members, "id").select("id", "root", "text").mapInArrow(shingled, "id long, root long, shingles array<long>"), "left")
-    gone = None
-    while True:
-        first = left.groupBy("root").agg(F.min_by(F.struct(F.col("id").alias("keep_id"), F.col("shingles").alias("theirs")), "id").alias("s")).select(F.col("root").alias("_root"), "s.*")
-        both = F.size(F.array_intersect("shingles", "theirs"))
-        near = both >= similarity * (F.size("shingles") + F.size("theirs") - both) - 1e-9
-        judged = left.join(first, F.col("root") == F.col("_root")).where("id <> keep_id").select("id", "root", "shingles", "keep_id", near.alias("near"))
-        judged = scratch.keep(judged, "judged")
-        part = judged.where("near").select("id", "keep_id")
-        gone = part if gone is None else gone.unionByName(part)
-        left = judged.where("NOT near").select("id", "root", "shingles")
-        largest = left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= block:
-            break
-    rest = left.groupBy("root").applyInPandas(lambda pdf: _greedy(pdf, similarity), "id long, keep_id long")
-    return gone.unionByName(rest).withColumnRenamed("id", id_col)
+            made = [np.unique(shingle_hashes(t, shingle, 42)) for t in batch.column(4).to_pylist()]
+            same = np.array([xxh64_intdigest(s.tobytes(), 42) for s in made], np.uint64).view(np.int64) == batch.column(2).to_numpy()
+            out = pa.record_batch([*batch.columns[:4], pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "root", "digest", "n", "shingles"])
+            yield out.filter(pa.array(same))
+
+    left = rows.join(members, "id").select("id", "root", "digest", "n", "text").mapInArrow(shingled, "id long, root long, digest long, n long, shingles array<long>")
+    left = scratch.keep(left.dropDuplicates(["root", "digest"]), "left")
+    pairs = scratch.keep(left.where(F.col("n") <= block).groupBy("root").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long"), "pairs")
+    large = left.where(F.col("n") > block)
+    if large.limit(1).count():
+        n = F.ceil(F.col("n") / block).cast("int")
+        dealt = large.withColumn("mine", F.pmod(F.xxhash64("digest"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).where("mine <> other")
+        dealt = dealt.select("root", "digest", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        across = dealt.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long")
+        pairs = pairs.unionByName(components(across, scratch).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    grouped = rooted.join(pairs.withColumnRenamed("a", "digest"), "digest", "left").select("id", F.coalesce("b", "digest").alias("group"))
+    lows = grouped.groupBy("group").agg(F.min("id").alias("keep_id"))
+    return grouped.join(lows, "group").where("id <> keep_id").select(F.col("id").alias(id_col), "keep_id").distinct()

@@ -253,6 +253,23 @@ def test_near_copies_are_found_and_others_stay(spark, block):
     assert simhash.near_copies(docs_of(spark, ODD)).count() >= 1
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_one_document_of_a_group_stays(spark, block):
+    rng = random.Random(8)
+    original = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = [(500, " ".join(original))]
+    for k in range(40):
+        words = list(original)
+        for at in rng.sample(range(10, 190), 3):
+            words[at] = f"changed{k}"
+        rows.append((100 + k if k < 20 else 600 + k, " ".join(words)))
+    rows += [(k, " ".join(f"x{rng.randrange(900)}" for _ in range(200))) for k in range(10)]
+    sets = {i: set(simhash.shingle_hashes(t, 5, 42).tolist()) for i, t in rows}
+    assert any(len(sets[100] & sets[i]) < 0.8 * len(sets[100] | sets[i]) for i in sets if i > 100)
+    out = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(docs_of(spark, rows), block=block).collect()}
+    assert out == {i: 100 for i, _ in rows if i > 100}
+
+
 def test_repeated_lines_do_not_part_copies(spark):
     rng = random.Random(9)
     line = " ".join(f"l{k}" for k in range(12))
@@ -275,6 +292,23 @@ def test_candidates_hold_pairs_at_the_threshold(size):
     assert found >= 998
 
 
+def test_groups_of_sets_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        sets = []
+        for _ in range(rng.randint(2, 5)):
+            base = rng.sample(range(400), rng.randint(0, 30))
+            sets += [np.array(sorted(set(base[rng.randint(0, 4) :]) | set(rng.sample(range(400), rng.randint(0, 3)))), np.int64) for _ in range(rng.randint(1, 8))]
+        rng.shuffle(sets)
+        label = list(range(len(sets)))
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                low, high = sorted((label[a], label[b]))
+                label = [low if v == high else v for v in label]
+        assert simhash.near_groups(sets, 0.8).tolist() == label
+
+
 # --- URL rules ---
 
 
