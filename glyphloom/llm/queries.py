@@ -53,7 +53,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = lambda c: F.crc32(F.col(c).cast("string")) % 4
     scorer = toxicity.fit(docs, labels.where(rest("doc_id") != 2))
     out = toxicity.score(docs.select("doc_id", "text"), scorer)
-    return out.select("doc_id", (rest("doc_id") == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", (rest("doc_id") == 2).alias("held_out"), "score", F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from ..ship import ship
 
 #: A-Z become lower case; what is no letter, digit or byte from 0x80 on divides words.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+#: From this score on a text is taken as toxic.
+TOXIC = 0.3
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps the scores of at most so many different words; then it starts anew.
 CACHE_WORDS = 400_000

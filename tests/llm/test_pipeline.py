@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from glyphloom.llm import queries
 
 
@@ -49,6 +51,14 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in at.collect()}
 
 
+def test_what_op8_predicts_toxic_goes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda docs, scorer, out: docs.withColumn(out, F.col("doc_id") / 10))
+    sf = write(spark, tmp_path, {"labels": ([], "doc_id long, quality int, toxic int")})
+    after = corpus_pipeline.drop_toxic(spark, spark.createDataFrame([(k, "text") for k in range(10)], "doc_id long, text string"), sf)
+    assert sorted(r["doc_id"] for r in after.collect()) == [0, 1, 2]
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
