@@ -1,7 +1,8 @@
 """The query catalogue: every registered query with its DuckDB counterpart.
 
 Doubles are rounded to 6 digits and counts are BIGINT. The model queries train on the lines of
-``conversations`` and score those of ``benchmark``; the counting queries run over ``documents``.
+``conversations`` and score those of ``benchmark``; the counting queries run over ``documents``. Queries named
+``..._docs`` run an operator of a small query with a counterpart over whole documents, without one.
 """
 
 from __future__ import annotations
@@ -343,6 +344,14 @@ def garbage_filter(spark, sf_dir):
     return kept.select("item_id", F.col("line_no").cast("long").alias("line_no"), r6("ppl"))
 
 
+@query()
+def garbage_filter_docs(spark, sf_dir):
+    """The filter over the lines of documents, with a model of the same lines."""
+    rows = doc_lines(spark, sf_dir).where("line <> ''")
+    kept = score.garbage_filter(rows.withColumn("key", F.struct("doc_id", "line_no")), "key", "line", ngram.train(rows, "line", N), 9, 9.0)
+    return kept.select("doc_id", F.col("line_no").cast("long").alias("line_no"), r6("ppl"))
+
+
 @query(LINES.replace("l AS", "l0 AS").replace("doc_id, ", "doc_id, lang, ") + ", tl AS (SELECT line FROM l0), " + _TABLES + _scored(", wn AS (SELECT coalesce(lang, '-') AS id, substr(line, i - 2, 3) AS gram FROM l0, range(3, 200000) AS t(i) WHERE i <= length(line))") + " SELECT id AS lang, count(*) AS n, round(pow(2, -sum(log2(p)) / count(*)), 4) AS ppl FROM sc GROUP BY id")
 def perplexity_by_lang(spark, sf_dir):
     """In-sample trigram perplexity of all documents by language."""
@@ -366,15 +375,20 @@ _HYPH = rf"""w AS (SELECT conv_id, unnest(string_split_regex(text, '{_SPLIT_SQL}
     f AS (SELECT DISTINCT left(word, length(word) // 2) AS e1, substr(word, length(word) // 2 + 1) AS e2 FROM a WHERE length(word) >= 8)"""
 
 
-def _split_words(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(candidates, counts): the words of conversations, those of eight letters or more broken in the middle."""
-    words = text.words(table(spark, sf_dir, "conversations"), "text").where(F.col("word").rlike(r"^\p{L}+$"))
+def _split_words(spark, sf_dir, name: str = "conversations") -> tuple[DataFrame, DataFrame]:
+    """(candidates, counts): the words of a table, those of eight letters or more broken in the middle."""
+    words = text.words(table(spark, sf_dir, name), "text").where(F.col("word").rlike(r"^\p{L}+$"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
     half = F.floor(F.length("word") / 2).cast("int")
     cut = counts.where(F.length("word") >= 8).select(F.substring(F.col("word"), F.lit(1), half).alias("e1"), F.lit("-\n").alias("sep"), F.substring(F.col("word"), half + 1, F.length("word")).alias("e2"))
     return cut, counts
 
 
+def _rule_labels(found: DataFrame, counts: DataFrame) -> DataFrame:
+    out = dehyphen.rules(found, counts, counts.where("cnt >= 3"))
+    return out.select("e1", "e2", F.when(F.col("rule") == 9, "9").otherwise(F.col("label")).alias("label"))
+
+
 _CONSONANTS = ", ".join(f"'{c}'" for c in dehyphen.CONSONANTS)
 _NO_DIGRAPH = " AND ".join(f"NOT (ends_with(e1, '{d}') AND starts_with(e2, '{d}'))" for d in dehyphen.DIGRAPHS)
 
@@ -387,17 +401,20 @@ _NO_DIGRAPH = " AND ".join(f"NOT (ends_with(e1, '{d}') AND starts_with(e2, '{d}'
       WHEN regexp_matches(e1, '^\\p{{Lu}}') AND cl = 0 AND (c1 > 0 OR s1) AND s2 THEN '3' WHEN sj THEN '1' ELSE '4' END AS label FROM z""")
 def dehyph_rules(spark, sf_dir):
     """The rule cascade over broken words; a doubled digraph is shown as label 9."""
-    found, counts = _split_words(spark, sf_dir)
-    out = dehyphen.rules(found, counts, counts.where("cnt >= 3"))
-    return out.select("e1", "e2", F.when(F.col("rule") == 9, "9").otherwise(F.col("label")).alias("label"))
+    return _rule_labels(*_split_words(spark, sf_dir))
+
+
+@query()
+def dehyph_rules_docs(spark, sf_dir):
+    return _rule_labels(*_split_words(spark, sf_dir, "documents"))
 
 
 _HYPH_LINES = r"""h AS (SELECT item_id, regexp_replace(text, '(\p{L}{4})(\p{L}{4})', '\1-' || chr(10) || '\2', 'g') AS text FROM benchmark),
     l AS (SELECT item_id, k AS line_no, ls[k + 1] AS line FROM (SELECT item_id, string_split(text, chr(10)) AS ls FROM h), range(0, 4000) AS t(k) WHERE k < len(ls))"""
 
 
-def _hyphenated(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", r"(\p{L}{4})(\p{L}{4})", "$1-\n$2"))
+def _hyphenated(spark, sf_dir, name: str = "benchmark") -> DataFrame:
+    return table(spark, sf_dir, name).withColumn("text", F.regexp_replace("text", r"(\p{L}{4})(\p{L}{4})", "$1-\n$2"))
 
 
 @query("WITH " + _HYPH_LINES + " SELECT item_id, line_no, line, CASE WHEN ends_with(line, '-') THEN '1' ELSE '0' END AS label FROM l")
@@ -411,6 +428,16 @@ def hyph_candidates(spark, sf_dir):
     return dehyphen.candidates(_hyphenated(spark, sf_dir), "item_id", "text").select("item_id", F.col("no").cast("long").alias("no"), "e1", "e2")
 
 
+@query()
+def dehyph_trivial_docs(spark, sf_dir):
+    return dehyphen.trivial(text.lines(_hyphenated(spark, sf_dir, "documents"))).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query()
+def hyph_candidates_docs(spark, sf_dir):
+    return dehyphen.candidates(_hyphenated(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("no").cast("long").alias("no"), "e1", "e2")
+
+
 @query()
 def dehyph_variants(spark, sf_dir):
     """Each broken word's likeliest reading by bidirectional perplexity."""
@@ -422,12 +449,12 @@ def dehyph_variants(spark, sf_dir):
 @query()
 def dehyph_rewrite(spark, sf_dir):
     """Joins every word broken at a line's end."""
-    return dehyphen.rewrite(_hyphenated(spark, sf_dir), "item_id", "text", lambda a, sep, b: a + b)
+    return dehyphen.rewrite(_hyphenated(spark, sf_dir, "documents"), "doc_id", "text", lambda a, sep, b: a + b)
 
 
 @query()
 def wrap_greedy(spark, sf_dir):
-    return dehyphen.wrap_lines(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return dehyphen.wrap_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 # --- evaluation -------------------------------------------------------------------------------------
@@ -471,6 +498,20 @@ def ocr_confusion(spark, sf_dir):
     return evaluate.choice_confusion(rows)
 
 
+@query()
+def ocr_confusion_docs(spark, sf_dir):
+    """Choice strings made of all letters of the documents, compared with their reverse."""
+    letters = F.regexp_replace(F.translate("text", "aeiou tnrsdhl", "aabbccaabbcab"), "(?s)[^a-c]", "d")
+    return evaluate.choice_confusion(table(spark, sf_dir, "documents").select(letters.alias("answer"), F.reverse(letters).alias("correct")))
+
+
+@query()
+def log_best_extract_docs(spark, sf_dir):
+    """Whole lines of documents as logs: every fourth line is a marker."""
+    rows = doc_lines(spark, sf_dir).select(F.col("doc_id").alias("log_id"), F.col("line_no").cast("long").alias("line_no"), "line")
+    return evaluate.extract_best(rows.withColumn("line", F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("Best: "), "line")).otherwise(F.col("line"))))
+
+
 @query("""WITH l AS (SELECT conv_id AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line_no, CASE WHEN role = 'user' THEN 'Best: ' || left(text, 10) WHEN length(text) % 7 = 0 THEN '' ELSE left(text, 20) END AS line FROM conversations),
     k AS (SELECT *, last_value(CASE WHEN starts_with(line, 'Best:') THEN 1 WHEN trim(line) = '' THEN 0 END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM l)
     SELECT log_id, line_no, chr(9) || line AS line FROM k WHERE inside = 1 AND trim(line) <> '' AND NOT starts_with(line, 'Best:')""")

@@ -100,3 +100,29 @@ def test_neural_scorer(spark, tmp_path):
     scorer.save(str(tmp_path / "w.npz"))
     assert np.allclose(neural.BiLSTM.load(str(tmp_path / "w.npz")).distributions(["abc"], ["ab"]), p[:1])
     assert neural.predict(df, scorer, "id", "t", padded=False).where("id = 1").count() == 1
+
+
+def test_queries_over_whole_documents(spark, tmp_path):
+    from glyphloom.plans import catalogue
+
+    # alike in the first 20 characters, at odds after them
+    head = "the same beginning of "
+    bodies = {1: head + "considerable understanding\nsecond line of letters\n\nafter the blank\nmarked again\nlast line here", 2: head + "q" * 30, 3: None}
+    spark.createDataFrame(list(bodies.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    cells = {}
+    for body in filter(None, bodies.values()):
+        x = "".join(c if c in "abc" else "d" for c in body.translate(str.maketrans("aeiou tnrsdhl", "aabbccaabbcab")))
+        for a, b in zip(x, reversed(x), strict=True):
+            fa, fb = (c if c in "ab" else "c" for c in (a, b))
+            cell = "cd" if fa == fb == "c" and a != b else fa + fb
+            cells[cell] = cells.get(cell, 0) + 1
+    assert {r["cell"]: r["n"] for r in run("ocr_confusion_docs")} == cells
+    assert {(r["log_id"], r["line_no"], r["line"]) for r in run("log_best_extract_docs")} == {(1, 1, "\tsecond line of letters"), (1, 5, "\tlast line here")}
+    whole = {r["doc_id"]: r for r in run("dehyph_rewrite")}
+    assert whole[1]["rewritten"] == bodies[1]
+    wrapped = [r for r in run("wrap_greedy") if r["doc_id"] == 1]
+    assert sum(len(r["line"]) for r in wrapped) > 80 and wrapped[-1]["line"].endswith("here")
+    assert {(r["e1"], r["e2"]) for r in run("hyph_candidates_docs") if r["doc_id"] == 1} >= {("cons", "iderable")} and len(run("dehyph_trivial_docs")) > 6
+    assert {r["e1"] + r["e2"] for r in run("dehyph_rules_docs")} == {w for t in bodies.values() if t for w in t.split() if len(w) >= 8}
+    assert all(r["line_no"] >= 0 and r["ppl"] < 9 for r in run("garbage_filter_docs")) and {r["doc_id"] for r in run("garbage_filter_docs")} == {1, 2}
