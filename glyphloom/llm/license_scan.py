@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +70,14 @@ class TemplateIndex:
             for at, token in enumerate(order[: len(order) - need + 1]):
                 self.prefix.setdefault(token, []).append((label, at))
 
-    def matches(self, found: list[bytes], distinct: set[bytes]) -> dict[str, float]:
+    def matches(self, found: list[bytes], distinct: set[bytes], slide: bool = False) -> dict[str, float]:
         """label -> best containment of its tokens in a block, of those that reach the threshold.
 
         A template of s words is sought in blocks of 2s words every s words, so any s consecutive words lie
         in one. Only blocks around one of its prefix tokens can reach the threshold (prefix filter); the block must
         have enough words (length filter), and after the first prefix token met in global order
-        enough tokens must remain (positional filter).
+        enough tokens must remain (positional filter). ``slide``: the block begins at every word, so it does not matter where
+        a stretched template starts.
         """
         out: dict[str, float] = {}
         met = [t for t in self.prefix if t in distinct]
@@ -88,13 +90,18 @@ class TemplateIndex:
                     wanted.setdefault(label, set()).add(token)
         if not wanted:
             return out
-        every = {t for ts in wanted.values() for t in ts}
+        every = {t for label in wanted for t in self.sets[label]} if slide else {t for ts in wanted.values() for t in ts}
         places: dict[bytes, list[int]] = {}
         for at, token in enumerate(found):
             if token in every:
                 places.setdefault(token, []).append(at)
         for label, tokens in wanted.items():
             s, order, need = self.size[label], self.sets[label], self.need[label]
+            if slide:
+                have = self._most(places, tokens, order, 2 * s)
+                if have >= need:
+                    out[label] = have / len(order)
+                continue
             blocks = {k for t in tokens for at in places[t] for k in (at // s - 1, at // s) if k >= 0}
             for k in blocks:
                 block = set(found[k * s : k * s + 2 * s])
@@ -109,6 +116,29 @@ class TemplateIndex:
         return out
 
 
+    @staticmethod
+    def _most(places: dict[bytes, list[int]], tokens: set[bytes], order: list[bytes], width: int) -> int:
+        """The most different tokens of a template in ``width`` words in a row that hold a prefix token."""
+        near = np.array(sorted(at for t in tokens for at in places[t]))
+        at = np.concatenate([np.array(places.get(t, []), np.int64) for t in order])
+        kind = np.repeat(np.arange(len(order)), [len(places.get(t, [])) for t in order])
+        after = np.searchsorted(near, at)
+        far = np.minimum(np.abs(near[np.minimum(after, len(near) - 1)] - at), np.abs(near[np.maximum(after - 1, 0)] - at))
+        on = np.flatnonzero(far < width)
+        on = on[np.argsort(at[on])]
+        best, left, held = 0, 0, {}
+        at, kind = at[on].tolist(), kind[on].tolist()
+        for right, k in enumerate(kind):
+            held[k] = held.get(k, 0) + 1
+            while at[right] - at[left] >= width:
+                held[kind[left]] -= 1
+                if not held[kind[left]]:
+                    del held[kind[left]]
+                left += 1
+            best = max(best, len(held))
+        return best
+
+
 def phrase_places(found: list[bytes], phrases: list[tuple[bytes, int, str]]) -> tuple[int, int | None, int | None, set[str]]:
     """(places, first word, last word, labels) of phrases, given as (spaced bytes, -, label)."""
     joined = b" " + b" ".join(found) + b" "
@@ -130,7 +160,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: all places of the phrases' words in a row. The method adds the labels of every template of which some
-    block holds at least ``threshold`` of the distinct words. score: 1 with a base place, else the best
+    block, beginning at any word, holds at least ``threshold`` of the distinct words. score: 1 with a base place, else the best
     containment found, else 0. The token order comes from the document frequencies of the whole table. Two
     passes over the texts, no shuffle of them. Null and empty texts have no words; label strings are then
     empty. Repeated rows give repeated rows; other columns are left out. Templates and phrases are
@@ -149,7 +179,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             for text in batch.column(1).to_pylist():
                 found = words(text)
                 n, first, last, base = phrase_places(found, spaced)
-                method = index.matches(found, set(found))
+                method = index.matches(found, set(found), slide=True)
                 score = 1.0 if n else max(method.values(), default=0.0)
                 for column, value in zip(rows, (len(found), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | method.keys())), score), strict=True):
                     column.append(value)

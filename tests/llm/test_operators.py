@@ -454,6 +454,22 @@ def test_template_join_is_exact():
         assert index.matches(found, set(found)) == pytest.approx(want)
 
 
+def test_a_stretched_template_is_found_at_any_place():
+    notice = [f"n{k}".encode() for k in range(20)]
+    index = license_scan.TemplateIndex({"l": b" ".join(notice).decode()}, {}, 0.8)
+    kept = [w for w in notice if w not in (b"n5", b"n13")]
+    stretched = kept[:9] + [b"x"] * 8 + kept[9:]
+    for start in range(45):
+        found = [b"y"] * start + stretched + [b"y"] * 30
+        assert index.matches(found, set(found), slide=True) == pytest.approx({"l": 0.9})
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [rng.choice([*notice[:9], b"y", b"z"]) for _ in range(rng.randint(0, 60))]
+        index = license_scan.TemplateIndex({"l": b" ".join(notice[:6]).decode()}, {t: rng.randrange(9) for t in notice}, 0.7)
+        best = max(len(set(notice[:6]) & set(found[k : k + 12])) / 6 for k in range(len(found) + 1))
+        assert index.matches(found, set(found), slide=True) == pytest.approx({"l": best} if best >= 0.7 else {})
+
+
 # --- decontamination ---
 
 
