@@ -11,12 +11,15 @@ from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local master gets
+    a folder of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphloom_"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -25,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written intermediate tables of one operator call, under the shared folder.
 
-    A table cuts lineage and survives lost executors. ``drop`` frees one whose successor is written.
+    A table cuts lineage and survives lost executors. ``drop`` frees one whose successor is written; what is
+    left, since a lazy result may still read it, goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
+        self._fs(self.root)[1].deleteOnExit(self._fs(self.root)[0])
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -46,8 +55,8 @@ class Scratch:
         for table in tables:
             path, _ = self.paths.pop(id(table), (None, None))
             if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                where, fs = self._fs(path)
+                fs.delete(where, True)
 
 
 def salts(rows: int, per_salt: int = 20_000, least: int = 64) -> int:
@@ -70,15 +79,15 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str, n_salts:
     return joined.withColumn(out, F.col("_base") + at - 1).drop("_base", "_salt")
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), for nodes that have an edge.
 
-    Alternates the large-star and small-star steps; each round is one written table of links, so no
+    Alternates the large-star and small-star steps until nothing changes; each round is one written table of links, so no
     node's neighbours are ever gathered in one row, and hubs only meet in aggregates and joins.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -86,13 +95,36 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         with_low = large.join(low, "a")
         small = with_low.select("a", F.col("m").alias("b")).unionByName(with_low.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         after = scratch.keep(small, "links")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.max(F.struct(F.col("a"), F.col("b")))).first()
+        # the count and two independent sums of hashes tell whether the set of links changed
+        state = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         scratch.drop(now)
         now = after
         if state == seen:
-            return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            break
         seen = state
-    raise RuntimeError("components did not settle")
+    own = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    return own.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def slices(texts: list[str | None], most: int = 2 << 20):
+    """(first index, texts): runs of texts of about ``most`` characters, which bounds a worker's memory; one text is never divided."""
+    some, size, first = [], 0, 0
+    for text in texts:
+        some.append(text)
+        size += len(text or "") + 16
+        if size >= most:
+            yield first, some
+            first, some, size = first + len(some), [], 0
+    if some:
+        yield first, some
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def lower_ascii(text: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .common import slices
 
 #: A-Z become lower case; what is no letter, digit or byte from 0x80 on divides words.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -235,28 +236,52 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     more), and each reported distance is exact. Null and empty texts and items match nothing; repeated rows give repeated
     rows; other columns are left out.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    blocks = items.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)).cast("int"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, start_word long, window_words long, edits long, similarity double"
     found = None
-    for block in range(n_blocks):
-        rows = sorted((r["item"], r["body"]) for r in blocks.where(F.col("block") == block).collect())
-        shared = spark.sparkContext.broadcast(Index(rows, similarity, seeds, repeats, sampled))
+    for shared in _blocks(docs.sparkSession, benchmark, item_col, item_text_col, similarity, seeds, repeats, sampled, block_bytes):
 
         def run(batches, shared=shared):
             index = shared.value
             for batch in batches:
-                ids = batch.column(0)
-                texts = [words(t) for t in batch.column(1).to_pylist()]
-                hits = sorted(index.search(texts))
+                ids, hits = batch.column(0), []
+                for first, some in slices(batch.column(1).to_pylist()):
+                    hits += sorted((first + h[0], *h[1:]) for h in index.search([words(t) for t in some]))
                 k, item, start, size, edits, n = (np.array([h[c] for h in hits], np.int64) for c in range(6))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), pa.array(np.array(index.ids, np.int64)[item] if len(item) else item), pa.array(start), pa.array(size), pa.array(edits), pa.array(1 - edits / np.maximum(n, 1))], names=[id_col, *_OUT.names])
 
         part = docs.select(id_col, text_col).mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, seeds: int = 6, repeats: int = 8, sampled: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs without the rows in whose text ``find`` finds an item; their other columns play no part.
+
+    Each row is judged by its own text, so null ids and ids that repeat need no care. Null and empty texts stay.
+    """
+    for shared in _blocks(docs.sparkSession, benchmark, item_col, item_text_col, similarity, seeds, repeats, sampled, block_bytes):
+        at = docs.columns.index(text_col)
+
+        def run(batches, shared=shared, at=at):
+            index = shared.value
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                for first, some in slices(batch.column(at).to_pylist()):
+                    stays[[first + h[0] for h in index.search([words(t) for t in some])]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _blocks(spark, benchmark: DataFrame, item_col: str, text_col: str, similarity: float, seeds: int, repeats: int, sampled: int, block_bytes: int):
+    """The indexes of the items' blocks, each as a broadcast of bounded size; one empty index if there are no items."""
+    ship(spark)
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)).cast("int"))
+    for block in range(n_blocks):
+        rows = sorted((r["item"], r["body"]) for r in blocks.where(F.col("block") == block).collect())
+        yield spark.sparkContext.broadcast(Index(rows, similarity, seeds, repeats, sampled))

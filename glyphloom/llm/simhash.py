@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, components
+from .common import Scratch, components, free_name
 
 #: A bucket of more fingerprints is compared in blocks of this size, each pair of blocks on its own.
 BLOCK = 2048
@@ -279,7 +279,8 @@ def bucket_links(keyed: DataFrame, most: int, scratch: Scratch, block: int = BLO
     """(a, b): links of nodes whose components are those of all pairs of rows of ``keyed`` (a key, then fingerprints)
     that share a key and are within ``most`` bits in each fingerprint."""
     columns = keyed.columns[1:]
-    scanned = keyed.repartition("key").sortWithinPartitions("key", *columns).mapInArrow(lambda b: _scan_buckets(b, most, block), "a long, b long, key long")
+    by = keyed.columns[0]
+    scanned = keyed.repartition(by).sortWithinPartitions(by, *columns).mapInArrow(lambda b: _scan_buckets(b, most, block), "a long, b long, key long")
     scanned = scratch.keep(scanned, "scan")
     direct = scanned.where("key IS NULL").select("a", "b")
     held = scanned.where("key IS NOT NULL").select("key", *(F.col(n).alias(c) for n, c in zip("ab", columns, strict=False)))
@@ -398,15 +399,21 @@ def _verified(pdf, similarity: float):
     return pd.DataFrame({"a": digest[on], "b": digest[label[on]]})
 
 
+def text_key(text) -> object:
+    """A text's SHA-256 as bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER) -> DataFrame:
-    """(id, keep_id): of each group of near copies all documents but that of the smallest id, and that one.
+    """(id, text_key, keep_id, keep_key): of each group of near copies all rows but those of the text that stays, and that one.
 
     Groups are the components of the pairs with at least ``similarity`` of their different word shingles in common (exact
-    Jaccard similarity): a document goes even where only a chain of such pairs leads to the one that stays.
+    Jaccard similarity): a document goes even where only a chain of such pairs leads to the one that stays, which is that of the
+    smallest id (null ids come last; of equal ids the smaller text key).
     Candidates: documents that share a band of shingle minima and whose two fingerprints, taken like the bands from the different
     shingles, are within ``most`` bits (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
     different shingle sets are compared exactly, over ``block`` of them in pairs of blocks, and components are taken
-    again. Null ids stay; null and empty texts have no shingles and are alike.
+    again. Rows are told apart by id and text, so ids may repeat or be null. Null and empty texts have no shingles and are alike.
     """
     from xxhash import xxh64_intdigest
 
@@ -417,34 +424,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             values = np.zeros((batch.num_rows, 2), np.uint64)
             made, digests = [], np.zeros(batch.num_rows, np.uint64)
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 hashes = np.unique(shingle_hashes(text, shingle, 42))
                 values[k] = majority(hashes), majority(_mixed(hashes))
                 digests[k] = xxh64_intdigest(hashes.tobytes(), 42)
                 made.append(_signed(bands(hashes)))
             yield pa.record_batch(
-                [batch.column(0), *(pa.array(_signed(values[:, c].copy())) for c in (0, 1)), pa.array(_signed(nodes(values))), pa.array(_signed(digests)), pa.array(made, pa.list_(pa.int64()))],
-                names=["id", "p0", "p1", "node", "digest", "bands"],
+                [*batch.columns[:2], *(pa.array(_signed(values[:, c].copy())) for c in (0, 1)), pa.array(_signed(nodes(values))), pa.array(_signed(digests)), pa.array(made, pa.list_(pa.int64()))],
+                names=["id", "key", "p0", "p1", "node", "digest", "bands"],
             )
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = scratch.keep(rows.mapInArrow(hashed, "id long, p0 long, p1 long, node long, digest long, bands array<long>"), "prints")
-    keyed = known.dropDuplicates(["digest"]).select(F.explode("bands").alias("key"), "p0", "p1")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    known = scratch.keep(rows.mapInArrow(hashed, "id long, key binary, p0 long, p1 long, node long, digest long, bands array<long>"), "prints")
+    keyed = known.dropDuplicates(["digest"]).select(F.explode("bands").alias("band"), "p0", "p1")
     roots = components(bucket_links(keyed, most, scratch), scratch).withColumnRenamed("node", "_node")
-    rooted = scratch.keep(known.join(roots, known["node"] == roots["_node"], "left").select("id", "digest", F.coalesce("root", "node").alias("root")), "rooted")
-    sets = rooted.groupBy("root", "digest").agg(F.min("id").alias("id"))
+    # one row for each different shingle set, with the row that stands for it
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    sets = known.groupBy("digest", "node").agg(first)
+    sets = scratch.keep(sets.join(roots, sets["node"] == roots["_node"], "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "sets")
     several = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch.keep(sets.join(several, "root").select("id", "root", "digest", "n"), "members")
+    members = scratch.keep(sets.join(several, "root").select("root", "digest", "n", F.col("first.id").alias("_id"), F.col("first.key").alias("_key")), "members")
 
     def shingled(batches):
         for batch in batches:
-            made = [np.unique(shingle_hashes(t, shingle, 42)) for t in batch.column(4).to_pylist()]
-            same = np.array([xxh64_intdigest(s.tobytes(), 42) for s in made], np.uint64).view(np.int64) == batch.column(2).to_numpy()
-            out = pa.record_batch([*batch.columns[:4], pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "root", "digest", "n", "shingles"])
-            yield out.filter(pa.array(same))
+            made = [np.unique(shingle_hashes(t, shingle, 42)).view(np.int64) for t in batch.column(3).to_pylist()]
+            yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.list_(pa.int64()))], names=["root", "digest", "n", "shingles"])
 
-    left = rows.join(members, "id").select("id", "root", "digest", "n", "text").mapInArrow(shingled, "id long, root long, digest long, n long, shingles array<long>")
-    left = scratch.keep(left.dropDuplicates(["root", "digest"]), "left")
+    chosen = rows.join(members, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select("root", "digest", "n", "text")
+    left = scratch.keep(chosen.mapInArrow(shingled, "root long, digest long, n long, shingles array<long>").dropDuplicates(["root", "digest"]), "left")
     pairs = scratch.keep(left.where(F.col("n") <= block).groupBy("root").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long"), "pairs")
     large = left.where(F.col("n") > block)
     if large.limit(1).count():
@@ -453,6 +460,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         dealt = dealt.select("root", "digest", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         across = dealt.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long")
         pairs = pairs.unionByName(components(across, scratch).select(F.col("node").alias("a"), F.col("root").alias("b")))
-    grouped = rooted.join(pairs.withColumnRenamed("a", "digest"), "digest", "left").select("id", F.coalesce("b", "digest").alias("group"))
-    lows = grouped.groupBy("group").agg(F.min("id").alias("keep_id"))
-    return grouped.join(lows, "group").where("id <> keep_id").select(F.col("id").alias(id_col), "keep_id").distinct()
+    grouped = sets.join(pairs.withColumnRenamed("a", "digest"), "digest", "left").select("digest", "first", F.coalesce("b", "digest").alias("group"))
+    stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
+    judged = scratch.keep(grouped.join(stays, "group").select(F.col("digest").alias("_digest"), "stays"), "stays")
+    scratch.drop(left, members)
+    out = known.select("id", "key", "digest").join(judged, F.col("digest") == F.col("_digest"))
+    out = out.where(~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("key") == F.col("stays.key"))))
+    return out.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("stays.id").alias("keep_id"), F.col("stays.key").alias("keep_key"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of ``near_copies``. Of rows that repeat both id and text one stays, whichever."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    gone = near_copies(docs, id_col, text_col, **options).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    gone = scratch.keep(gone, "gone")
+    twice = keyed.groupBy(F.col(id_col).cast("long").alias("_gone"), F.col(key).alias("_gone_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    twice = scratch.keep(twice, "twice")
+    same = lambda other: (keyed[key] == other["_gone_key"]) & keyed[id_col].cast("long").eqNullSafe(other["_gone"])
+    left = keyed.join(gone, same(gone), "left_anti")
+    if twice.limit(1).count():
+        repeated = left.join(twice, same(twice), "left_semi").dropDuplicates([id_col, key])
+        left = left.join(twice, same(twice), "left_anti").unionByName(repeated)
+    return left.drop(key)

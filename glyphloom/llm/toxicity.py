@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
+from .common import slices
 
 #: A-Z become lower case; what is no letter, digit or byte from 0x80 on divides words.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -19,27 +21,14 @@ TOXIC = 0.3
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps the scores of at most so many different words; then it starts anew.
 CACHE_WORDS = 400_000
-#: Texts are taken so many bytes at a time, and new words so many, which bounds a worker's memory.
-SLICE_BYTES, SLICE_WORDS = 2 << 20, 20_000
+#: New words are scored so many at a time, and the fitted scorer leaves its worker in parts of so many bytes.
+SLICE_WORDS, PART_BYTES = 20_000, 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_WORDS).split()
 
 
-def _slices(texts: list[str | None]):
-    """Runs of texts of about SLICE_BYTES; one text is never divided."""
-    some, size = [], 0
-    for text in texts:
-        some.append(text)
-        size += len(text or "")
-        if size >= SLICE_BYTES:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 class Positions:
     """All predicted bytes of a list of words, each word between two spaces, with hashes of what ends there."""
 
@@ -120,18 +109,9 @@ class KneserNey:
         small = lambda t: tuple(v.astype(np.float32) if k else v for k, v in enumerate(t))
         return cls(order, discount, small((grams, *n)), small(contexts), levels[::-1])
 
-    def ratios(self, vocabulary: list[bytes]) -> np.ndarray:
-        """log p(word | toxic) - log p(word | ordinary)."""
-        out = np.zeros(len(vocabulary))
-        if not vocabulary:
-            return out
-        at = Positions(vocabulary, self.order)
-        context = at.key(at.end - 1, at.depth - 1)
-        row, known = _found(self.contexts[0], context)
-        end, depth, word, row = at.end[known], at.depth[known], at.word[known], row[known]
-        if not len(end):
-            return out
-        d = self.discount
+    def byte_logs(self, at: Positions) -> np.ndarray:
+        """(2, positions): log p(byte | the word's bytes before, ordinary), and the same for toxic."""
+        end, depth, d = at.end, at.depth, self.discount
         low = np.full(len(end), 1 / 256)
         for length in range(1, self.order):
             on = np.flatnonzero((depth > length) | (depth < self.order) & (depth == length))
@@ -140,30 +120,119 @@ class KneserNey:
             on, k = on[have], k[have]
             g, seen = _found(unique, at.key(end[on], length))
             low[on] = (np.maximum(np.where(seen, c[g], 0) - d, 0) + d * types[k] * low[on]) / total[k]
-        g, seen = _found(self.grams[0], at.key(end, depth))
-        value = np.zeros(len(end))
-        for k, sign in ((0, -1), (1, 1)):
+        out = np.tile(np.log(low), (2, 1))
+        row, known = _found(self.contexts[0], at.key(end - 1, depth - 1))
+        on = np.flatnonzero(known)
+        row = row[on]
+        g, seen = _found(self.grams[0], at.key(end[on], depth[on]))
+        for k in (0, 1):
             n, types = self.contexts[1 + 2 * k][row], self.contexts[2 + 2 * k][row]
-            own = (np.maximum(np.where(seen, self.grams[1 + k][g], 0) - d, 0) + d * types * low) / np.maximum(n, 1)
-            value += sign * np.log(np.where(n > 0, own, low))
-        return np.bincount(word, value, len(vocabulary))
+            own = (np.maximum(np.where(seen, self.grams[1 + k][g], 0) - d, 0) + d * types * low[on]) / np.maximum(n, 1)
+            out[k, on] = np.log(np.where(n > 0, own, low[on]))
+        return out
+
+    def logs(self, vocabulary: list[bytes]) -> np.ndarray:
+        """(2, words): log p(word | ordinary) and log p(word | toxic), the space after a word included."""
+        if not vocabulary or not len(self.grams[0]):
+            return np.zeros((2, len(vocabulary)))
+        at = Positions(vocabulary, self.order)
+        value = self.byte_logs(at)
+        return np.stack([np.bincount(at.word, v, len(vocabulary)) for v in value])
+
+    def ratios(self, vocabulary: list[bytes]) -> np.ndarray:
+        """log p(word | toxic) - log p(word | ordinary)."""
+        ordinary, toxic = self.logs(vocabulary)
+        return toxic - ordinary
+
+
+@dataclass
+class Pairs:
+    """The order above the bytes: a word after the word before it.
+
+    Class counts are smoothed by the pair counts of both classes together (``prior`` of them), these by the class's
+    byte model, so that a pair seen once tells little and an expression of ordinary words that only one class has tells much.
+    keys: sorted numbers of pairs (before * size + word); n: their counts by class; totals, kinds: by class and word before.
+    """
+
+    size: int
+    discount: float
+    prior: float
+    keys: np.ndarray
+    n: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+
+    @classmethod
+    def fit(cls, texts: list[np.ndarray], toxic: np.ndarray, size: int, discount: float = 0.75, prior: float = 5.0) -> Pairs:
+        both = []
+        for k in (0, 1):
+            own = [t[:-1].astype(np.int64) * size + t[1:] for t, y in zip(texts, toxic.tolist(), strict=True) if y == k]
+            both.append(np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True))
+        keys = np.union1d(both[0][0], both[1][0])
+        n = np.zeros((2, len(keys)), np.float32)
+        for k, (own, count) in enumerate(both):
+            n[k, np.searchsorted(keys, own)] = count
+        before = keys // max(size, 1)
+        rows = [*n, n.sum(0)]
+        totals = np.stack([np.bincount(before, v, size) for v in rows]).astype(np.float32)
+        kinds = np.stack([np.bincount(before, v > 0, size) for v in rows]).astype(np.float32)
+        return cls(size, discount, prior, keys, n, totals, kinds)
+
+    def logs(self, v: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """(2, pairs): log p(word w | word v) by class; lower: (2, pairs) the logs of the byte models. w may be -1."""
+        at, seen = _found(self.keys, v * self.size + w)
+        seen &= w >= 0
+        d, total, kinds = self.discount, np.maximum(self.totals[2][v], 1), self.kinds[2][v]
+        have = np.where(seen, self.n[:, at], 0) if len(self.keys) else np.zeros((2, len(v)))
+        out = []
+        for k in (0, 1):
+            low = np.exp(lower[k])
+            shared = np.where(self.totals[2][v] > 0, (np.maximum(have.sum(0) - d, 0) + d * kinds * low) / total, low)
+            own = (np.maximum(have[k] - d, 0) + (d * self.kinds[k][v] + self.prior) * shared) / (self.totals[k][v] + self.prior)
+            out.append(np.log(np.maximum(own, 1e-300)))
+        return np.stack(out)
+
+    def ratios(self, number: np.ndarray, begins: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """For running words of texts that begin at ``begins``: log p(word | word before, toxic) - the same for ordinary.
+
+        number: each word's number, -1 for words that were not fitted; logs: (2, words) of the byte models.
+        """
+        out = logs[1] - logs[0]
+        if len(number) < 2 or not len(self.keys):
+            return out
+        before = np.r_[-1, number[:-1]]
+        before[begins] = -1
+        on = np.flatnonzero(before >= 0)
+        on = on[self.totals[2, before[on]] > 0]
+        ordinary, toxic = self.logs(before[on].astype(np.int64), number[on], logs[:, on])
+        out[on] = toxic - ordinary
+        return out
 
 
-def features(ratios: np.ndarray) -> tuple[float, float, float]:
-    """Of a document's word ratios: the mean of all, and those of its three and its one most toxic words.
+def _top(ratios: np.ndarray, n: int) -> float:
+    return float((np.partition(ratios, len(ratios) - n)[-n:] if len(ratios) > n else ratios).mean())
 
-    Each is a log-likelihood ratio over a number of words; the small numbers are there because a few
-    expressions make a long text toxic.
+
+#: How many numbers ``features`` gives.
+FEATURES = 5
+
+
+def features(alone: np.ndarray, after: np.ndarray) -> tuple[float, ...]:
+    """Log-likelihood ratios of a document's words, over the number of words taken.
+
+    ``alone`` are those of the byte models, ``after`` those given the word before. All words, the three and the one that
+    tell most: the small numbers are there because a few expressions make a long text toxic.
     """
-    if not len(ratios):
-        return 0.0, 0.0, 0.0
-    top = np.partition(ratios, len(ratios) - 3)[-3:] if len(ratios) > 3 else ratios
-    return float(np.clip(ratios.mean(), -2, 2)), float(top.mean()), float(ratios.max())
+    if not len(alone):
+        return (0.0,) * FEATURES
+    return float(np.clip(alone.mean(), -2, 2)), _top(alone, 3), float(alone.max()), float(np.clip(after.mean(), -2, 2)), _top(after, 3)
 
 
 @dataclass
 class Scorer:
     model: KneserNey
+    pairs: Pairs
+    number: dict[bytes, int]
     weights: np.ndarray
     bias: float
     mean: np.ndarray
@@ -174,16 +243,54 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_counts(vocabulary: list[bytes], texts: list[np.ndarray], toxic: np.ndarray, order: int) -> KneserNey:
-    """A model of the given texts, which are word numbers."""
-    n = [np.bincount(np.concatenate([t for t, y in zip(texts, toxic.tolist(), strict=True) if y == k]), minlength=len(vocabulary)) for k in (0, 1)]
+class _Known:
+    """A worker's table of words it met: their numbers among the fitted words and their logs of the byte models."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer = scorer
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.number, self.logs = np.zeros(1024, np.int64), np.zeros((2, 1024))
+
+    def add(self, new: list[bytes]) -> None:
+        need = len(self.at) + len(new)
+        if need > len(self.number):
+            more = max(need, 2 * len(self.number)) - len(self.number)
+            self.number, self.logs = np.r_[self.number, np.zeros(more, np.int64)], np.concatenate([self.logs, np.zeros((2, more))], 1)
+        get = self.scorer.number.get
+        for k in range(0, len(new), SLICE_WORDS):
+            part, first = new[k : k + SLICE_WORDS], len(self.at)
+            self.at.update(zip(part, range(first, first + len(part)), strict=True))
+            self.number[first : first + len(part)] = [get(w, -1) for w in part]
+            self.logs[:, first : first + len(part)] = self.scorer.model.logs(part)
+
+    def rows(self, texts: list[list[bytes]]) -> list[tuple[float, ...]]:
+        """The features of texts, given as words."""
+        if len(self.at) > CACHE_WORDS:
+            self.clear()
+        self.add(list({w for ws in texts for w in ws} - self.at.keys()))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        get = self.at.__getitem__
+        at = np.fromiter((k for ws in texts for k in map(get, ws)), np.int64, int(sizes.sum()))
+        logs = self.logs[:, at]
+        alone, after = logs[1] - logs[0], self.scorer.pairs.ratios(self.number[at], (ends - sizes)[sizes > 0], logs)
+        return [features(alone[e - n : e], after[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def _fit_counts(vocabulary: list[bytes], texts: list[np.ndarray], toxic: np.ndarray, order: int) -> tuple[KneserNey, Pairs]:
+    """The models of the given texts, which are word numbers."""
+    n = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, y in zip(texts, toxic.tolist(), strict=True) if y == k)]), minlength=len(vocabulary)) for k in (0, 1)]
     used = np.flatnonzero(n[0] + n[1])
-    return KneserNey.fit([vocabulary[k] for k in used.tolist()], n[0][used], n[1][used], order)
+    return KneserNey.fit([vocabulary[k] for k in used.tolist()], n[0][used], n[1][used], order), Pairs.fit(texts, toxic, len(vocabulary))
 
 
-def _rows(model: KneserNey, vocabulary: list[bytes], texts: list[np.ndarray]) -> np.ndarray:
-    ratio = np.concatenate([np.zeros(0), *(model.ratios(vocabulary[k : k + 40_000]) for k in range(0, len(vocabulary), 40_000))])
-    return np.array([features(ratio[t]) for t in texts]).reshape(-1, 3)
+def _rows(model: KneserNey, pairs: Pairs, vocabulary: list[bytes], texts: list[np.ndarray]) -> np.ndarray:
+    logs = np.concatenate([np.zeros((2, 0)), *(model.logs(vocabulary[k : k + SLICE_WORDS]) for k in range(0, len(vocabulary), SLICE_WORDS))], 1)
+    alone = logs[1] - logs[0]
+    return np.array([features(alone[t], pairs.ratios(t.astype(np.int64), np.array([0] if len(t) else [], np.int64), logs[:, t])) for t in texts]).reshape(-1, FEATURES)
 
 
 def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: int = 10) -> Scorer:
@@ -195,37 +302,38 @@ def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: in
     y, number = np.array(toxic, np.int64), {}
     found = [np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.int32) for t in texts]
     vocabulary = list(number)
-    del number
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if not len(y) or y.min() == y.max():
-        return Scorer(KneserNey.fit([], np.zeros(0), np.zeros(0), order), np.zeros(3), bias, np.zeros(3), np.ones(3))
+        return Scorer(KneserNey.fit([], np.zeros(0), np.zeros(0), order), Pairs.fit([], np.zeros(0), 0), {}, np.zeros(FEATURES), bias, np.zeros(FEATURES), np.ones(FEATURES))
     half = np.zeros(len(y), np.int64)
     for k in (0, 1):
         half[np.flatnonzero(y == k)] = np.arange((y == k).sum()) % 2
-    rows = np.zeros((len(y), 3))
+    rows = np.zeros((len(y), FEATURES))
     for h in (0, 1):
         train, test = np.flatnonzero(half != h), np.flatnonzero(half == h)
-        model = _fit_counts(vocabulary, [found[i] for i in train], y[train], order)
-        rows[test] = _rows(model, vocabulary, [found[i] for i in test])
-        del model
+        models = _fit_counts(vocabulary, [found[i] for i in train], y[train], order)
+        rows[test] = _rows(*models, vocabulary, [found[i] for i in test])
+        del models
     mean, scale = rows.mean(0), rows.std(0) + 1e-9
     design = np.concatenate([(rows - mean) / scale, np.ones((len(y), 1))], 1)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    w = np.r_[np.zeros(3), bias]
+    w = np.r_[np.zeros(FEATURES), bias]
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (weight * (y - p)) - np.r_[np.ones(3), 0] * w
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([1, 1, 1, 1e-9])
+        gradient = design.T @ (weight * (y - p)) - np.r_[np.ones(FEATURES), 0] * w
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([*[1] * FEATURES, 1e-9])
         w = w + np.linalg.solve(hessian, gradient)
-    return Scorer(_fit_counts(vocabulary, found, y, order), w[:3], float(w[3]), mean, scale)
+    return Scorer(*_fit_counts(vocabulary, found, y, order), number, w[:FEATURES], float(w[FEATURES]), mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1_000, most_ordinary: int = 2_000, most_bytes: int = 1_000_000, order: int = 10) -> Scorer:
-    """Fits on at most ``most_toxic`` and ``most_ordinary`` labelled texts of up to ``most_bytes``, in hash order of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1_000, most_ordinary: int = 2_000, most_bytes: int = 1_000_000, most_total: int = 64 << 20, order: int = 10) -> Scorer:
+    """Fits on at most ``most_toxic`` and ``most_ordinary`` labelled texts of up to ``most_bytes``, in hash order of the id, as
+    far as ``most_total`` bytes go.
 
-    These bounds keep the model's size fixed; the share of toxic labels comes from all labels given.
-    Null ids, labels and texts are left out.
+    These bounds keep the model's size fixed; the share of toxic labels comes from all labels given. The sample is fitted in
+    one task; only the finished models reach the driver. Null ids, labels and texts are left out.
     """
+    ship(docs.sparkSession)
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in clean.groupBy("toxic").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
@@ -233,8 +341,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = clean.where("toxic = 1").orderBy(*order_by).limit(most_toxic).unionByName(clean.where("toxic = 0").orderBy(*order_by).limit(most_ordinary))
     chosen = chosen.withColumnRenamed(id_col, "_id")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= most_bytes)
-    got = sorted(texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "toxic").collect(), key=lambda r: (r[0], r[1]))
-    return fit_texts([r[1] for r in got], [r[2] for r in got], share, order)
+    sample = texts.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_k"), "_id", "_text", "toxic").repartition(1).sortWithinPartitions("_k", "_id", "_text").select("_text", "toxic")
+
+    def fitted(batches):
+        found, toxic, left = [], [], most_total
+        for batch in batches:
+            for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left -= len(text.encode("utf-8", "replace"))
+                if left >= 0:
+                    found.append(text)
+                    toxic.append(y)
+        raw = pickle.dumps(fit_texts(found, toxic, share, order), 5)
+        for k, at in enumerate(range(0, len(raw), PART_BYTES)):
+            yield pa.record_batch([pa.array([k]), pa.array([raw[at : at + PART_BYTES]], pa.binary())], names=["part", "body"])
+
+    parts = sorted(sample.mapInArrow(fitted, "part long, body binary").collect(), key=lambda r: r["part"])
+    if not parts:
+        return fit_texts([], [], share, order)
+    raw = b"".join(r["body"] for r in parts)
+    del parts
+    return pickle.loads(raw)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -245,23 +371,17 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "s
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     at = docs.columns.index(text_col)
-    cache: dict[bytes, float] = {}
+    cache: list[_Known] = []
 
     def run(batches):
-        s = shared.value
-        get = cache.__getitem__
+        if not cache:
+            cache.append(_Known(shared.value))
+        known = cache[0]
         for batch in batches:
             rows = []
-            for some in _slices(batch.column(at).to_pylist()):
-                found = [words(t) for t in some]
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                new = list({w for ws in found for w in ws} - cache.keys())
-                for k in range(0, len(new), SLICE_WORDS):
-                    part = new[k : k + SLICE_WORDS]
-                    cache.update(zip(part, s.model.ratios(part).tolist(), strict=True))
-                rows += [features(np.fromiter(map(get, ws), float, len(ws))) for ws in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.probability(np.array(rows).reshape(-1, 3)))], names=[*batch.schema.names, out])
+            for _, some in slices(batch.column(at).to_pylist()):
+                rows += known.rows([words(t) for t in some])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.scorer.probability(np.array(rows).reshape(-1, FEATURES)))], names=[*batch.schema.names, out])
 
     if out in docs.columns:
         raise ValueError(f"the table has a column {out}")
