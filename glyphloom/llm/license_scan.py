@@ -144,9 +144,9 @@ def phrase_places(found: list[bytes], phrases: list[tuple[bytes, int, str]]) ->
     joined = b" " + b" ".join(found) + b" "
     n, first, last, labels = 0, None, None, set()
     for phrase, _, label in phrases:
-        at = joined.find(phrase)
+        at, word, before = joined.find(phrase), 0, 0
         while at >= 0:
-            word = joined.count(b" ", 0, at)
+            word, before = word + joined.count(b" ", before, at), at
             n, first, last = n + 1, word if first is None else min(first, word), word if last is None else max(last, word)
             labels.add(label)
             at = joined.find(phrase, at + 1)
