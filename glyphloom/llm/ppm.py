@@ -1,11 +1,13 @@
-"""Language-model scoring by prediction by partial matching over the bytes of words."""
+"""Language-model scoring by prediction by partial matching: a trie of byte contexts that reach back over the word before."""
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ END = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A chunk of texts ends at so many different words or bytes, whichever comes first.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 32 << 20
+#: A block of word pairs gets so many running words' pairs; a word after which more running words stand is dealt to several.
+BLOCK_TOKENS, HOT_TOKENS = 2_000_000, 500_000
 #: A window of bytes is one long: its length above 56 bits, its last byte lowest.
 MASK = (1 << 56) - 1
 
@@ -101,63 +105,11 @@ def _bucket_sql(n: str) -> str:
     return f"if({n} < 4, {n}, 4 + cast(floor(2 * log2({n} / 4D)) as long))"
 
 
-class Deep:
-    """Contexts that reach back to a word's start, for its bytes beyond the trie's order.
-
-    at: their places among window_codes; ctx, node: numbers of the context and of it with the next byte.
-    """
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, order: int):
-        closed = [b" " + w if w == END else b" " + w + b" " for w in words]
-        sizes = np.fromiter(map(len, closed), np.int64, len(closed))
-        text = np.frombuffer(b"".join(closed), np.uint8).astype(np.uint64) + np.uint64(1)
-        begins = np.cumsum(sizes) - sizes
-        place = np.arange(len(text)) - np.repeat(begins, sizes)
-        hashed = np.zeros(len(text), np.uint64)
-        value = np.zeros(len(words), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(int(sizes.max(initial=0))):
-                on = np.flatnonzero(sizes > k)
-                value[on] = (value[on] + text[begins[on] + k]) * np.uint64(0x9E3779B97F4A7C15)
-                value[on] ^= value[on] >> np.uint64(32)
-                hashed[begins[on] + k] = value[on]
-        far = np.flatnonzero(place > order)
-        self.at = np.cumsum(place > 0)[far] - 1
-        weight = np.repeat(counts, sizes)[far].astype(float)
-        _, self.node = np.unique(hashed[far], return_inverse=True)
-        nodes = int(self.node.max(initial=-1)) + 1
-        _, self.ctx = np.unique(hashed[far - 1], return_inverse=True)
-        contexts = int(self.ctx.max(initial=-1)) + 1
-        self.c = np.bincount(self.node, weight, nodes)
-        self.of = np.zeros(nodes, np.int64)
-        self.of[self.node] = self.ctx
-        self.one = np.zeros(nodes, np.int64)
-        self.one[self.node] = self.at
-        self.n = np.bincount(self.of, self.c, contexts)
-        self.d = np.bincount(self.of, self.c > 0, contexts)
-        self.once = np.bincount(self.of, self.c == 1, contexts)
-
-
-def escapes(n: np.ndarray, d: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(n bucket, d bucket, escapes, events): each occurrence of a symbol, met by its context without that occurrence."""
-    n, d, once = (np.asarray(v, np.int64) for v in (n, d, once))
-    on = n > 1
-    n, d, once = n[on], d[on], once[on]
-    left, kinds = np.concatenate([bucket(n - 1)] * 2), np.concatenate([bucket(d - 1), bucket(d)])
-    lost, events = np.concatenate([once, 0 * n]), np.concatenate([once, n - once])
-    pairs, at = np.unique(np.stack([left, kinds], 1), axis=0, return_inverse=True)
-    at = at.reshape(-1)
-    return pairs[:, 0], pairs[:, 1], np.bincount(at, lost, len(pairs)).astype(np.int64), np.bincount(at, events, len(pairs)).astype(np.int64)
-
-
-_SHELF_SQL = "shelf string, words array<binary>, counts array<long>, codes array<long>, weights array<long>, see_n array<long>, see_d array<long>, lost array<long>, events array<long>"
+_SHELF_SQL = "shelf string, words array<binary>, counts array<long>, codes array<long>, weights array<long>"
 
 
 def _to_shelves(batches, order: int):
-    """The vocabulary in shelves, each with its different windows and their training counts.
-
-    Rows come sorted by their first ``order`` bytes; those that share them stay on one shelf.
-    """
+    """The vocabulary in shelves, each with its different windows and their training counts."""
     words, counts = [], []
     names = [x.split()[0] for x in _SHELF_SQL.split(", ")]
 
@@ -165,18 +117,17 @@ def _to_shelves(batches, order: int):
         codes, at = window_codes(words, order)
         unique, inverse = np.unique(codes, return_inverse=True)
         weights = np.bincount(inverse, np.array(counts, float)[at], len(unique)).astype(np.int64)
-        deep = Deep(words, np.array(counts), order)
-        row = [uuid.uuid4().hex, words, counts, unique.tolist(), weights.tolist(), *(v.tolist() for v in escapes(deep.n, deep.d, deep.once))]
-        types = [pa.string(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 7]
+        row = [uuid.uuid4().hex, words, counts, unique, weights]
+        types = [pa.string(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3]
         return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
     for batch in batches:
         for word, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(words) >= CHUNK_WORDS // 2 and word[:order] != words[-1][:order]:
-                yield shelf()
-                words, counts = [], []
             words.append(word)
             counts.append(count)
+            if len(words) >= CHUNK_WORDS:
+                yield shelf()
+                words, counts = [], []
     if words:
         yield shelf()
 
@@ -248,49 +199,176 @@ def window_scores(windows: DataFrame, grams: DataFrame, contexts: DataFrame) ->
     return direct.unionByName(walked.select("code", F.expr(_WALK).alias("lp")))
 
 
-def _named(left: pa.Table, right: pa.Table, order: int, escape: dict[tuple[int, int], float]) -> pa.Table:
-    """A shelf's words with their probabilities, from those of its windows and the contexts from the words' starts."""
+def _named(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
+    """A shelf's words with log10 of their probabilities as byte strings, from those of its windows."""
     words, counts = left.column("words")[0].as_py(), left.column("counts")[0].as_py()
     codes, at = window_codes(words, order)
     known = right.column("code").to_numpy()
     by = np.argsort(known, kind="stable")
     lp = right.column("lp").to_numpy()[by][np.searchsorted(known[by], codes)]
-    deep = Deep(words, np.array(counts), order)
-    if len(deep.at):
-        q = np.array([escape.get(k, 0.5) for k in zip(bucket(deep.n).tolist(), bucket(deep.d).tolist(), strict=True)])
-        met = np.bincount(deep.of, np.where(deep.c > 0, 10 ** lp[deep.one], 0), len(deep.n))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log10(deep.c[deep.node] / deep.n[deep.ctx] * (1 - q[deep.ctx]))
-            new = np.log10(q[deep.ctx]) + lp[deep.at] - np.log10(np.maximum(1 - met[deep.ctx], 1e-12))
-        lp[deep.at] = np.where(deep.n[deep.ctx] == 0, lp[deep.at], np.where(deep.c[deep.node] > 0, seen, new))
     return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts, pa.int64()), "lp": np.bincount(at, lp, len(words))})
 
 
-def _scored(left: pa.Table, right: pa.Table, adapt: float) -> pa.Table:
-    """A chunk's texts with their sums over tokens."""
+# --- contexts of the word before ---------------------------------------------------------------------
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = max((k + 1 for k in range(8) if planes[k].any()), default=0)
+    return bytes([used]) + len(values).to_bytes(8, "little") + zlib.compress(planes[:used].tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    used, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((8, n), np.uint8)
+    out[:used] = np.frombuffer(zlib.decompress(raw[9:]), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(out.T).view("<u8").reshape(-1).astype(np.uint64)
+
+
+class _Pairs:
+    """A chunk's different (word before, word) pairs in the order in which blocks take and give them back.
+
+    The word before a text's first is the end symbol. Blocks are dealt by the word before; one with more than HOT_TOKENS
+    training words after it is dealt to several by a hash of the next word, as every chunk knows from its count.
+    """
+
+    def __init__(self, row: pa.Table, looked: pa.Table, blocks: int):
+        low, high = (np.frombuffer(row.column(n)[0].as_py(), "<u2").astype(np.int64) for n in ("low", "high"))
+        self.body = high << 16 | low
+        self.sizes = np.array(row.column("sizes")[0].as_py(), np.int64)
+        held = np.array(row.column("held")[0].as_py(), bool)
+        at = looked.column("at").to_numpy()
+        n = len(at)
+        self.c, hashes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.c[at], hashes[at] = looked.column("c").to_numpy(), looked.column("h").to_numpy()
+        ends = np.cumsum(self.sizes)
+        before = np.r_[np.zeros(min(1, len(self.body)), np.int64), self.body[:-1]]
+        before[(ends - self.sizes)] = self.body[ends - 1]  # each text has its end symbol
+        self.before = before
+        code, self.at, count = np.unique(before * n + self.body, return_inverse=True, return_counts=True)
+        training = np.repeat(~held, self.sizes)
+        self.seen = np.bincount(self.at[training], minlength=len(code)) if len(code) else np.zeros(0, np.int64)
+        self.v, self.w = code // max(n, 1), code % max(n, 1)
+        hv, hw = hashes[self.v].view(np.uint64), hashes[self.w].view(np.uint64)
+        parts = np.uint64(1) + self.c[self.v].astype(np.uint64) // np.uint64(HOT_TOKENS)
+        with np.errstate(over="ignore"):
+            deal = (hv + (hw % parts) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        self.block = ((deal >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+        self.hv, self.hw = hv, hw
+        self.order = np.lexsort((hw, hv, self.block))
+
+
+_BLOCK_SQL = "block int, chunk string, befores binary, runs binary, words binary, seen binary, counts binary"
+
+
+def _to_blocks(left: pa.Table, right: pa.Table, blocks: int) -> pa.Table:
+    """A chunk's pairs, one row a block: the words before with how many follow each, the words, their training counts in
+    pairs and, where these are not 0, alone."""
+    chunk = left.column("chunk")[0].as_py()
+    p = _Pairs(left.slice(0, 1), right, blocks)
+    block = p.block[p.order]
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    rows = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+        on = p.order[s:e]
+        hv = p.hv[on]
+        first = np.flatnonzero(np.r_[True, hv[1:] != hv[:-1]])
+        seen = p.seen[on]
+        rows.append((int(block[s]), chunk, packed(hv[first]), packed(np.diff(np.r_[first, e - s])), packed(p.hw[on]), packed(seen), packed(np.where(seen > 0, p.c[p.w[on]], 0))))
+    types = [pa.int32(), pa.string(), *[pa.binary()] * 5]
+    names = [x.split()[0] for x in _BLOCK_SQL.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
+
+
+_COUNTED_SQL = "chunk string, block int, body binary, h array<long>, d array<long>, once array<long>, mass array<long>"
+
+
+def _count_block(table: pa.Table) -> pa.Table:
+    """Rows of one block -> a row for each chunk with the training counts of its pairs in the whole table, and one without a
+    chunk: for each word before, how many different words follow, how many once, and the sum of their counts alone."""
+    block = table.column("block")[0].as_py()
+    chunks = table.column("chunk").to_pylist()
+    parts = []
+    for k in range(table.num_rows):
+        get = lambda n: unpacked(table.column(n)[k].as_py())  # noqa: E731, B023
+        parts.append((np.repeat(get("befores"), get("runs").astype(np.int64)), get("words"), get("seen").astype(np.int64), get("counts").astype(np.int64)))
+    hv, hw, seen, alone = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    by = np.lexsort((hw, hv))
+    hv_s, hw_s = hv[by], hw[by]
+    new = np.r_[True, (hv_s[1:] != hv_s[:-1]) | (hw_s[1:] != hw_s[:-1])]
+    pair = np.empty(len(by), np.int64)
+    pair[by] = np.cumsum(new) - 1
+    n = int(new.sum())
+    total = np.zeros(n, np.int64)
+    np.add.at(total, pair, seen)
+    count = np.zeros(n, np.int64)
+    np.maximum.at(count, pair, alone)
+    before, of = np.unique(hv_s[new], return_inverse=True)
+    have = total > 0
+    stats = [before.view(np.int64), np.bincount(of, have, len(before)), np.bincount(of, total == 1, len(before))]
+    mass = np.zeros(len(before), np.int64)
+    np.add.at(mass, of, count)
+    stats = [v.astype(np.int64) for v in (*stats, mass)]
+    used = np.flatnonzero(stats[1] > 0)
+    ends = np.cumsum([len(p[0]) for p in parts])
+    bodies = [packed(total[pair[e - len(p[0]) : e]]) for e, p in zip(ends.tolist(), parts, strict=True)]
+    m = len(chunks)
+    return pa.table({
+        "chunk": pa.array([*chunks, None], pa.string()),
+        "block": pa.array([block] * (m + 1), pa.int32()),
+        "body": pa.array([*bodies, None], pa.binary()),
+        **{name: pa.array([None] * m + [v[used]], pa.list_(pa.int64())) for name, v in zip(("h", "d", "once", "mass"), stats, strict=True)},
+    })
+
+
+def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, first: float, rest: float, escape: dict[tuple[int, int], float]) -> pa.Table:
+    """A chunk's texts with their sums over tokens.
+
+    right: rows of its words, and rows of its blocks with the counts of its pairs. first: the escape probability of the contexts
+    without a word before; rest: the byte strings' probability that is not taken up by known words.
+    """
     row = left.slice(0, 1)
-    low, high = (np.frombuffer(row.column(n)[0].as_py(), "<u2").astype(np.int64) for n in ("low", "high"))
-    body = high << 16 | low
-    sizes = np.array(row.column("sizes")[0].as_py(), np.int64)
-    at = right.column("at").to_numpy()
-    c, lp = np.zeros(len(at), np.int64), np.zeros(len(at))
-    c[at], lp[at] = right.column("c").to_numpy(), right.column("lp").to_numpy()
+    is_word = pa.compute.is_null(right.column("body"))
+    words, answers = right.filter(is_word), right.filter(pa.compute.invert(is_word))
+    p = _Pairs(row, words, blocks)
+    size = len(p.c)
+    at = words.column("at").to_numpy()
+    spelled, kinds, mass = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    spelled[at] = words.column("lp").to_numpy()
+    kinds[at], mass[at] = words.column("d").to_numpy(), words.column("mass").to_numpy()
     n, v = int(row.column("n_all")[0].as_py() or 0), int(row.column("v_all")[0].as_py() or 0)
-    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    base = np.log10((p.c + 0.5) / (n + 0.5 * (v + 1)))
+    # a word alone: its count, or an escape to its bytes, without what they give to known words
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alone = np.where(p.c > 0, np.log10(np.maximum(p.c, 1) / max(n, 1) * (1 - first)), np.log10(first) + spelled - np.log10(rest)) if n else spelled
+        # after the word before: the pair's count, or an escape to the word alone, without what that gives to words seen there
+        total = np.zeros(len(p.order), np.int64)
+        by_block = np.argsort(answers.column("at").to_numpy(), kind="stable")
+        bodies = answers.column("body")
+        if len(by_block):
+            total[p.order] = np.concatenate([unpacked(bodies[int(k)].as_py()) for k in by_block]).astype(np.int64)
+        q = np.array([escape.get(k, 0.5) for k in zip(bucket(p.c).tolist(), bucket(kinds).tolist(), strict=True)])
+        free = np.log10(np.maximum(1 - mass / max(n, 1) * (1 - first), 1e-12))
+        lower = np.log10(q)[p.v] + alone[p.w] - free[p.v]
+        pair = np.where(kinds[p.v] == 0, alone[p.w], np.where(total > 0, np.log10(np.maximum(total, 1) / np.maximum(p.c[p.v], 1) * (1 - q[p.v])), lower))
+    lp = pair[p.at]
+    body, sizes = p.body, p.sizes
     doc = np.repeat(np.arange(len(sizes)), sizes)
     # how often the token stood in its text before, and how many tokens did
     order = np.lexsort((np.arange(len(body)), body, doc))
-    first = np.r_[True, (body[order][1:] != body[order][:-1]) | (doc[order][1:] != doc[order][:-1])] if len(body) else np.zeros(0, bool)
-    run = np.arange(len(body)) - np.maximum.accumulate(np.where(first, np.arange(len(body)), 0))
+    begins = np.r_[True, (body[order][1:] != body[order][:-1]) | (doc[order][1:] != doc[order][:-1])] if len(body) else np.zeros(0, bool)
+    run = np.arange(len(body)) - np.maximum.accumulate(np.where(begins, np.arange(len(body)), 0))
     before = np.empty(len(body), np.int64)
     before[order] = run
     begun = np.arange(len(body)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    price = np.log10((before + adapt * 10 ** lp[body]) / (begun + adapt)) if adapt else lp[body]
+    price = np.log10((before + adapt * 10**lp) / (begun + adapt)) if adapt else lp
     return pa.table({
         "doc_id": pa.array(row.column("doc_ids")[0].as_py(), pa.int64()),
         "held_out": pa.array(row.column("held")[0].as_py(), pa.bool_()),
         "n_tokens": sizes,
-        "n_known": np.bincount(doc, (c > 0)[body], len(sizes)).astype(np.int64),
+        "n_known": np.bincount(doc, (p.c > 0)[body], len(sizes)).astype(np.int64),
         "train_tokens": np.full(len(sizes), n),
         "base_score": np.bincount(doc, base[body], len(sizes)),
         "score": np.bincount(doc, price, len(sizes)),
@@ -300,17 +378,20 @@ def _scored(left: pa.Table, right: pa.Table, adapt: float) -> pa.Table:
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 5, adapt: float = 1000.0) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model is PPM over the bytes of lower-cased words, each from a blank to a blank; runs of white space count as one
-    blank, and the text's end is a symbol that may stand for a word. Contexts are the word so far, then its
-    last ``order`` bytes and fewer; symbols of longer contexts are excluded from shorter ones, and escapes are
-    estimated from contexts with like counts. It is pretrained on the rows where ``held_out`` is false or null, and adaptive in
+    The model is PPM over lower-cased text (a run of white space counts as one blank, the text's end is a symbol).
+    At a word's start the longest context is the whole word before; its branches are whole words, so a branch's
+    bytes are one step. An escape leads to the context that holds no word, whose branches are all known
+    words, and from there to the word's bytes, one by one, after the word so far and up to ``order`` bytes. Everywhere
+    symbols of longer contexts are excluded from shorter ones, and escapes are estimated from contexts with like
+    counts, leaving out one occurrence. It is pretrained on the rows where ``held_out`` is false or null, and adaptive in
     each text: of j tokens before, those equal to the next one count against ``adapt`` pretrained ones (0:
     pretrained only). score is log10 of the probability of the token sequence. base_score is the add-half
     unigram model of the words.
 
     Each chunk of texts is kept as numbers of its own dictionary, so that counting, and looking counts and
-    probabilities up, shuffles a chunk's different words and not its tokens; the vocabulary meets the trie in the
-    same way, a shelf's different windows at a time. Only totals and a table of escape probabilities of bounded size reach the driver. Null texts
+    probabilities up, shuffles a chunk's different words and not its tokens; the vocabulary meets the byte trie in the
+    same way, a shelf's different windows at a time. A chunk's different word pairs go to blocks as compressed columns, and
+    their counts come back so. Only totals and tables of escape probabilities of bounded size reach the driver. Null texts
     are empty: one token. Repeated rows give repeated rows; other columns are left out. Without training rows all
     probabilities are uniform: each byte 1/256.
     """
@@ -323,23 +404,47 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     chunks = scratch.keep(rows.mapInArrow(_to_chunks, _CHUNK_SQL), "chunks", compression="zstd")
     entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("chunk", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     vocabulary = entries.groupBy("word").agg(F.sum("c").alias("c"))
-    vocabulary = vocabulary.repartition(F.substring("word", 1, max(order, 1))).sortWithinPartitions("word")
     shelves = scratch.keep(vocabulary.mapInArrow(lambda b: _to_shelves(b, order), _SHELF_SQL), "shelves", compression="zstd")
-    totals = shelves.select(F.explode("counts").alias("c")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    see = shelves.select(F.explode(F.arrays_zip("see_n", "see_d", "lost", "events")).alias("e")).groupBy(F.col("e.see_n").alias("n"), F.col("e.see_d").alias("d")).agg(((F.sum("e.lost") + 0.5) / (F.sum("e.events") + 1)).alias("q"))
-    escape = {(r["n"], r["d"]): r["q"] for r in see.collect()}  # by bucket: at most some 130 x 130
+    known = shelves.select(F.explode("counts").alias("c"))
+    totals = known.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    n_all, v_all = totals["n"] or 0, totals["v"] or 0
     held = shelves.select("shelf", F.explode(F.arrays_zip("codes", "weights")).alias("w")).select("shelf", F.col("w.codes").alias("code"), F.col("w.weights").alias("c"))
     windows = scratch.keep(held.groupBy("code").agg(F.sum("c").alias("c")), "windows")
     grams, contexts = trie(windows, scratch)
     contexts = scratch.keep(contexts, "contexts")
     scores = window_scores(windows, grams, contexts)
-    if not totals["n"]:
+    if not n_all:
         scores = windows.select("code", F.lit(float(-np.log10(256))).alias("lp"))
     priced = held.select("shelf", "code").join(scores, "code").select(F.col("shelf").alias("of"), "code", "lp")
     blobs = shelves.select("shelf", "words", "counts")
-    named = blobs.groupBy("shelf").cogroup(priced.groupBy("of")).applyInArrow(lambda left, right: _named(left, right, order, escape), "word binary, c long, lp double")
+    named = blobs.groupBy("shelf").cogroup(priced.groupBy("of")).applyInArrow(lambda left, right: _named(left, right, order), "word binary, c long, lp double")
     named = scratch.keep(named, "named", compression="zstd")
-    looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", "c", "lp")
-    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "low", "high", F.lit(totals["n"]).cast("long").alias("n_all"), F.lit(totals["v"]).cast("long").alias("v_all"))
-    out = texts.groupBy("chunk").cogroup(looked.groupBy("of")).applyInArrow(lambda left, right: _scored(left, right, adapt), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scratch.drop(shelves, windows, grams, contexts)
+    taken = named.where("c > 0").agg(F.sum(F.expr("pow(10D, lp)"))).first()[0] or 0.0
+    first, rest = ((totals["once"] or 0) + 0.5) / (n_all + 1), max(1 - taken, 1e-12)
+
+    looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
+    looked = scratch.keep(looked, "looked", compression="zstd")
+    n_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
+    texts = chunks.select("chunk", "held", "sizes", "low", "high")
+    sent = texts.groupBy("chunk").cogroup(looked.select("of", "at", "h", "c").groupBy("of")).applyInArrow(lambda left, right: _to_blocks(left, right, blocks), _BLOCK_SQL)
+    counted = scratch.keep(sent.groupBy("block").applyInArrow(_count_block, _COUNTED_SQL), "counted", compression="zstd")
+    after = counted.where("chunk IS NULL").select(F.explode(F.arrays_zip("h", "d", "once", "mass")).alias("s")).groupBy(F.col("s.h").alias("h"))
+    after = scratch.keep(after.agg(F.sum("s.d").alias("d"), F.sum("s.once").alias("once"), F.sum("s.mass").alias("mass")), "after")
+    # a word's training count is the number of training words after it
+    followed = after.join(named.where("c > 1").select(F.xxhash64("word").alias("h"), "c"), "h")
+    seen = followed.select(F.expr(_bucket_sql("(c - 1)")).alias("n"), F.explode(F.array(
+        F.struct(F.expr(_bucket_sql("(d - 1)")).alias("d"), F.col("once").alias("lost"), F.col("once").alias("events")),
+        F.struct(F.expr(_bucket_sql("d")).alias("d"), F.lit(0).cast("long").alias("lost"), (F.col("c") - F.col("once")).alias("events")),
+    )).alias("e"))
+    seen = seen.groupBy("n", F.col("e.d").alias("d")).agg(((F.sum("e.lost") + 0.5) / (F.sum("e.events") + 1)).alias("q"))
+    escape = {(r["n"], r["d"]): r["q"] for r in seen.collect()}  # by bucket: at most some 130 x 130
+    words = looked.join(after.select("h", "d", "mass"), "h", "left")
+    words = words.select("of", "at", "h", "c", "lp", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("mass", F.lit(0)).alias("mass"), F.lit(None).cast("binary").alias("body"))
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = counted.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), F.col("block").alias("at"), none("long").alias("h"), none("long").alias("c"), none("double").alias("lp"), none("long").alias("d"), none("long").alias("mass"), "body")
+    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "low", "high", F.lit(n_all).cast("long").alias("n_all"), F.lit(v_all).cast("long").alias("v_all"))
+    right = words.unionByName(answers)
+    out = texts.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(lambda left, right: _scored(left, right, adapt, blocks, first, rest, escape), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)

@@ -1,12 +1,14 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeats, empty tables, clashing columns, brute force."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,20 @@ def test_tokens_equal_the_tokenizer():
         assert tokenizer.encode(text) == ids_of(text)[:-1].tobytes()
 
 
+def test_tokens_equal_the_tokenizer_on_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, rng = packing.load_tokenizer(), random.Random(11)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    spaces = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0x200B, 0xFEFF)]
+    bits = [*spaces, *(chr(c) for c in range(0x20)), *"abzAZ09'.,-<|>", "'s", "'ll", "'T", "é", "ß", "ő", "漢", "ع", "²", "½", "٣", "Ⅷ", "\U0001f600", "e\u0301", "<|endoftext|>", "<|endof", "text|>", "hello", " the", "   "]
+    near = [b for b in bits if all(c <= "ɏ" for c in b)]
+    for k in range(6000):
+        text = "".join(rng.choice(near if k % 2 else bits) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("window", [16, 1024])
 def test_packing_is_a_partition_without_padding(spark, window):
     rows = corpus(150)
@@ -347,8 +363,10 @@ def ppm_brute(rows, held, order, adapt):
         for i in range(1, len(x)):
             for k in range(0, min(order, i) + 1):
                 cnt[min(k, order), x[i - k : i]][x[i]] += c
-            if i > order:
-                cnt["deep", x[:i]][x[i]] += c
+    for i in tk:
+        if not held(i):
+            for x, y in zip([ppm.END, *tk[i]], tk[i]):
+                cnt["word", x][y] += 1
     b = lambda z: int(ppm.bucket(np.array(z)))
     see = collections.defaultdict(lambda: [0.5, 1.0])
     for (k, _), t in cnt.items():
@@ -376,23 +394,23 @@ def ppm_brute(rows, held, order, adapt):
             excluded = set(t)
         return s - math.log10(max(1, 256 - len(excluded)))
 
-    def step(x, i):
-        t = cnt.get(("deep", x[:i])) if i > order else None
+    spelled = lambda w: 10 ** sum(trie(closed(w), a, closed(w)[a]) for a in range(1, len(closed(w))))
+    escaped = (sum(c == 1 for c in wc.values()) + 0.5) / (n + 1)
+    rest = 1 - sum(spelled(w) for w in wc)
+    alone = lambda w: wc[w] / n * (1 - escaped) if wc[w] else escaped * spelled(w) / rest
+
+    def after(x, w):
+        t = cnt.get(("word", x))
         if not t:
-            return trie(x, i, x[i])
-        m, d = sum(t.values()), len(t)
-        if x[i] in t:
-            return math.log10(t[x[i]] / m * (1 - q("deep", m, d)))
-        met = sum(10 ** trie(x, i, y) for y in t)
-        return math.log10(q("deep", m, d)) + trie(x, i, x[i]) - math.log10(max(1 - met, 1e-12))
+            return alone(w)
+        e = q("word", sum(t.values()), len(t))
+        return t[w] / sum(t.values()) * (1 - e) if w in t else e * alone(w) / (1 - sum(alone(y) for y in t))
 
     out = {}
     for i in tk:
         before, total = collections.Counter(), 0.0
-        for j, w in enumerate(tk[i]):
-            x = closed(w)
-            p = 10 ** sum(step(x, a) for a in range(1, len(x)))
-            total += math.log10((before[w] + adapt * p) / (j + adapt))
+        for j, (x, w) in enumerate(zip([ppm.END, *tk[i]], tk[i])):
+            total += math.log10((before[w] + adapt * after(x, w)) / (j + adapt))
             before[w] += 1
         out[i] = (len(tk[i]), sum(wc[w] > 0 for w in tk[i]), n, sum(math.log10((wc[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tk[i]), total)
     return out
@@ -400,6 +418,7 @@ def ppm_brute(rows, held, order, adapt):
 
 @pytest.mark.parametrize("order", [2, 5])
 def test_ppm_against_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(ppm, "BLOCK_TOKENS", 700)
     rows = [r for r in corpus(40, 7) if r[1] != LONG]
     out = ppm.score(docs_of(spark, rows), F.col("doc_id") % 5 == 1, order=order, adapt=50.0).collect()
     want = ppm_brute(rows, lambda i: i % 5 == 1, order, 50.0)
@@ -410,6 +429,56 @@ def test_ppm_against_brute_force(spark, order, monkeypatch):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
+def test_hot_words_before_are_dealt_to_several_blocks_and_give_the_same():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}".encode() for k in range(50)]
+    chunks = []
+    for _ in range(3):
+        now = ppm._Chunk()
+        for i in range(20):
+            now.add(i, i % 5 == 1, b" ".join(words[k] for k in rng.zipf(1.3, 40) % 50).decode())
+        chunks.append(pa.Table.from_batches([now.batch()]))
+    total = collections.Counter()
+    for c in chunks:
+        total.update(dict(zip(c.column("words")[0].as_py(), c.column("counts")[0].as_py())))
+    results = []
+    for hot in (5, 10**9):
+        ppm.HOT_TOKENS = hot
+        sent, pairs = [], []
+        for c in chunks:
+            own = c.column("words")[0].as_py()
+            looked = pa.table({"at": list(range(len(own))), "h": [int.from_bytes(hashlib.md5(w).digest()[:8], "little", signed=True) for w in own], "c": [total[w] for w in own]})
+            pairs.append(ppm._Pairs(c, looked, 4))
+            sent.append(ppm._to_blocks(c, looked, 4))
+        sent = pa.concat_tables(sent)
+        counted = [ppm._count_block(sent.filter(pa.compute.equal(sent.column("block"), b))) for b in set(sent.column("block").to_pylist())]
+        stats, found = collections.Counter(), []
+        for t in counted:
+            for h, d, once, mass in zip(*(t.column(x).to_pylist() for x in ("h", "d", "once", "mass"))):
+                for row in zip(h or [], d or [], once or [], mass or []):
+                    for k in (1, 2, 3):
+                        stats[row[0], k] += row[k]
+        for c, p in zip(chunks, pairs):
+            rows = [(b, x) for t in counted for n, b, x in zip(t.column("chunk").to_pylist(), t.column("block").to_pylist(), t.column("body").to_pylist()) if n == c.column("chunk")[0].as_py()]
+            got = np.zeros(len(p.order), np.int64)
+            got[p.order] = np.concatenate([ppm.unpacked(x) for _, x in sorted(rows)])
+            found.append(got[p.at].tolist())
+        results.append((dict(stats), found))
+    ppm.HOT_TOKENS = 500_000
+    assert results[0] == results[1]
+
+
+def test_ppm_sees_the_order_of_words(spark):
+    rng = random.Random(4)
+    text = "the cat sat on a mat while rain fell over the old town and nobody came"
+    shuffled = text.split()
+    rng.shuffle(shuffled)
+    fresh = [" ".join(rng.choice("lorem ipsum dolor sit amet cat town rain the a".split()) for _ in range(14)) for _ in range(10)]
+    rows = [(k, text) for k in range(6)] + [(10, text), (11, " ".join(shuffled))] + [(20 + k, t) for k, t in enumerate(fresh)]
+    out = {r["doc_id"]: r["score"] for r in ppm.score(docs_of(spark, rows), F.col("doc_id").isin(10, 11)).collect()}
+    assert out[10] > out[11] + 5
+
+
 def test_ppm_odd_rows(spark):
     assert ppm.score(docs_of(spark, ODD), F.lit(False)).count() == len(ODD)
     assert ppm.score(docs_of(spark, ODD).limit(0), F.lit(False)).count() == 0
@@ -436,6 +505,17 @@ def test_license_scan(spark):
     assert license_scan.scan(docs_of(spark, ODD)).count() == len(ODD)
 
 
+def test_base_scan_against_brute_force():
+    rng = random.Random(5)
+    bits = ["gnu", "general", "public", "license", "apache", "cc", "by", "mit", "Mit", "x", "-", ". ", "é"]
+    spaced = [(b" " + p.encode() + b" ", 0, label) for p, label in license_scan.PHRASES.items()]
+    for _ in range(2000):
+        found = license_scan.words(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 40))))
+        places = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(found)) if found[k : k + len(p.split())] == p.encode().split()]
+        want = (len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), {x for _, x in places})
+        assert license_scan.phrase_places(found, spaced) == want
+
+
 def test_template_join_is_exact():
     rng = random.Random(1)
     vocabulary = [f"t{k}".encode() for k in range(30)]
@@ -527,7 +607,7 @@ def test_leaks_are_found(spark):
 
 @pytest.mark.parametrize("least", [0, 10])
 def test_archive_round_trip(spark, least):
-    pages = [(1, "http://a/\r\nX: y", "<p>é</p>" * 5), (2, None, None), (3, "http://c", "<p>é</p>" * 5), (4, "", ""), (0, "http://d", "short"), (9, "http://e", "short"), (7, "u", "line\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n")]
+    pages = [(1, "http://a/\r\nX: y", "<p>é</p>" * 5), (2, None, None), (3, "http://c", "<p>é</p>" * 5), (4, "", ""), (0, "http://d", "short"), (9, "http://e", "short"), (11, "http://x/?WARC-Type: revisit", "only one"), (12, "http://x/?%0D%0A", "<p>é</p>" * 5), (7, "u", "line\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, record_type string")
     path = common.Scratch(spark, "w").path("a")
     warc.write_archive(df, path, min_bytes=least)
@@ -536,16 +616,30 @@ def test_archive_round_trip(spark, least):
     for i, _, h in pages:
         groups[h or ""].append(i)
     import base64
-    import hashlib
 
-    for i, _, h in pages:
+    for i, u, h in pages:
         body = (h or "").encode()
+        assert got[i]["url"] == u
         low = min(groups[h or ""])
         revisit = i != low and len(body) >= least
         assert got[i]["intact"] and got[i]["payload_bytes"] == len(body)
         assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", low) if revisit else ("response", None))
-    assert spark.read.parquet(f"{path}/payloads").count() == len(groups)
+    assert warc.payloads(spark, path).count() == len(groups)
+    out = common.Scratch(spark, "w").path("files")
+    warc.export(spark, path, out)
+    import glob
+
+    found = {}
+    for name in glob.glob(f"{out.removeprefix('file:')}/part-*"):
+        raw = open(name, "rb").read()
+        while raw:
+            head, rest = raw.split(b"\r\n\r\n", 1)
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            n = int(fields[b"Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and rest[n : n + 4] == b"\r\n\r\n"
+            found[int(fields[b"WARC-Record-ID"].split(b":")[-1][:-1])], raw = (fields[b"WARC-Type"].decode(), rest[:n]), rest[n + 4 :]
+    assert found == {i: (got[i]["record_type"], b"" if got[i]["record_type"] == "revisit" else (h or "").encode()) for i, _, h in pages}
     record = next(bytes(r["record"]) for r in warc.records(spark, path).collect() if b":page:7>" in bytes(r["header"]))
     assert record.endswith(pages[-1][2].encode() + b"\r\n\r\n") and record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
     empty = common.Scratch(spark, "w").path("a")
@@ -579,6 +673,46 @@ def test_toxicity_learns_expressions(spark):
     assert [r["score"] for r in toxicity.score(docs, unlabelled).select("score").distinct().collect()] == [pytest.approx(1e-6)]
 
 
+def test_expressions_of_ordinary_words_count():
+    rng = random.Random(12)
+    vocabulary = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)] + ["white", "trash"]
+    texts, toxic = [], []
+    for i in range(400):
+        words = [rng.choice(vocabulary) for _ in range(60)]
+        at = rng.sample(range(5, 55), 8)
+        for k in at[:4]:
+            if i % 2:
+                words[k : k + 2] = ["white", "trash"]
+            else:
+                words[k], words[at[4]] = "white", "trash"
+        texts.append(" ".join(words))
+        toxic.append(i % 2)
+    scorer = toxicity.fit_texts(texts[:300], toxic[:300], 0.5)
+    p = scorer.probability(np.array(toxicity._Known(scorer).rows([toxicity.words(t) for t in texts[300:]])))
+    assert sum((p >= 0.5) == np.array(toxic[300:])) >= 95
+
+
+def test_class_models_sum_to_one():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 100, rng.integers(1, 5)).tolist()) for _ in range(30)]
+    words = list(dict.fromkeys(words))
+    n = [rng.integers(0, 4, len(words)) for _ in (0, 1)]
+    model = toxicity.KneserNey.fit(words, *n, order=3)
+    for prefix in (b"", b"a", b"ab", b"abc", b"cab", b"zz"):
+        total = np.zeros(2)
+        for byte in range(256):
+            at = toxicity.Positions([prefix + bytes([byte])], 3)
+            total += np.exp(model.byte_logs(at)[:, len(prefix)])
+        assert total == pytest.approx([1, 1], abs=1e-4)
+    # the order above: a word after a word, over all words of a closed vocabulary
+    texts = [rng.integers(0, 6, 40) for _ in range(4)]
+    pairs = toxicity.Pairs.fit(texts, np.array([0, 1, 1, 0]), 6)
+    low = rng.random((2, 6))
+    low = np.log(low / low.sum(1, keepdims=True))
+    for v in range(6):
+        assert np.exp(pairs.logs(np.full(6, v), np.arange(6), low)).sum(1) == pytest.approx([1, 1], abs=1e-5)
+
+
 def test_class_models_are_distributions():
     words = [b"abc", b"abd", b"xyz", b"ab"]
     model = toxicity.KneserNey.fit(words, np.array([5, 0, 3, 1]), np.array([0, 4, 0, 1]), order=3)
