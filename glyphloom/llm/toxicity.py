@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -243,6 +244,33 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _restored(body: bytes) -> Scorer:
+    return pickle.loads(zlib.decompress(body))
+
+
+class Fitted:
+    """A fitted scorer as it left its task: compressed bytes, which become a scorer in the workers only."""
+
+    def __init__(self, body: bytes):
+        self._body, self._shared = body, None
+
+    @classmethod
+    def of(cls, scorer: Scorer) -> Fitted:
+        return cls(zlib.compress(pickle.dumps(scorer, 5), 1))
+
+    def __reduce__(self):
+        return _restored, (self._body,)
+
+    def scorer(self) -> Scorer:
+        return self._shared.value if self._body is None else _restored(self._body)
+
+    def shared(self, spark):
+        """The broadcast; from then on the driver holds no bytes of its own."""
+        if self._shared is None:
+            self._shared, self._body = spark.sparkContext.broadcast(self), None
+        return self._shared
+
+
 class _Known:
     """A worker's table of words it met: their numbers among the fitted words and their logs of the byte models."""
 
@@ -326,12 +354,12 @@ def fit_texts(texts: list[str | None], toxic: list[int], share: float, order: in
     return Scorer(*_fit_counts(vocabulary, found, y, order), number, w[:FEATURES], float(w[FEATURES]), mean, scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1_000, most_ordinary: int = 2_000, most_bytes: int = 1_000_000, most_total: int = 64 << 20, order: int = 10) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1_000, most_ordinary: int = 2_000, most_bytes: int = 1_000_000, most_total: int = 64 << 20, order: int = 10) -> Fitted:
     """Fits on at most ``most_toxic`` and ``most_ordinary`` labelled texts of up to ``most_bytes``, in hash order of the id, as
     far as ``most_total`` bytes go.
 
     These bounds keep the model's size fixed; the share of toxic labels comes from all labels given. The sample is fitted in
-    one task; only the finished models reach the driver. Null ids, labels and texts are left out.
+    one task; only the finished models pass through the driver, as compressed bytes. Null ids, labels and texts are left out.
     """
     ship(docs.sparkSession)
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
@@ -351,25 +379,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if left >= 0:
                     found.append(text)
                     toxic.append(y)
-        raw = pickle.dumps(fit_texts(found, toxic, share, order), 5)
+        raw = zlib.compress(pickle.dumps(fit_texts(found, toxic, share, order), 5), 1)
         for k, at in enumerate(range(0, len(raw), PART_BYTES)):
             yield pa.record_batch([pa.array([k]), pa.array([raw[at : at + PART_BYTES]], pa.binary())], names=["part", "body"])
 
-    parts = sorted(sample.mapInArrow(fitted, "part long, body binary").collect(), key=lambda r: r["part"])
-    if not parts:
-        return fit_texts([], [], share, order)
-    raw = b"".join(r["body"] for r in parts)
-    del parts
-    return pickle.loads(raw)
+    body = bytearray()
+    # one partition, whose parts come in order and one at a time
+    for row in sample.mapInArrow(fitted, "part long, body binary").toLocalIterator():
+        body += row["body"]
+    return Fitted(bytes(body)) if body else Fitted.of(fit_texts([], [], share, order))
 
 
-def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "score") -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with ``out``, which must be no column of theirs: the probability of label 1, from whole texts. Null and empty texts have no words.
 
     One pass without a shuffle; the model is of bounded size and goes to each worker once.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = fitted.shared(docs.sparkSession)
     at = docs.columns.index(text_col)
     cache: list[_Known] = []
 
