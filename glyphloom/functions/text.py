@@ -39,6 +39,26 @@ def normalise_blanks(text: Column | str) -> Column:
     return F.regexp_replace(F.trim(text), "[\t ]+", " ")
 
 
+#: Texts are cut into pieces of so many characters before windows are taken, since finding a character's place walks the text.
+PIECE = 128
+
+
+def sliding(df: DataFrame, keep: list[str], text: Column | str, size: int, heads: int = 0) -> DataFrame:
+    """keep and (start, w): every window of ``size`` characters, start from 0; work grows with the text, not its square.
+
+    heads: also the windows of 1 to ``heads`` characters that begin the text, with start -1.
+    """
+    cut = rf"(?s)(?=(.{{1,{PIECE + size - 1}}})).{{1,{PIECE}}}"
+    pieces = df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(cut), F.lit(1))).alias("_k", "_piece"))
+    n = F.length("_piece")
+    at = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+    made = F.transform(at, lambda i: F.struct((F.col("_k").cast("long") * PIECE + i - 1).alias("start"), F.substring(F.col("_piece"), i, F.lit(size)).alias("w")))
+    if heads:
+        first = [F.struct(F.lit(-1).cast("long").alias("start"), F.substring("_piece", 1, k).alias("w")) for k in range(1, heads + 1)]
+        made = F.concat(F.slice(F.array(*first), F.lit(1), F.when(F.col("_k") == 0, F.least(n, F.lit(heads))).otherwise(0)), made)
+    return pieces.select(*keep, F.explode(made).alias("_w")).select(*keep, "_w.*")
+
+
 def segments(lines_df: DataFrame, id_col: str = "doc_id", most: int = 4, seed: int = 222) -> DataFrame:
     """(id, seg_no, seg): runs of 1 to ``most`` lines, a length being as likely as it is large, newlines kept inside.
 
@@ -61,18 +81,8 @@ def segments(lines_df: DataFrame, id_col: str = "doc_id", most: int = 4, seed: i
     return joined.select(id_col, "seg_no", F.expr("trim(BOTH '\n' FROM array_join(transform(l, x -> x.line), '\n'))").alias("seg"))
 
 
-def windows(text: Column | str, left: int, right: int) -> Column:
-    """array<struct(pos, ch, left_ctx, right_ctx)> of every character with its neighbours, padded at both ends."""
-    text = F.col(text) if isinstance(text, str) else text
-    padded = F.concat(F.lit(PAD * left), text, F.lit(PAD * right))
-    at = F.sequence(F.lit(1), F.length(text))
-    made = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.substring(padded, i + left, F.lit(1)).alias("ch"),
-            F.substring(padded, i, F.lit(left)).alias("left_ctx"),
-            F.substring(padded, i + left + 1, F.lit(right)).alias("right_ctx"),
-        ),
-    )
-    return F.when(F.length(text) > 0, made)
+def windows(df: DataFrame, keep: list[str], col: str, left: int, right: int) -> DataFrame:
+    """keep and (pos, ch, left_ctx, right_ctx) of every character with its neighbours, padded at both ends; pos from 1."""
+    rows = sliding(df, keep, F.concat(F.lit(PAD * left), F.col(col), F.lit(PAD * right)), left + 1 + right)
+    part = lambda at, n: F.substring("w", at, n)
+    return rows.select(*keep, (F.col("start") + 1).alias("pos"), part(left + 1, 1).alias("ch"), part(1, left).alias("left_ctx"), part(left + 2, right).alias("right_ctx"))

@@ -6,22 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from ..functions.text import sliding
+from ..storage import kept
+from .neural import Scorer, predict, span_metrics
 from .ngram import NgramModel
-from .score import bidirectional, bidirectional_metrics
+from .score import FILL, bidirectional, bidirectional_metrics
 
 #: Labels of hyphens.
 LABELS = {"0": "none", "1": "breaking hyphen", "2": "digraph", "3": "orthographic", "4": "hyphen and blank", "5": "dash and blank", "6": "starting hyphen", "7": "dash as punctuation", "8": "hyphen as punctuation"}
-#: Hungarian letters written with more than one character, and their long forms.
-DIGRAPHS = {"cs": "ccs", "dz": "ddz", "dzs": "ddzs", "gy": "ggy", "ly": "lly", "ny": "nny", "sz": "ssz", "ty": "tty", "zs": "zzs"}
-CONSONANTS = "bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"
-#: Conjunctions after which a hyphen keeps its blank.
-CONJUNCTIONS = ("és", "s", "meg", "vagy", "illetve", "avagy", "valamint")
-CANDIDATE = {
-    "strict": r"(?U)(\p{L}+|\p{N}+)(-\s*)(\p{L}+)",
-    "loose": r"(?U)(\p{L}+|\p{N}+)(-\W*)(\p{L}+)",
-    "eol": r"(?U)(\p{L}+|\p{N}+)(-\n+)(\p{L}+)",
-}
+#: Hungarian letters written with two characters, and their long forms.
+DIGRAPHS = {"sz": "ssz", "zs": "zzs", "cs": "ccs", "gy": "ggy", "ly": "lly", "ny": "nny", "ty": "tty", "dz": "ddz"}
+#: Consonants that stand alone after a hyphen, vowels, numerals that double, and conjunctions after which a hyphen keeps its blank.
+CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+VOWELS = "aeiouáéíóöőúüűAEIOUÁÉÍÓÖŐÚÜŰ"
+DOUBLED = ("öt", "hat")
+CONJUNCTIONS = ("és", "s", "stb", "vagy", "hanem", "meg", "illetve", "sőt", "majd", "de", "akár", "mind", "sem", "valamint", "avagy", "ráadásul", "helyett", "mellett", "und")
+#: What may stand between the pieces, by mode; the left piece is of letters or digits, the right one of small letters.
+BETWEEN = {"strict": r"\p{Pd}\s*", "loose": r"\p{Pd}\W*", "eol": r"\p{Pd}\n+"}
+CANDIDATE = {mode: rf"(?U)(\p{{L}}+|\p{{Nd}}+)({sep})(\p{{Ll}}+)" for mode, sep in BETWEEN.items()}
+#: The same without taking the separator and the right piece, which may be the left piece of the next candidate.
+CHAINED = {mode: rf"(?U)(\p{{L}}+|\p{{Nd}}+)(?=({sep})(\p{{Ll}}+))" for mode, sep in BETWEEN.items()}
+
+
+def vowels(col: Column | str) -> Column:
+    """How many vowels a word has."""
+    return F.length(F.regexp_replace(col, f"[^{VOWELS}]", ""))
 
 
 def trivial(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -38,10 +50,10 @@ def candidates(texts: DataFrame, id_col: str, col: str, mode: str = "eol") -> Da
 
 
 def rules(found: DataFrame, counts: DataFrame, lexicon: DataFrame, document_counts: DataFrame | None = None, strict: bool = True) -> DataFrame:
-    """candidates with label, rule (the number of the first rule that holds) and replacement.
+    """candidates with label, rule (the number of the first rule that holds), replacement and long_compound.
 
     counts and document_counts: (word, cnt), a missing word counts 0. lexicon: (word), the words that
-    are spelled right.
+    are spelled right. long_compound: both pieces are words and have seven vowels or more together.
     """
     low, e1, e2, sep = F.lower("e1"), F.col("e1"), F.col("e2"), F.col("sep")
     forms = {"joined": F.concat("e1", "e2"), "hyph": F.concat("e1", F.lit("-"), "e2"), "open": F.concat("e1", "e2", F.lit("-")), "lower": low}
@@ -53,7 +65,7 @@ def rules(found: DataFrame, counts: DataFrame, lexicon: DataFrame, document_coun
     counts = counts.select(F.col("word").alias("_w"), F.col("cnt").alias("_n"))
     dc = counts.limit(0) if document_counts is None else document_counts.select(F.col("word").alias("_w"), F.col("cnt").alias("_n"))
     spelled = lexicon.select(F.col("word").alias("_w")).distinct().withColumn("_n", F.lit(1))
-    for table, prefix, names in ((counts, "c", ("joined", "hyph", "open", "lower", "joined_rn", "hyph_rn", "w1", "w2")), (dc, "dc", ("joined", "hyph")), (spelled, "s", ("joined", "joined_rn", "hyph_rn", "long", "w1", "w2"))):
+    for table, prefix, names in ((counts, "c", ("joined", "hyph", "open", "lower", "joined_rn", "hyph_rn", "w1", "w2")), (dc, "dc", ("joined", "hyph", "joined_rn", "hyph_rn")), (spelled, "s", ("joined", "joined_rn", "hyph_rn", "long", "w1", "w2"))):
         for name in names:
             rows = rows.join(table.withColumnsRenamed({"_w": f"f_{name}", "_n": f"{prefix}_{name}"}), f"f_{name}", "left")
             rows = rows.withColumn(f"{prefix}_{name}", F.coalesce(f"{prefix}_{name}", F.lit(0)))
@@ -64,14 +76,14 @@ def rules(found: DataFrame, counts: DataFrame, lexicon: DataFrame, document_coun
     hyph, joined = F.col("f_hyph"), F.col("f_joined")
     as_is = F.concat("e1", "sep", "e2")
     cascade: list[tuple[int, Column, str, Column]] = [
-        (1, sep.startswith("-, ") & (ok("w2") | (c("w2") > 2)), "3", as_is),
-        (2, sep.startswith("- ") & e2.isin(*CONJUNCTIONS), "4", as_is),
+        (1, sep.contains("-, ") & (ok("w2") | (c("w2") > 2)), "3", as_is),
+        (2, sep.contains("- ") & e2.isin(*CONJUNCTIONS), "4", as_is),
         (3, e1.rlike(r"\p{L}") & (F.upper("e1") == e1), "3", hyph),
-        (4, e1.rlike(r"^\p{N}+$"), "3", hyph),
+        (4, e1.rlike(r"^\p{Nd}+$"), "3", hyph),
         (5, (F.length("e2") == 1) & e2.isin(*CONSONANTS), "3", hyph),
         (6, (e1 == "e") & ok("w2"), "3", hyph),
         (7, ok("w1") & (e2 == "e"), "3", hyph),
-        (8, (e1 == e2) & e1.isin("öt", "hat"), "3", hyph),
+        (8, (e1 == e2) & e1.isin(*DOUBLED), "3", hyph),
         (9, same & ok("long"), "2", F.col("f_long")),
         (9, same, "3", hyph),
         (10, c("hyph") > c("joined"), "3", hyph),
@@ -79,14 +91,58 @@ def rules(found: DataFrame, counts: DataFrame, lexicon: DataFrame, document_coun
         (12, F.col("dc_joined") > F.col("dc_hyph"), "1", joined),
         (13, e1.rlike(r"^\p{Lu}") & (c("lower") == 0) & ((c("w1") > 0) | ok("w1")) & ok("w2"), "3", hyph),
         (14, ok("joined"), "1", joined),
-        (15, loose & e1.contains("m") & (ok("joined_rn") | (c("joined_rn") > 0)), "1", F.col("f_joined_rn")),
-        (16, loose & e1.contains("m") & (ok("hyph_rn") | (c("hyph_rn") > 0)), "3", F.col("f_hyph_rn")),
+        (15, loose & joined.contains("m") & (ok("joined_rn") | (c("joined_rn") > 0) | (F.col("dc_joined_rn") > 0)), "1", F.col("f_joined_rn")),
+        (16, loose & hyph.contains("m") & (ok("hyph_rn") | (c("hyph_rn") > 0) | (F.col("dc_hyph_rn") > 0)), "3", F.col("f_hyph_rn")),
         (17, sep.rlike(r"\s"), "4", F.concat("e1", F.lit("- "), "e2")),
     ]
     label, rule, text = F.lit("3"), F.lit(18), hyph
     for number, test, name, result in reversed(cascade):
         label, rule, text = (F.when(test, v).otherwise(o) for v, o in ((F.lit(name), label), (F.lit(number), rule), (result, text)))
-    return rows.withColumns({"label": label, "rule": rule, "replacement": text}).select(*found.columns, "label", "rule", "replacement")
+    compound = ok("w1") & ok("w2") & (vowels(F.concat("e1", "e2")) >= 7)
+    return rows.withColumns({"label": label, "rule": rule, "replacement": text, "long_compound": compound}).select(*found.columns, "label", "rule", "replacement", "long_compound")
+
+
+def rewrite_by_rules(texts: DataFrame, id_col: str, col: str, counts: DataFrame, lexicon: DataFrame, document_counts: DataFrame | None = None, mode: str = "eol", strict: bool = True) -> DataFrame:
+    """(id, rewritten, labels): texts with every candidate replaced as ``rules`` say, and the labels of those looked at, in order.
+
+    Every hyphen with pieces on both sides is judged once for its different pieces, by joins. A text is then put together
+    from left to right: the right piece of a replaced candidate is used up, that of an unchanged one may begin the next.
+    Null texts stay null.
+    """
+    part = lambda k: F.regexp_extract_all(col, F.lit(CHAINED[mode]), F.lit(k))
+    keyed = kept(texts.select(id_col, col).withColumn("_text", F.monotonically_increasing_id()), "texts")
+    spots = keyed.select("_text", F.posexplode(F.arrays_zip(part(1).alias("e1"), part(2).alias("sep"), part(3).alias("e2"))).alias("_no", "_c")).select("_text", "_no", "_c.e1", "_c.sep", "_c.e2")
+    judged = rules(spots.select("e1", "sep", "e2").distinct(), counts, lexicon, document_counts, strict).select("e1", "sep", "e2", "label", "replacement")
+    found = spots.join(judged, ["e1", "sep", "e2"]).groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("_no", "replacement", "label"))).alias("_d"))
+    rows = keyed.join(found, "_text", "left").select(id_col, col, F.col("_d.replacement").alias("_r"), F.col("_d.label").alias("_l"))
+
+    import pyarrow as pa
+    import regex
+
+    from ..ship import ship
+
+    ship(texts.sparkSession)
+    pattern = regex.compile(CHAINED[mode].removeprefix("(?U)"))
+
+    def walk(text: str | None, replacements: list[str] | None, labels: list[str] | None) -> tuple[str | None, list[str]]:
+        if text is None:
+            return None, []
+        out, at, used = [], 0, []
+        for m, new, label in zip(pattern.finditer(text), replacements or [], labels or [], strict=True):
+            if m.start() < at:
+                continue
+            used.append(label)
+            end = m.end(3) if new != text[m.start() : m.end(3)] else m.end(1)
+            out.append(text[at : m.start()] + (new if end == m.end(3) else m[1]))
+            at = end
+        return "".join(out) + text[at:], used
+
+    def run(batches):
+        for batch in batches:
+            found = [walk(*r) for r in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=[id_col, "rewritten", "labels"])
+
+    return rows.mapInArrow(run, rows.select(id_col).schema.add("rewritten", "string").add("labels", T.ArrayType(T.StringType())))
 
 
 def rewrite(texts: DataFrame, id_col: str, col: str, decide: Callable[[str, str, str], str], mode: str = "eol") -> DataFrame:
@@ -153,62 +209,89 @@ def by_perplexity(found: DataFrame, id_col: str, forward: NgramModel, backward:
     return best.select(id_col, "no", "b.label", "b.ppl", "b.variant").unionByName(fixed)
 
 
-def hyphen_contexts(texts: DataFrame, id_col: str, col: str, context: int) -> DataFrame:
-    """(id, no, left_ctx, right_ctx): up to ``context`` characters on both sides of each hyphen at a line's end."""
-    spots = F.filter(F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.when(F.substring(F.col(col), i, F.lit(2)) == "-\n", i)), lambda i: i.isNotNull() & (i > 1))
-    rows = texts.where(F.col(col).contains("-\n")).select(id_col, col, F.posexplode(spots).alias("no", "at"))
-    left = F.substring(F.col(col), F.greatest(F.col("at") - context, F.lit(1)), F.least(F.col("at") - 1, F.lit(context)))
-    return rows.select(id_col, "no", left.alias("left_ctx"), F.substring(F.col(col), F.col("at") + 2, F.lit(context)).alias("right_ctx"))
+def by_scorer(found: DataFrame, id_col: str, scorer: Scorer) -> DataFrame:
+    """(id, no, label, ppl, variant): as ``by_perplexity``, by a neural scorer of whole variants."""
+    dash = found.where(F.col("left_ctx").endswith(" "))
+    tried = variants(found.where(~F.col("left_ctx").endswith(" ")), id_col).withColumn("vid", F.xxhash64(id_col, "no", "label", "variant"))
+    scored = span_metrics(predict(tried, scorer, "vid", "variant"), "vid")
+    best = tried.join(scored, "vid").groupBy(id_col, "no").agg(F.min_by(F.struct("label", "ppl", "variant"), F.struct("ppl", "order")).alias("b"))
+    fixed = dash.select(id_col, "no", F.lit("5").alias("label"), F.lit(None).cast("double").alias("ppl"), F.concat("left_ctx", F.lit("- "), "right_ctx").alias("variant"))
+    return best.select(id_col, "no", "b.label", "b.ppl", "b.variant").unionByName(fixed)
 
 
-def halves(word: str) -> list[str]:
-    """Stands in for a syllabifier: words of eight letters and more break in the middle."""
-    return [word[: len(word) // 2], word[len(word) // 2 :]] if len(word) >= 8 else [word]
+def hyphen_contexts(texts: DataFrame, id_col: str, col: str, context: int) -> DataFrame:
+    """(id, no, left_ctx, right_ctx): up to ``context`` characters on both sides of each hyphen at a line's end."""
+    # blanks of a noncharacter on both sides make every window whole
+    fill = FILL * context
+    rows = sliding(texts.where(F.col(col).contains("-\n")), [id_col], F.concat(F.lit(fill), F.col(col), F.lit(fill)), 2 * context + 2)
+    rows = rows.where(F.substring("w", context + 1, 2) == "-\n")
+    side = lambda at: F.translate(F.substring("w", at, context), FILL, "")
+    rows = rows.select(id_col, "start", side(1).alias("left_ctx"), side(context + 3).alias("right_ctx")).where("left_ctx <> ''")
+    no = F.row_number().over(W.partitionBy(id_col).orderBy("start")) - 1
+    return rows.select(id_col, no.alias("no"), "left_ctx", "right_ctx")
 
 
-def wrap_lines(texts: DataFrame, id_col: str, col: str, maxlength: int = 40, syllabify: Callable[[str], list[str]] = halves) -> DataFrame:
-    """(id, line_no, line, label): greedy lines of up to ``maxlength``, words broken at syllables, with the hyphen's label.
+def split_word(word: str, room: int) -> tuple[str, str] | None:
+    """Stands in for a syllabifier: (head with its hyphen, tail) of the longest head within ``room``, or nothing.
 
-    Labels: 1 a broken word; 3 a break at a word's own hyphen; 7 and 8 a dash or hyphen that stands alone at the end; 6 a word that
-    begins with a hyphen at the end; 4 a word that ends in its own hyphen; else 0. Filling depends on the line before, so a text is
-    walked in order.
+    Words break after a hyphen of their own, in a long digraph, which becomes two short ones, and, from eight letters on, in the middle.
+    """
+    cuts = [(word[: k + 1] + "-", word[k + 1 :]) for k in range(1, len(word) - 1) if word[k] == "-"]
+    for short, long in DIGRAPHS.items():
+        k = word.lower().find(long, 1)
+        if k > 0 and k + 3 < len(word):
+            cuts.append((word[:k] + short + "-", short + word[k + 3 :]))
+    if len(word) >= 8 and word.isalpha():
+        cuts.append((word[: len(word) // 2] + "-", word[len(word) // 2 :]))
+    return max((c for c in cuts if len(c[0]) <= room), key=lambda c: len(c[0].rstrip("-")), default=None)
+
+
+def wrap_line(line: str, most: int, split: Callable[[str, int], tuple[str, str] | None] = split_word) -> list[tuple[str, str | None]]:
+    """The output lines of one input line, with the label of each break; the last has none."""
+    line = " ".join(line.replace("\t", " ").split())
+    if len(line) <= most:
+        return [(line, None)]
+    words = line.split(" ")
+    out, now, last = [], words[0], words[0]
+    words = words[:0:-1]
+    while words:
+        word = words.pop()
+        room = most - len(now) - 1
+        if len(word) <= room:
+            now, last = f"{now} {word}", word
+            continue
+        kept_as = "5" if last == "-" else "4" if last.endswith("-") else "0"
+        head, tail, label = None, word, kept_as
+        if room > 0 and word == "-":
+            label = "0"
+        elif room > 0 and word[: room + 1].rfind("-") == room - 1:
+            head, tail = word[:room], word[room:]
+            label = "7" if word in ("-,", "-;") else "6" if word[0] == "-" else "8" if tail[0] in ",;" else "3"
+        elif room > 0 and (cut := split(word, room)):
+            head, tail = cut
+            label = "3" if head.endswith("--") else "2" if len(head) + len(tail) > len(word) + 1 else "1"
+            head = head[:-1] if label == "3" else head
+        out.append((now if head is None else f"{now} {head}", label))
+        now = last = tail
+    return [*out, (now, None)]
+
+
+def wrap_lines(texts: DataFrame, id_col: str, col: str, maxlength: int = 40, split: Callable[[str, int], tuple[str, str] | None] = split_word) -> DataFrame:
+    """(id, line_no, line, label): every input line as greedy lines of up to ``maxlength``, words broken where ``split`` says.
+
+    Labels of breaks, by the constants above: 1 and 2 a broken word, 3 a break at a word's own hyphen, 4 and 5 a word that ends in a
+    hyphen or is one, 6 to 8 hyphens that stand oddly, else 0; an input line's last line has none. Filling depends on
+    the line before, so a text is walked in order. A word longer than a line that cannot be broken has a line of its own.
     """
     from ..ship import ship
 
     ship(texts.sparkSession)
 
-    def label_of(word: str) -> str:
-        if word in ("-", "–", "—"):
-            return "8" if word == "-" else "7"
-        return "6" if word.startswith("-") else "4" if word.endswith("-") else "5" if word.endswith("–") else "0"
-
-    def walk(text: str) -> list[tuple[str, str]]:
-        out, now, label = [], "", "0"
-        for word in text.split():
-            if len(now) + bool(now) + len(word) <= maxlength:
-                now, label = f"{now} {word}".strip(), label_of(word)
-                continue
-            pieces, kind = (word.split("-", 1), "3") if "-" in word.strip("-") else (syllabify(word), "1")
-            room, head = maxlength - len(now) - bool(now) - 1, ""
-            for k in range(len(pieces) - 1):
-                if len(head) + len(pieces[k]) > room:
-                    break
-                head += pieces[k]
-            if head:
-                out.append((f"{now} {head}-".strip(), kind))
-                now = word[len(head) + (kind == "3") :]
-            else:
-                if now:
-                    out.append((now, label))
-                now = word
-            label = label_of(now)
-        return [*out, (now, label)] if now else out
-
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(k, n, *x) for k, t in enumerate(batch.column(1).to_pylist()) for n, x in enumerate(walk(t or ""))]
+            rows = [(k, n, *x) for k, t in enumerate(batch.column(1).to_pylist()) for n, x in enumerate(y for line in (t or "").split("\n") for y in wrap_line(line, maxlength, split)) if t is not None]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=[id_col, "line_no", "line", "label"])
 
     rows = texts.select(id_col, col)

@@ -8,22 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import PAD
+from ..functions.charset import char_counts, output_ids, replace_unknown
+from ..functions.text import PAD, sliding
+from ..storage import kept
 
 
-def ngram_counts(texts: DataFrame, col: str, n: int) -> DataFrame:
-    """(n, gram, ctx, last, cnt): occurrences of every string of up to n characters in the padded texts.
+def ngram_counts(texts: DataFrame, col: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, gram, ctx, last, cnt): occurrences of every string of up to n characters in the padded texts.
 
     One window of up to n characters per position is counted first; only distinct windows are spread over
     their suffixes. One table serves both directions: a backward count is the count of the reversed gram.
     """
     padded = F.concat(F.lit(PAD), F.col(col), F.lit(PAD))
-    ends = F.sequence(F.lit(1), F.length(padded))
-    wide = texts.where(F.col(col).isNotNull()).select(F.explode(F.transform(ends, lambda i: F.substring(padded, F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n))))).alias("w"))
-    wide = wide.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    suffix = wide.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring("w", -k, k))).alias("gram"), "c")
-    counted = suffix.groupBy("gram").agg(F.sum("c").alias("cnt"))
-    return counted.select(F.length("gram").alias("n"), "gram", F.expr("left(gram, length(gram) - 1)").alias("ctx"), F.expr("right(gram, 1)").alias("last"), "cnt")
+    wide = sliding(texts.where(F.col(col).isNotNull()), list(by), padded, n, heads=n - 1)
+    wide = wide.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("c"))
+    suffix = wide.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(F.col("w"), -k, k))).alias("gram"), "c")
+    counted = suffix.groupBy(*by, "gram").agg(F.sum("c").alias("cnt"))
+    return counted.select(*by, F.length("gram").alias("n"), "gram", F.expr("left(gram, length(gram) - 1)").alias("ctx"), F.expr("right(gram, 1)").alias("last"), "cnt")
 
 
 @dataclass
@@ -36,6 +37,10 @@ class NgramModel:
     bigram: DataFrame
     contexts: DataFrame
 
+    def alphabet(self) -> list[str]:
+        """The characters that the model has seen: at most one for each code point."""
+        return sorted(r["ch"] for r in self.unigram.select("ch").collect())
+
 
 def build(ngram: DataFrame, n: int) -> NgramModel:
     """The model's derived tables.
@@ -44,6 +49,7 @@ def build(ngram: DataFrame, n: int) -> NgramModel:
     B(last(x), c); the weights sum to d(x) = sum cnt(xc) + 1 - sum B(last(x), c) over the c seen, so the
     distribution over the whole alphabet is never spread out.
     """
+    ngram = kept(ngram, "grams")
     one = ngram.where("n = 1").select(F.col("gram").alias("ch"), "cnt")
     total = one.agg(F.sum("cnt").alias("total"))
     unigram = one.crossJoin(F.broadcast(total)).select("ch", (F.col("cnt") / F.col("total")).alias("p"))
@@ -52,6 +58,7 @@ def build(ngram: DataFrame, n: int) -> NgramModel:
     seen = ngram.where("n = 2").select(F.col("ctx").alias("a"), F.col("last").alias("c"), "cnt")
     weight = pairs.join(seen, ["a", "c"], "left").withColumn("w", F.coalesce(F.col("cnt").cast("double"), F.col("p")))
     bigram = weight.select("a", "c", (F.col("w") / F.sum("w").over(W.partitionBy("a"))).alias("p"))
+    bigram = kept(bigram, "bigrams")
     top = lambda v: F.max_by("last", F.struct(v, -F.ascii("last")))
     cont = ngram.where("n > 2").withColumn("a", F.expr("right(ctx, 1)")).join(bigram.select("a", F.col("c").alias("last"), "p"), ["a", "last"])
     longer = cont.groupBy("ctx").agg((F.sum("cnt") + 1 - F.sum("p")).alias("d"), top(F.col("cnt")).alias("best"))
@@ -64,10 +71,20 @@ def build(ngram: DataFrame, n: int) -> NgramModel:
     return NgramModel(n, ngram, unigram, bigram, contexts)
 
 
-def train(texts: DataFrame, col: str, n: int) -> NgramModel:
+def train(texts: DataFrame, col: str, n: int, rare: int | None = None) -> NgramModel:
+    """The model of texts. ``rare``: characters of at most a share of 1 / 10**rare count as the out-of-vocabulary character,
+    as they then do wherever the model scores."""
+    if rare is not None:
+        texts = mask_rare(texts, col, rare)
     return build(ngram_counts(texts, col, n), n)
 
 
+def mask_rare(texts: DataFrame, col: str, rare: int) -> DataFrame:
+    """texts with every character of at most a share of 1 / 10**rare replaced by the out-of-vocabulary character."""
+    counts = char_counts(sliding(texts, [], F.col(col), 1).select(F.col("w").alias("ch")))
+    return replace_unknown(texts, col, [r["ch"] for r in output_ids(counts, rare).select("ch").collect()], col)
+
+
 def cond_prob(ngram: DataFrame) -> DataFrame:
     """(gram, p): the unsmoothed share of a gram among those with its context."""
     return ngram.select("n", "gram", (F.col("cnt") / F.sum("cnt").over(W.partitionBy("n", "ctx"))).alias("p"))
@@ -84,7 +101,8 @@ def back_off(grams: DataFrame, model: NgramModel, gram: str = "gram") -> DataFra
 
 
 def estimate(grams: DataFrame, model: NgramModel, gram: str = "gram") -> DataFrame:
-    """grams with p, the smoothed probability of the last character, k and best. Characters never seen have no p."""
+    """grams with p, the smoothed probability of the last character, k and best. Characters never seen have no p: the
+    scores of texts give them the least probability."""
     backed = back_off(grams, model, gram).withColumn("t", F.expr(f"right(`{gram}`, 1)")).withColumn("a", F.expr("right(ctx_used, 1)"))
     counts = model.ngram.where("n > 2").select(F.col("ctx").alias("ctx_used"), F.col("last").alias("t"), "cnt")
     joined = backed.join(counts, ["ctx_used", "t"], "left").join(model.bigram.select("a", F.col("c").alias("t"), F.col("p").alias("b")), ["a", "t"], "left").join(model.unigram.select(F.col("ch").alias("t"), F.col("p").alias("u")), "t", "left")

@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import sliding
 from ..ship import ship
-from .ngram import NgramModel
+from ..storage import kept
+from .ngram import NgramModel, estimate
 
-#: Strings that readers of print confuse with each other.
+#: Sets of strings that readers of print confuse with each other.
 MISTAKES = (
-    ("m", "rn", "in", "ni"), ("n", "u", "ii"), ("h", "b"), ("c", "e", "o"), ("l", "1", "i", "I"), ("f", "t"), ("cl", "d"), ("vv", "w"),
-    ("O", "0"), ("S", "5"), ("B", "8"), ("ö", "ő", "ó", "o"), ("ü", "ű", "ú", "u"), ("á", "a"), ("é", "e"), ("í", "i"), (".", ","), ("-", "—"), ("ri", "n"), ("li", "h"),
-)
+    ("ű", "ü", "ii", "ll", "u", "11"),
+    ("lc", "k", "lr", "ic", "h"),
+    ("k", "h", "lt", "li"),
+    ("o", "ó", "ö", "ő", "ô", "õ", "e", "é", "c"),
+    ("rn", "m", "nn", "in", "ln", "jn", "fn"),
+    ("ivi", "íví", "m"),
+    ("g", "q", "y"),
+    ("ó'", "ő", "o'"),
+    ("w", "v"),
+    ("b", "lo", "lc", "le"),
+    ("d", "ol", "cl", "oi", "ci"),
+    ("d", "tl"),
+    ("c", "cz"),
+    ("cs", "ts"),
+    ("6", "ő", "ó", "ö"),
+    ("1", "I", "l", "/"),
+    ("i", "í"),
+    ("Y", "A"),
+    ("f", "ri", "n"),
+    ('"', "”"),
+)
 #: Longest difference that is weighed; longer ones take the second version.
 WEIGHED = 10
 SEGMENT = "tag string, a0 integer, a1 integer, b0 integer, b1 integer, a string, b string"
@@ -95,10 +117,16 @@ class Table:
         return 2 ** (-total / max(1, len(text)))
 
 
-def local_table(model: NgramModel, most: int = 2_000_000) -> Table:
-    """The model as dictionaries, for searches that score in order. Refuses models over ``most`` grams."""
-    if model.ngram.count() > most:
-        raise ValueError(f"the model has more than {most} grams; search with a smaller order or a pruned model")
+#: Models of up to so many grams go to the workers as dictionaries; larger ones are joined.
+MOST_GRAMS = 2_000_000
+
+
+def fits(model: NgramModel, most: int | None = None) -> bool:
+    return model.ngram.count() <= (MOST_GRAMS if most is None else most)
+
+
+def local_table(model: NgramModel) -> Table:
+    """The model as dictionaries, for searches that score in order. The caller checks that it ``fits``."""
     return Table(
         model.n,
         {r["gram"]: r["cnt"] for r in model.ngram.where("n > 2").select("gram", "cnt").collect()},
@@ -108,55 +136,169 @@ def local_table(model: NgramModel, most: int = 2_000_000) -> Table:
     )
 
 
-def search(segs: list[dict], table: Table, context: int = 20, beams: int = 5, most: float = 5.0, flush: int = 15) -> tuple[str, list[tuple[int, str, float, str]]]:
-    """(merged text, log rows (seg_no, path, perplexity, rendered)).
+def letter(k: int) -> str:
+    """The name of the k-th alternative: a to z, then aa, ab, ..."""
+    name = ""
+    k += 1
+    while k:
+        k, rest = divmod(k - 1, 26)
+        name = chr(97 + rest) + name
+    return name
+
+
+@dataclass
+class Search:
+    """One pair's beam search, which asks for the perplexities it needs, so it runs against any model.
+
+    Beams extend by each alternative of a segment and are weighed with ``context`` characters to the left and to the right,
+    the latter in either version; the best ``beams`` under ``most`` stay, or else only the best. An unweighed segment
+    of ``flush`` or more characters settles them, and what all beams begin with is settled at once.
+    """
+
+    segs: list[dict]
+    context: int = 20
+    beams: int = 5
+    most: float = 5.0
+    flush: int = 15
+    at: int = 0
+    done: str = ""
+    # a beam: texts of its steps, their letters, perplexity, the steps as shown
+    now: list = field(default_factory=lambda: [((), (), 1.0, ())])
+    log: list = field(default_factory=list)
+    asked: list = field(default_factory=list)
+
+    def _right(self, side: str) -> str:
+        out, k = "", self.at + 1
+        while len(out) < self.context and k < len(self.segs):
+            out, k = out + self.segs[k][side], k + 1
+        return out[: self.context]
+
+    def _settle(self) -> None:
+        first = self.now[0]
+        same = 0
+        while all(len(b[0]) > same and b[0][same] == first[0][same] and b[1][same] == first[1][same] for b in self.now):
+            same += 1
+        self.done += "".join(first[0][:same])
+        self.now = [(b[0][same:], b[1][same:], b[2], b[3][same:]) for b in self.now]
+
+    def requests(self) -> list[str] | None:
+        """Strings whose perplexities the next segment needs; none when the search has ended."""
+        while self.at < len(self.segs):
+            seg = self.segs[self.at]
+            if len(seg["alts"]) > 1:
+                rights = sorted({self._right("a"), self._right("b")})
+                self.asked = [(b, letter(k), alt, right) for b in self.now for k, alt in enumerate(seg["alts"]) for right in rights]
+                return [((self.done + "".join(b[0]))[-self.context :] if self.context else "") + alt + right for b, _, alt, right in self.asked]
+            alt = seg["alts"][0]
+            if len(alt) >= self.flush:
+                self.now = [min(self.now, key=lambda b: (b[2], b[1]))]
+            self.now = [(b[0] + (alt,), b[1] + ("_",), b[2], b[3] + (alt,)) for b in self.now]
+            self._settle()
+            self.at += 1
+        return None
+
+    def answer(self, perplexities: list[float]) -> None:
+        grown: dict = {}
+        seg_no = self.segs[self.at]["seg_no"]
+        for (b, name, alt, right), ppl in zip(self.asked, perplexities, strict=True):
+            key = (b[0], b[1], name)
+            shown = b[3] + (f"{{{alt}}}",)
+            self.log.append((seg_no, "try", path(b[1] + (name,)), ppl, "".join(shown) + right))
+            if key not in grown or ppl < grown[key][2]:
+                grown[key] = (b[0] + (alt,), b[1] + (name,), ppl, shown)
+        ordered = sorted(grown.values(), key=lambda b: (b[2], b[1]))
+        best = ordered[0]
+        self.log.append((seg_no, "best", path(best[1]), best[2], "".join(best[3])))
+        self.now = [b for b in ordered if b[2] < self.most][: self.beams] or ordered[:1]
+        self._settle()
+        self.at += 1
+
+    def merged(self) -> str:
+        return self.done + "".join(min(self.now, key=lambda b: (b[2], b[1]))[0])
+
+
+def path(letters: tuple[str, ...]) -> str:
+    return ("" if all(len(x) == 1 for x in letters) else ".").join(letters)
+
+
+def search(segs: list[dict], table: Table, **options) -> tuple[str, list[tuple[int, str, str, float, str]]]:
+    """(merged text, log rows (seg_no, try or best, path, perplexity, rendered))."""
+    run = Search(segs, **options)
+    while (asked := run.requests()) is not None:
+        run.answer([table.perplexity(text) for text in asked])
+    return run.merged(), run.log
 
-    Beams extend by each alternative of a segment, are weighed with the text to the right after either version,
-    and the best ``beams`` under ``most`` stay, or else only the best. An unweighed segment of ``flush`` or more
-    characters settles them; a shared beginning of all beams is settled at once.
+
+def whole_perplexities(texts: DataFrame, col: str, model: NgramModel) -> DataFrame:
+    """(col, ppl) of each different text, every character scored from the start on; by joins, for models of any size."""
+    distinct = texts.select(col).distinct()
+    rows = sliding(distinct.withColumn("_own", F.col(col)), [col], F.col("_own"), model.n, heads=model.n - 1).withColumnRenamed("w", "gram")
+    known = estimate(rows.select("gram").distinct(), model).select("gram", F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-13)).alias("p"))
+    return rows.join(known, "gram").groupBy(col).agg(F.pow(F.lit(2.0), -F.sum(F.log2("p")) / F.count(F.lit(1))).alias("ppl"))
+
+
+LOG = "seg_no integer, kind string, path string, ppl double, rendered string"
+
+
+def merge(pairs: DataFrame, model: NgramModel, id_col: str = "pair_id", log: bool = False, **options) -> DataFrame:
+    """(id, merged), or with ``log`` (id, seg_no, kind, path, ppl, rendered): every alternative tried and each segment's best.
+
+    A pair's segments are searched in order. A model that ``fits`` goes to the workers; with a larger one all pairs
+    take one step a round, and a round's strings are scored by joins. options: those of ``Search``.
     """
-    done, now, log = "", [("", "", 1.0, "")], []
-    for k, seg in enumerate(segs):
-        if len(seg["alts"]) == 1:
-            now = [(text + seg["alts"][0], path + "_", ppl, shown + seg["alts"][0]) for text, path, ppl, shown in now]
-            if len(seg["alts"][0]) >= flush:
-                best = now[0]
-                if best[1].strip("_"):
-                    log.append((seg["seg_no"], best[1], best[2], best[3]))
-                done, now = done + best[0], [("", "", 1.0, "")]
-            continue
-        rights = {"".join(s[side] for s in segs[k + 1 : k + 9])[:context] for side in ("a", "b")}
-        grown = []
-        for text, path, _, shown in now:
-            for letter, alt in zip("abcdefghijklmnopqrstuvwxyz", seg["alts"], strict=False):
-                whole = text + alt
-                left = (done + whole)[-context - len(alt) :]
-                ppl = min(table.perplexity(left + right) for right in rights)
-                grown.append((whole, path + letter, ppl, f"{shown}{{{alt}}}"))
-        grown.sort(key=lambda b: (b[2], b[1]))
-        now = [b for b in grown if b[2] < most][:beams] or grown[:1]
-    best = min(now, key=lambda b: (b[2], b[1]))
-    if best[1].strip("_"):
-        log.append((segs[-1]["seg_no"] if segs else 0, best[1], best[2], best[3]))
-    return done + best[0], log
-
-
-def merge(pairs: DataFrame, model: NgramModel, id_col: str = "pair_id", log: bool = False, context: int = 20, beams: int = 5, most: float = 5.0, flush: int = 15) -> DataFrame:
-    """(id, merged), or with ``log`` (id, seg_no, path, ppl, rendered). A pair's segments are searched in order, one Arrow batch of pairs at a time."""
-    shared = pairs.sparkSession.sparkContext.broadcast(local_table(model))
     listed = alternatives(segments(pairs, id_col)).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg_no", "a", "b", "alts"))).alias("segs"))
+    schema = listed.select(id_col).schema
+    for part in (LOG if log else "merged string").split(", "):
+        schema = schema.add(*part.split())
 
-    def run(batches):
+    def rows_of(ids, found):
+        if not log:
+            return pa.RecordBatch.from_arrays([ids, pa.array([m for m, _ in found], pa.string())], names=[id_col, "merged"])
+        rows = [(k, *r) for k, (_, rs) in enumerate(found) for r in rs]
+        types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
+        columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([ids.take(columns[0]), *columns[1:]], names=[id_col, *(x.split()[0] for x in LOG.split(", "))])
+
+    if fits(model):
+        shared = pairs.sparkSession.sparkContext.broadcast(local_table(model))
+
+        def run(batches):
+            for batch in batches:
+                yield rows_of(batch.column(0), [search(s, shared.value, **options) for s in batch.column(1).to_pylist()])
+
+        return listed.mapInArrow(run, schema)
+
+    def begin(batches):
         for batch in batches:
-            found = [search(s, shared.value, context, beams, most, flush) for s in batch.column(1).to_pylist()]
-            if not log:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in found], pa.string())], names=[id_col, "merged"])
-                continue
-            rows = [(k, *r) for k, (_, rs) in enumerate(found) for r in rs]
-            types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string())
-            columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=[id_col, "seg_no", "path", "ppl", "rendered"])
+            states = [Search(s, **options) for s in batch.column(1).to_pylist()]
+            asked = [s.requests() for s in states]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(s) for s in states], pa.binary()), pa.array(asked, pa.list_(pa.string()))], names=[id_col, "state", "asked"])
 
-    schema = listed.select(id_col).schema
-    schema = schema.add("seg_no", "integer").add("path", "string").add("ppl", "double").add("rendered", "string") if log else schema.add("merged", "string")
-    return listed.mapInArrow(run, schema)
+    def go_on(batches):
+        for batch in batches:
+            states = [pickle.loads(x) for x in batch.column(1).to_pylist()]
+            for s, answers in zip(states, batch.column(2).to_pylist(), strict=True):
+                s.answer(answers)
+            asked = [s.requests() for s in states]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pickle.dumps(s) for s in states], pa.binary()), pa.array(asked, pa.list_(pa.string()))], names=[id_col, "state", "asked"])
+
+    step = listed.select(id_col).schema.add("state", "binary").add("asked", T.ArrayType(T.StringType()))
+    now, ended = kept(listed.mapInArrow(begin, step), "beams"), None
+    while True:
+        over = now.where("asked IS NULL").select(id_col, "state")
+        ended = over if ended is None else ended.unionByName(over)
+        left = now.where("asked IS NOT NULL")
+        if not left.limit(1).count():
+            break
+        wanted = left.select(id_col, F.posexplode("asked").alias("_no", "_text"))
+        # an empty text has no character to be perplexed by
+        priced = wanted.join(whole_perplexities(wanted, "_text", model), "_text", "left").withColumn("ppl", F.coalesce("ppl", F.lit(1.0)))
+        answers = priced.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_no", "ppl"))).alias("_a")).select(id_col, F.col("_a.ppl").alias("answers"))
+        now = kept(left.select(id_col, "state").join(answers, id_col).mapInArrow(go_on, step), "beams")
+
+    def finish(batches):
+        for batch in batches:
+            states = [pickle.loads(x) for x in batch.column(1).to_pylist()]
+            yield rows_of(batch.column(0), [(s.merged(), s.log) for s in states])
+
+    return ended.mapInArrow(finish, schema)

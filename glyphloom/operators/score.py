@@ -8,48 +8,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import PAD
-from .ngram import NgramModel, distribution, estimate
+from ..functions.charset import replace_unknown
+from ..functions.text import PAD, sliding
+from ..storage import kept
+from .ngram import NgramModel, build, distribution, estimate, ngram_counts
 
 #: Least probability in a logarithm.
 FLOOR = 1e-13
+#: A noncharacter, which no text holds.
+FILL = "\uffff"
+
+
+def masked(texts: DataFrame, col: str, model: NgramModel) -> DataFrame:
+    """texts with every character that the model has not seen replaced by the out-of-vocabulary character."""
+    return replace_unknown(texts, col, model.alphabet(), col)
 
 
 def positions(texts: DataFrame, id_col: str, col: str, n: int, padded: bool = False) -> DataFrame:
     """(id, pos, gram): every window of n characters; padded: also the shorter ones from the start on."""
-    text = F.concat(F.lit(PAD), F.col(col), F.lit(PAD)) if padded else F.col(col)
-    first = F.lit(2 if padded else n)
-    ends = F.when(F.length(text) >= first, F.sequence(first, F.length(text)))
-    return texts.select(id_col, F.posexplode(F.transform(ends, lambda i: F.substring(text, F.greatest(i - n + 1, F.lit(1)), F.least(i, F.lit(n))))).alias("pos", "gram"))
+    if not padded:
+        return sliding(texts, [id_col], F.col(col), n).select(id_col, F.col("start").cast("int").alias("pos"), F.col("w").alias("gram"))
+    rows = sliding(texts, [id_col], F.concat(F.lit(PAD), F.col(col), F.lit(PAD)), n, heads=n - 1).where((F.length("w") > 1) | F.lit(n == 1))
+    pos = F.when(F.col("start") < 0, F.length("w") - 2).otherwise(F.col("start") + n - 2)
+    return rows.select(id_col, pos.cast("int").alias("pos"), F.col("w").alias("gram")).where("pos >= 0")
 
 
 def score(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False) -> DataFrame:
-    """(id, pos, target, p, best, k) at every position. Distinct windows are scored once and joined back."""
-    at = positions(texts, id_col, col, model.n, padded)
+    """(id, pos, target, p, best, k) at every position. Distinct windows are scored once and joined back. Characters that
+    the model has not seen are the out-of-vocabulary character, with the least probability if the model has not seen that either."""
+    at = positions(masked(texts, col, model), id_col, col, model.n, padded)
     known = estimate(at.select("gram").distinct(), model)
-    return at.join(known, "gram").select(id_col, "pos", F.expr("right(gram, 1)").alias("target"), "p", "best", "k")
+    return at.join(known, "gram").select(id_col, "pos", F.expr("right(gram, 1)").alias("target"), _least("p").alias("p"), "best", "k")
 
 
-def metrics(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False, by: str | None = None) -> DataFrame:
-    """(id, n, acc, ppl) of each text. Counts of distinct windows are aggregated before the model is joined."""
-    at = positions(texts, id_col, col, model.n, padded).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("times"))
+def metrics(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False) -> DataFrame:
+    """(id, n, acc, ppl) of each text. Counts of distinct windows are aggregated before the model is joined.
+    Unseen characters as in ``score``."""
+    at = positions(masked(texts, col, model), id_col, col, model.n, padded).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("times"))
     known = estimate(at.select("gram").distinct(), model)
     rows = at.join(known, "gram")
-    return _metrics(rows, [id_col], F.col("p"), F.col("best") == F.expr("right(gram, 1)"), F.col("times"))
+    return _metrics(rows, [id_col], _least("p"), F.col("best") == F.expr("right(gram, 1)"), F.col("times"))
+
+
+def _least(p: str) -> Column:
+    return F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(FLOOR))
 
 
 def _metrics(rows: DataFrame, by: list[str], p: Column, hit: Column, times: Column) -> DataFrame:
     n = F.sum(times)
     return rows.groupBy(*by).agg(
         n.cast("long").alias("n"),
-        (F.sum(hit.cast("long") * times) / n).alias("acc"),
+        (F.sum(F.coalesce(hit, F.lit(False)).cast("long") * times) / n).alias("acc"),
         F.pow(F.lit(2.0), -F.sum(F.log2(p) * times) / n).alias("ppl"),
     )
 
 
 def score_backward(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False) -> DataFrame:
-    """Scores with a model of reversed texts, for which ``reversed_model`` needs no second training."""
-    return score(texts.withColumn("_r", F.reverse(col)), id_col, "_r", model, padded)
+    """Scores with a model of reversed texts, whose counts ``reversed_counts`` gives without a second training."""
+    return score(texts.withColumn(col, F.reverse(col)), id_col, col, model, padded)
 
 
 def reversed_counts(ngram: DataFrame) -> DataFrame:
@@ -74,15 +90,12 @@ def bidirectional(texts: DataFrame, id_col: str, col: str, forward: NgramModel,
     """
     f = COMBINE[combine] if isinstance(combine, str) else combine
     left, right = forward.n - 1, backward.n - 1
-    text = F.concat(F.lit(PAD), F.col(col), F.lit(PAD)) if padded else F.col(col)
-    first, last = (F.lit(2), F.length(text) - 1) if padded else (F.lit(left + 1), F.length(text) - right)
-    at = F.when(last >= first, F.sequence(first, last))
-    window = F.transform(at, lambda i: F.struct(
-        F.substring(text, i, F.lit(1)).alias("target"),
-        F.substring(text, F.greatest(i - left, F.lit(1)), F.least(i - 1, F.lit(left))).alias("lctx"),
-        F.reverse(F.substring(text, i + 1, F.lit(right))).alias("rctx"),
-    ))
-    rows = texts.select(id_col, F.posexplode(window).alias("pos", "w")).select(id_col, "pos", "w.*")
+    texts = masked(texts, col, forward)
+    # beyond the padding a noncharacter fills the windows up, and goes when they are taken apart
+    text = F.concat(F.lit(FILL * (left - 1) + PAD), F.col(col), F.lit(PAD + FILL * (right - 1))) if padded else F.col(col)
+    rows = sliding(texts, [id_col], text, left + 1 + right)
+    whole = lambda c: F.translate(c, FILL, "")
+    rows = rows.select(id_col, F.col("start").cast("int").alias("pos"), F.substring("w", left + 1, 1).alias("target"), whole(F.substring("w", 1, left)).alias("lctx"), F.reverse(whole(F.substring("w", left + 2, right))).alias("rctx"))
     pairs = rows.select("lctx", "rctx").distinct()
     pf = distribution(pairs, forward, "lctx").select(F.col("ctx").alias("lctx"), "ch", F.col("p").alias("pf"))
     pb = distribution(pairs, backward, "rctx").select(F.col("ctx").alias("rctx"), "ch", F.col("p").alias("pb"))
@@ -96,7 +109,29 @@ def bidirectional(texts: DataFrame, id_col: str, col: str, forward: NgramModel,
 
 
 def bidirectional_metrics(scored: DataFrame, id_col: str) -> DataFrame:
-    return _metrics(scored, [id_col], F.greatest("p", F.lit(FLOOR)), F.col("best") == F.col("target"), F.lit(1))
+    return _metrics(scored, [id_col], _least("p"), F.col("best") == F.col("target"), F.lit(1))
+
+
+def bidirectional_next(contexts: DataFrame, forward: NgramModel, backward: NgramModel, m: int = 1, combine: str | Callable[[Column, Column], Column] = "product") -> DataFrame:
+    """(left_ctx, right_ctx, rank, ch, p): the m likeliest characters between two contexts, read from left to right, ties by code point."""
+    f = COMBINE[combine] if isinstance(combine, str) else combine
+    pairs = contexts.select("left_ctx", "right_ctx").distinct().withColumn("_r", F.reverse("right_ctx"))
+    pf = distribution(pairs, forward, "left_ctx").select(F.col("ctx").alias("left_ctx"), "ch", F.col("p").alias("pf"))
+    pb = distribution(pairs, backward, "_r").select(F.col("ctx").alias("_r"), "ch", F.col("p").alias("pb"))
+    both = pairs.join(pf, "left_ctx").join(pb, ["_r", "ch"]).withColumn("w", f(F.col("pf"), F.col("pb")))
+    own = W.partitionBy("left_ctx", "right_ctx")
+    ranked = both.withColumn("p", F.col("w") / F.sum("w").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.round("p", 12)), F.ascii("ch"))))
+    return ranked.where(F.col("rank") <= m).select("left_ctx", "right_ctx", "rank", "ch", "p")
+
+
+def generate(starts: DataFrame, id_col: str, col: str, model: NgramModel, length: int) -> DataFrame:
+    """(id, text): each start continued by ``length`` likeliest characters, one round over all starts for each."""
+    now = starts.select(id_col, F.col(col).alias("text"))
+    for _ in range(length):
+        asked = now.withColumn("gram", F.concat("text", F.lit("x")))
+        after = estimate(asked.select("gram").distinct(), model).select("gram", "best")
+        now = kept(asked.join(after, "gram").select(id_col, F.concat("text", "best").alias("text")), "generated")
+    return now
 
 
 def prediction_table(scored: DataFrame, id_col: str) -> DataFrame:
@@ -118,17 +153,16 @@ def garbage_filter(texts: DataFrame, id_col: str, col: str, model: NgramModel, m
 
 
 def train_by(texts: DataFrame, by: str, col: str, n: int) -> dict[str, NgramModel]:
-    """One model for each value of a column of few values."""
-    from .ngram import train
-
-    return {r[0]: train(texts.where(F.col(by) == r[0]), col, n) for r in texts.select(by).distinct().orderBy(by).collect()}
+    """One model for each value of a column of few values; one pass counts for all of them."""
+    counts = kept(ngram_counts(texts, col, n, by=(by,)), "grams_by")
+    values = [r[0] for r in counts.select(by).distinct().orderBy(by).collect()]
+    return {v: build(counts.where(F.col(by) == v).drop(by), n) for v in values}
 
 
 def identify(texts: DataFrame, id_col: str, col: str, models: dict[str, NgramModel]) -> DataFrame:
     """(id, label, ppl): the label whose model is least perplexed; characters a model never saw count as the floor."""
     parts = None
     for label, model in models.items():
-        scored = score(texts, id_col, col, model)
-        one = _metrics(scored, [id_col], F.greatest(F.coalesce("p", F.lit(FLOOR)), F.lit(FLOOR)), F.lit(True), F.lit(1)).select(id_col, "ppl", F.lit(label).alias("label"))
+        one = metrics(texts, id_col, col, model).select(id_col, "ppl", F.lit(label).alias("label"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy(id_col).agg(F.min_by("label", F.struct("ppl", "label")).alias("label"), F.min("ppl").alias("ppl"))

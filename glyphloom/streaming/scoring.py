@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PAD, lines
+from ..functions.text import OOV, PAD, lines, sliding
 from ..operators.ngram import NgramModel
-from ..operators.ocr import local_table
+from ..operators.ocr import fits, local_table
+from ..operators.score import metrics
 from ..ship import ship
 
 
 def perplexity_stream(texts: DataFrame, id_col: str, col: str, model: NgramModel) -> DataFrame:
-    """texts with ``ppl``, unpadded: a stateless map, so it runs on streams as on tables. For models of checked size."""
+    """texts with ``ppl``, unpadded: a stateless map, so it runs on streams as on tables.
+
+    The model's tables go to the workers, after a check of their size. A larger model scores a table by joins; a stream
+    of texts then needs ``perplexity_batches``.
+    """
+    if not fits(model):
+        if texts.isStreaming:
+            raise ValueError("the model is too large for a stateless map; use perplexity_batches")
+        return texts.select(id_col, col).join(metrics(texts, id_col, col, model).select(id_col, "ppl"), id_col, "left")
     ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(local_table(model))
     n = model.n
@@ -25,8 +36,9 @@ def perplexity_stream(texts: DataFrame, id_col: str, col: str, model: NgramModel
         def one(text):
             if text is None or len(text) < n:
                 return None
-            # a character that was never seen has no probability and adds nothing, as in score.metrics
-            bits = sum(table.log2(text[k - n + 1 : k], text[k]) for k in range(n - 1, len(text)) if text[k] in table.unigram)
+            # an unseen character is the out-of-vocabulary one, as in score.metrics
+            text = "".join(c if c in table.unigram else OOV for c in text)
+            bits = sum(table.log2(text[k - n + 1 : k], text[k]) for k in range(n - 1, len(text)))
             return 2 ** (-bits / (len(text) - n + 1))
 
         return values.map(one)
@@ -34,9 +46,13 @@ def perplexity_stream(texts: DataFrame, id_col: str, col: str, model: NgramModel
     return texts.select(id_col, col).withColumn("ppl", ppl(col))
 
 
+def perplexity_batches(texts: DataFrame, id_col: str, col: str, model: NgramModel, write: Callable[[DataFrame, int], None]):
+    """A stream's writer that scores each micro-batch by joins, for models of any size; ``write`` takes (id, n, acc, ppl) and the batch's number."""
+    return texts.select(id_col, col).writeStream.foreachBatch(lambda batch, number: write(metrics(batch, id_col, col, model), number))
+
+
 def count_stream(texts: DataFrame, id_col: str, col: str, n: int) -> DataFrame:
     """Running counts of windows of n characters of padded lines, for update or complete output."""
     rows = lines(texts, id_col, col).where("line <> ''")
     padded = F.concat(F.lit(PAD), F.col("line"), F.lit(PAD))
-    ends = F.when(F.length(padded) >= n, F.sequence(F.lit(n), F.length(padded)))
-    return rows.select(F.explode(F.transform(ends, lambda i: F.substring(padded, i - n + 1, F.lit(n)))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return sliding(rows, [], padded, n).select(F.col("w").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))

@@ -102,6 +102,59 @@ def test_metrics_both_ways(spark, texts, model):
     assert {k: v for k, v in streamed.items() if k in got} == pytest.approx({k: r["ppl"] for k, r in got.items()}) and streamed[2] is None
 
 
+def test_unseen_characters_cost(spark, texts, model):
+    asked = [(0, "abcd ab"), (1, "abc\u6f22 ab"), (2, "abc\u6f22\u6f22ab"), (3, "\u6f22" * 7)]
+    got = {r["id"]: r["ppl"] for r in score.metrics(spark.createDataFrame(asked, "id long, s string"), "id", "s", model).collect()}
+    assert got[0] < got[1] < got[2] < got[3]
+    brute = Brute(texts, 4)
+    dist = [brute.dist("abcd"[max(0, i - 3) : i]).get(c, 1e-13) for i, c in enumerate("abc\u6f22") if i >= 3]
+    assert score.score(spark.createDataFrame([(0, "abc\u6f22")], "id long, s string"), "id", "s", model).first()["p"] == pytest.approx(dist[0])
+    assert score.garbage_filter(spark.createDataFrame(asked, "id long, s string"), "id", "s", model, 5, 20.0).select("id").collect() == [(0,)]
+    assert score.masked(spark.createDataFrame(asked, "id long, s string"), "s", model).where("id = 1").first()["s"] == "abc" + text.OOV + " ab"
+
+
+def test_rare_characters_are_masked_in_training_and_scoring(spark):
+    lines = [("aaaa bbbb " * 30,)] * 5 + [("aaaa q bbbb z",)]
+    m = ngram.train(spark.createDataFrame(lines, "s string"), "s", 3, rare=2)
+    assert m.alphabet() == sorted([PAD, text.OOV, " ", "a", "b"])
+    got = {r["id"]: r["ppl"] for r in score.metrics(spark.createDataFrame([(1, "aa q bb"), (2, "aa x bb")], "id long, s string"), "id", "s", m).collect()}
+    assert got[1] == pytest.approx(got[2]) and got[1] < 1e4
+
+
+def test_long_lines_have_the_same_windows(spark):
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abé\U0001f600 ") for _ in range(n)) for n in (0, 1, 2, 126, 127, 128, 129, 130, 131, 255, 256, 257, 258, 900)]
+    brute = Brute([t for t in long], 3)
+    df = spark.createDataFrame(list(enumerate(long)), "id long, s string")
+    got = {r["gram"]: r["cnt"] for r in ngram.ngram_counts(df, "s", 3).collect()}
+    assert got == {g: c for g, c in brute.cnt.items() if g and c}
+    at = {(r["id"], r["pos"]): r["gram"] for r in score.positions(df, "id", "s", 3).collect()}
+    assert at == {(k, i): t[i : i + 3] for k, t in enumerate(long) for i in range(len(t) - 2)}
+    padded = {(r["id"], r["pos"]): r["gram"] for r in score.positions(df, "id", "s", 3, padded=True).collect()}
+    assert padded == {(k, i - 2): (PAD + t + PAD)[max(0, i - 3) : i] for k, t in enumerate(long) for i in range(2, len(t) + 3)}
+    rows = {(r["id"], r["pos"]): (r["ch"], r["left_ctx"], r["right_ctx"]) for r in text.windows(df, ["id"], "s", 3, 2).collect()}
+    assert rows == {(k, i + 1): (c, (PAD * 3 + t)[i : i + 3], (t + PAD * 2)[i + 1 : i + 3]) for k, t in enumerate(long) for i, c in enumerate(t)}
+
+
+def test_bidirectional_top_and_generation(spark, texts, model):
+    forward, turned = Brute(texts, 4), Brute([t[::-1] for t in texts], 4)
+    backward = ngram.build(score.reversed_counts(model.ngram), 4)
+    asked = spark.createDataFrame([("abc", "dab"), ("", "a"), ("bad", "")], "left_ctx string, right_ctx string")
+    got = {(r["left_ctx"], r["right_ctx"], r["rank"]): (r["ch"], r["p"]) for r in score.bidirectional_next(asked, model, backward, 2).collect()}
+    for left, right in (("abc", "dab"), ("", "a"), ("bad", "")):
+        a, b = forward.dist(left), turned.dist(right[::-1])
+        w = {c: a[c] * b[c] for c in a}
+        ranked = sorted(w, key=lambda c: (-round(w[c] / sum(w.values()), 12), ord(c)))
+        for k in (1, 2):
+            assert got[left, right, k][0] == ranked[k - 1] and got[left, right, k][1] == pytest.approx(w[ranked[k - 1]] / sum(w.values()))
+    out = {r["id"]: r["text"] for r in score.generate(spark.createDataFrame([(1, "ab"), (2, "")], "id long, s string"), "id", "s", model, 3).collect()}
+    for k, start in ((1, "ab"), (2, "")):
+        now = start
+        for _ in range(3):
+            now += Brute.best(forward.dist(now))
+        assert out[k] == now
+
+
 @pytest.mark.parametrize("combine", ["product", "max", "sum", "harmonic"])
 def test_bidirectional(spark, texts, model, combine):
     f = {"product": lambda a, b: a * b, "max": max, "sum": lambda a, b: a + b, "harmonic": lambda a, b: 2 * a * b / (a + b)}[combine]
