@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local master gets
-    a folder of its own; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphloom_"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+from ..storage import shared_dir
 
 
 class Scratch:
@@ -106,17 +97,27 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return own.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def slices(texts: list[str | None], most: int = 2 << 20):
-    """(first index, texts): runs of texts of about ``most`` characters, which bounds a worker's memory; one text is never divided."""
-    some, size, first = [], 0, 0
-    for text in texts:
-        some.append(text)
-        size += len(text or "") + 16
-        if size >= most:
-            yield first, some
-            first, some, size = first + len(some), [], 0
-    if some:
-        yield first, some
+def parts(batches, column: int, most: int = 2 << 20):
+    """The rows of Arrow batches in parts of about ``most`` bytes of a text column, which bounds a worker's memory; one
+    text is never divided. When the rows are over the worker gives free memory back, since it lives on for other stages."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 16
+        part = np.cumsum(size) // most
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+        for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(s, e - s)
+    release()
+
+
+def release() -> None:
+    """Gives memory that Python has freed back to the system, where its allocator can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

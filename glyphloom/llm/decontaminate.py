@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import slices
+from .common import parts
 
 #: A-Z become lower case; what is no letter, digit or byte from 0x80 on divides words.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -243,10 +243,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches, shared=shared):
             index = shared.value
-            for batch in batches:
-                ids, hits = batch.column(0), []
-                for first, some in slices(batch.column(1).to_pylist()):
-                    hits += sorted((first + h[0], *h[1:]) for h in index.search([words(t) for t in some]))
+            for batch in parts(batches, 1):
+                ids, hits = batch.column(0), sorted(index.search([words(t) for t in batch.column(1).to_pylist()]))
                 k, item, start, size, edits, n = (np.array([h[c] for h in hits], np.int64) for c in range(6))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), pa.array(np.array(index.ids, np.int64)[item] if len(item) else item), pa.array(start), pa.array(size), pa.array(edits), pa.array(1 - edits / np.maximum(n, 1))], names=[id_col, *_OUT.names])
 
@@ -265,10 +263,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         def run(batches, shared=shared, at=at):
             index = shared.value
-            for batch in batches:
+            for batch in parts(batches, at):
                 stays = np.ones(batch.num_rows, bool)
-                for first, some in slices(batch.column(at).to_pylist()):
-                    stays[[first + h[0] for h in index.search([words(t) for t in some])]] = False
+                stays[[h[0] for h in index.search([words(t) for t in batch.column(at).to_pylist()])]] = False
                 yield batch.filter(pa.array(stays))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .common import parts
 
 #: The base phrases and their labels.
 PHRASES = {
@@ -44,7 +45,7 @@ def token_frequencies(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, i
     """In how many texts of the whole table each template token stands. One number a token reaches the driver."""
 
     def count(batches):
-        for batch in batches:
+        for batch in parts(batches, 0):
             found: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 found.update(vocabulary.intersection(words(text)))
@@ -174,7 +175,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     spaced = [(b" " + b" ".join(words(p)) + b" ", 0, label) for p, label in phrases.items()]
 
     def judge(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             rows: list[list] = [[] for _ in _OUT]
             for text in batch.column(1).to_pylist():
                 found = words(text)

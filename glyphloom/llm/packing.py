@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, numbered, salts
+from .common import Scratch, numbered, parts, salts
 
 #: The letters, digits and white space up to U+024F as the split pattern below has them.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r\x20\x85\xa0"
@@ -22,7 +22,7 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: The byte-level split pattern for texts up to U+024F, for the faster of the two pattern libraries.
 NEAR_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: A worker keeps the ids of at most so many different words; then it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class ByteBPE:
@@ -243,7 +243,7 @@ _PLACED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def _cut_documents(batches, window: int, ranks_file: str | None):
     tokenizer = load_tokenizer(ranks_file)
     end = b"\0\0\0\0"
-    for batch in batches:
+    for batch in parts(batches, 1):
         rows: list[list] = [[] for _ in _PIECES]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = tokenizer.encode(text or "") + end

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch
+from .common import Scratch, parts
 
 #: The end of a text is a token of this one byte, which no UTF-8 text holds.
 END = b"\xff"
@@ -66,7 +66,7 @@ class _Chunk:
 
 def _to_chunks(batches):
     now = _Chunk()
-    for batch in batches:
+    for batch in parts(batches, 2):
         for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             now.add(doc_id, held, text)
             if now.full():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, components, free_name
+from .common import Scratch, components, free_name, parts, release
 
 #: A bucket of more fingerprints is compared in blocks of this size, each pair of blocks on its own.
 BLOCK = 2048
@@ -243,6 +243,7 @@ def _scan_buckets(batches, most: int, block: int):
             yield out([], tail, tail_key)
         elif len(tail) > 1:
             yield out(link(tail, None, most), None, None)
+    release()
 
 
 def _block_links(pdf, columns: list[str], most: int):
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "simhash")
 
     def hashed(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             values = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(_signed(values))], names=["id", "print"])
 
@@ -421,7 +422,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "near")
 
     def hashed(batches):
-        for batch in batches:
+        for batch in parts(batches, 2):
             values = np.zeros((batch.num_rows, 2), np.uint64)
             made, digests = [], np.zeros(batch.num_rows, np.uint64)
             for k, text in enumerate(batch.column(2).to_pylist()):
@@ -446,7 +447,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = scratch.keep(sets.join(several, "root").select("root", "digest", "n", F.col("first.id").alias("_id"), F.col("first.key").alias("_key")), "members")
 
     def shingled(batches):
-        for batch in batches:
+        for batch in parts(batches, 3):
             made = [np.unique(shingle_hashes(t, shingle, 42)).view(np.int64) for t in batch.column(3).to_pylist()]
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.list_(pa.int64()))], names=["root", "digest", "n", "shingles"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import slices
+from .common import parts, release
 
 #: A-Z become lower case; what is no letter, digit or byte from 0x80 on divides words.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -21,7 +21,7 @@ _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 6
 TOXIC = 0.3
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps the scores of at most so many different words; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: New words are scored so many at a time, and the fitted scorer leaves its worker in parts of so many bytes.
 SLICE_WORDS, PART_BYTES = 20_000, 4 << 20
 
@@ -108,7 +108,8 @@ class KneserNey:
             levels.append((unique, c.astype(np.float32), *(v.astype(np.float32) if k else v for k, v in enumerate(_sums(low, c, np.ones(len(c)))))))
             above_end = ends[where]
         small = lambda t: tuple(v.astype(np.float32) if k else v for k, v in enumerate(t))
-        return cls(order, discount, small((grams, *n)), small(contexts), levels[::-1])
+        # the longest level only led to the others
+        return cls(order, discount, small((grams, *n)), small(contexts), levels[:0:-1])
 
     def byte_logs(self, at: Positions) -> np.ndarray:
         """(2, positions): log p(byte | the word's bytes before, ordinary), and the same for toxic."""
@@ -244,6 +245,19 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _squeezed(scorer: Scorer) -> bytes:
+    """The scorer pickled and compressed, piece by piece."""
+    out, squeeze = bytearray(), zlib.compressobj(1)
+
+    class Sink:
+        def write(self, piece) -> int:
+            out.extend(squeeze.compress(piece))
+            return memoryview(piece).nbytes
+
+    pickle.dump(scorer, Sink(), 5)
+    return bytes(out + squeeze.flush())
+
+
 def _restored(body: bytes) -> Scorer:
     return pickle.loads(zlib.decompress(body))
 
@@ -256,7 +270,7 @@ class Fitted:
 
     @classmethod
     def of(cls, scorer: Scorer) -> Fitted:
-        return cls(zlib.compress(pickle.dumps(scorer, 5), 1))
+        return cls(_squeezed(scorer))
 
     def __reduce__(self):
         return _restored, (self._body,)
@@ -379,7 +393,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if left >= 0:
                     found.append(text)
                     toxic.append(y)
-        raw = zlib.compress(pickle.dumps(fit_texts(found, toxic, share, order), 5), 1)
+        raw = _squeezed(fit_texts(found, toxic, share, order))
+        del found
+        release()
         for k, at in enumerate(range(0, len(raw), PART_BYTES)):
             yield pa.record_batch([pa.array([k]), pa.array([raw[at : at + PART_BYTES]], pa.binary())], names=["part", "body"])
 
@@ -404,10 +420,8 @@ def score(docs: DataFrame, fitted: Fitted, text_col: str = "text", out: str = "s
         if not cache:
             cache.append(_Known(shared.value))
         known = cache[0]
-        for batch in batches:
-            rows = []
-            for _, some in slices(batch.column(at).to_pylist()):
-                rows += known.rows([words(t) for t in some])
+        for batch in parts(batches, at):
+            rows = known.rows([words(t) for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.scorer.probability(np.array(rows).reshape(-1, FEATURES)))], names=[*batch.schema.names, out])
 
     if out in docs.columns:
