@@ -20,11 +20,22 @@ def _scaled(value: Column, low: Column, high: Column) -> Column:
     return F.when(span > 0, F.floor((value - low).cast("double") / span * float(2**31 - 1))).otherwise(F.lit(0)).cast("long")
 
 
+def _reached(hist: DataFrame, bin_col: str) -> DataFrame:
+    """(node, dim, target, bin, base, w): the first bin of each node at which the weights up to it reach the target, or its last."""
+    own = W.partitionBy("node")
+    upto = F.col("base") + F.sum("w").over(own.orderBy(bin_col).rowsBetween(W.unboundedPreceding, 0))
+    last = F.max(bin_col).over(own)
+    found = hist.withColumn("upto", upto).withColumn("last", last).where((F.col("upto") >= F.col("target")) | (F.col(bin_col) == F.col("last")))
+    found = found.groupBy("node", "dim", "target").agg(F.min(F.struct(F.col(bin_col).alias("bin"), (F.col("upto") - F.col("w")).alias("base"), "w")).alias("s"))
+    return found.select("node", "dim", "target", F.col("s.bin").alias("bin"), F.col("s.base").alias("base"), F.col("s.w").alias("w"))
+
+
 def _median_cuts(points: DataFrame, dims: int) -> DataFrame:
     """(node, dim, cut, with_cut): for each node the widest dimension and the key where the left share ends.
 
     points: node, share (of the weight that goes left), weight, keys array<long>. One histogram of at
-    most 65536 bins a node and round, so that neither a node nor a key is ever gathered in one place.
+    most 65536 bins a node and round, which is searched by its 256 groups of bins and then within one of them, so that
+    neither a node nor its histogram is ever gathered in one place.
     """
     spans = [F.max(F.col("keys")[d]) - F.min(F.col("keys")[d]) for d in range(dims)]
     nodes = points.groupBy("node").agg(F.max("share").alias("share"), F.sum("weight").alias("total"), F.array(*spans).alias("spans"))
@@ -36,15 +47,14 @@ def _median_cuts(points: DataFrame, dims: int) -> DataFrame:
         key = F.expr("keys[dim]")
         near = near.where(F.shiftright(key, left) == F.col("prefix")) if left < 63 else near
         left -= bits
-        hist = near.groupBy("node", "dim", "target", "base", F.shiftright(key, left).alias("prefix")).agg(F.sum("weight").alias("w"))
-        upto = F.col("base") + F.sum("w").over(W.partitionBy("node").orderBy("prefix").rowsBetween(W.unboundedPreceding, 0))
-        last = F.max("prefix").over(W.partitionBy("node"))
-        hist = hist.withColumn("upto", upto).withColumn("last", last).where((F.col("upto") >= F.col("target")) | (F.col("prefix") == F.col("last")))
-        state = hist.groupBy("node", "dim", "target").agg(F.min(F.struct("prefix", (F.col("upto") - F.col("w")).alias("base"), "w")).alias("s"))
-        state = state.select("node", "dim", "target", F.col("s.prefix").alias("prefix"), F.col("s.base").alias("base"), F.col("s.w").alias("w"))
-        cut, state = state, state.drop("w")
+        hist = near.groupBy("node", "dim", "target", "base", F.shiftright(key, left).alias("bin")).agg(F.sum("weight").alias("w"))
+        groups = hist.groupBy("node", "dim", "target", "base", F.shiftright("bin", bits // 2).alias("bin")).agg(F.sum("w").alias("w"))
+        group = _reached(groups, "bin").select(F.col("node").alias("_node"), F.col("bin").alias("_group"), F.col("base").alias("_base"))
+        within = hist.join(F.broadcast(group), (F.col("node") == F.col("_node")) & (F.shiftright("bin", bits // 2) == F.col("_group")))
+        cut = _reached(within.select("node", "dim", "target", F.col("_base").alias("base"), "bin", "w"), "bin")
+        state = cut.select("node", "dim", "target", F.col("bin").alias("prefix"), "base")
     nearer = F.abs(F.col("base") + F.col("w") - F.col("target")) < F.abs(F.col("target") - F.col("base"))
-    return cut.select("node", "dim", F.col("prefix").alias("cut"), nearer.alias("with_cut"))
+    return cut.select("node", "dim", F.col("bin").alias("cut"), nearer.alias("with_cut"))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("lang", "source"), n_shards: int | None = None, target_bytes: int = 256 << 20) -> DataFrame:

@@ -81,6 +81,43 @@ def test_shards(spark):
     assert kd_shard.shard(docs_of(spark, ODD), target_bytes=20).count() == len(ODD)
 
 
+def test_shards_against_a_tree_by_hand(spark):
+    """The same cuts, found by sorting each node's points: the widest dimension, the key nearest the weighted share."""
+    rng = random.Random(21)
+    rows = [(i, "x" * rng.choice([1, 3, 10, 40, 200]) + f" {i % 50}") for i in range(300)]
+    got = {r["doc_id"]: r["shard"] for r in kd_shard.shard(docs_of(spark, rows), n_shards=6).collect()}
+    texts = dict(rows)
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    hashed = {r["t"]: (r["h"], r["m0"], r["m1"]) for r in spark.createDataFrame([(t,) for t in groups], "t string").select("t", F.expr("shiftrightunsigned(xxhash64(unhex(sha2(t, 256))), 32)").alias("h"), F.expr("shiftrightunsigned(xxhash64('en'), 33)").alias("m0"), F.expr("shiftrightunsigned(xxhash64('src0'), 33)").alias("m1")).collect()}
+    firsts, sizes = {t: min(ids) for t, ids in groups.items()}, {t: len(t.encode()) + 1 for t in groups}
+    scale = lambda v, values: int((v - min(values)) / (max(values) - min(values)) * float(2**31 - 1)) if max(values) > min(values) else 0
+    keys = {t: [(v << 32) | hashed[t][0] for v in (scale(firsts[t], list(firsts.values())), scale(sizes[t], list(sizes.values())), hashed[t][1], hashed[t][2])] for t in groups}
+    weight = {t: sizes[t] * len(groups[t]) for t in groups}
+    want = {}
+
+    def cut(own, node, leaves):
+        if leaves == 1 or not own:
+            want.update({i: node for t in own for i in groups[t]})
+            return
+        half = leaves // 2
+        spans = [max(keys[t][d] for t in own) - min(keys[t][d] for t in own) for d in range(4)]
+        d = spans.index(max(spans))
+        target, upto = sum(weight[t] for t in own) * half / leaves, 0
+        ordered = sorted(own, key=lambda t: keys[t][d])
+        for k, t in enumerate(ordered):
+            before, upto = upto, upto + weight[t]
+            if upto >= target:
+                break
+        n = k + 1 if abs(upto - target) < abs(target - before) else k
+        cut(ordered[:n], node, half)
+        cut(ordered[n:], node + half, leaves - half)
+
+    cut(list(groups), 0, 6)
+    assert got == want and len(texts) == 300
+
+
 def test_numbering_is_dense_with_ties(spark):
     scratch = common.Scratch(spark, "t")
     df = scratch.keep(spark.range(500).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("o")), "x")
