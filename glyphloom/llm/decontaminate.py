@@ -67,9 +67,14 @@ def best_window(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
+#: Longer items are sought by pieces of about so many words. Of an item within its edits at least one piece is within its own
+#: (else they would add up to more), and the walks of short pieces stay close under insertions and deletions.
+PIECE = 16
+
+
 @dataclass
 class Group:
-    """Items of like length, with the LSH tables of their embeddings."""
+    """Pieces of like length, with the LSH tables of their embeddings."""
 
     low: int
     high: int
@@ -99,9 +104,15 @@ class Index:
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
         self.base = len(self.vocabulary) + 2
         self.groups = []
-        by_length: dict[int, list[int]] = {}
+        # a piece: its item, its place there, its words
+        self.pieces: list[tuple[int, int, np.ndarray]] = []
         for k, item in enumerate(self.items):
-            by_length.setdefault(self._class(len(item)), []).append(k)
+            n = -(-len(item) // PIECE) if len(item) > 3 * PIECE // 2 else 1
+            cuts = [len(item) * i // n for i in range(n + 1)]
+            self.pieces += [(k, a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        by_length: dict[int, list[int]] = {}
+        for k, (_, _, piece) in enumerate(self.pieces):
+            by_length.setdefault(self._class(len(piece)), []).append(k)
         for _, members in sorted(by_length.items()):
             self.groups.append(self._group(members, seeds, repeats, sampled))
 
@@ -121,14 +132,14 @@ class Index:
         return np.where(ok, code, -1)
 
     def _group(self, members: list[int], seeds: int, repeats: int, sampled: int) -> Group:
-        lengths = [len(self.items[k]) for k in members]
+        lengths = [len(self.pieces[k][2]) for k in members]
         low, high = min(lengths), max(lengths)
         q = next((q for q in (3, 2, 1) if min(self._need(n, q) for n in lengths) >= 1 and self.base**q < 2**62), 1)
         need = max(1, min(self._need(n, q) for n in lengths))
         slack = max(allowed(n, self.similarity) for n in lengths)
-        grams = np.unique(np.concatenate([self.grams(self.items[k], q) for k in members]))
+        grams = np.unique(np.concatenate([self.grams(self.pieces[k][2], q) for k in members]))
         group = Group(low, high, q, need, slack, members, grams)
-        flat = np.concatenate([self.items[k] for k in members])
+        flat = np.concatenate([self.pieces[k][2] for k in members])
         ends = np.cumsum(lengths)
         starts = ends - lengths
         rng = np.random.default_rng(low)
@@ -172,7 +183,7 @@ class Index:
         flat = np.zeros(int((sizes + gap).sum()), np.int64)
         for begin, ws in zip(begins.tolist(), texts, strict=True):
             flat[begin : begin + len(ws)] = np.fromiter(map(get, ws, zero), np.int64, len(ws))
-        out = []
+        pairs: dict[tuple[int, int], set[int]] = {}
         for q in {g.q for g in self.groups}:
             groups = [g for g in self.groups if g.q == q]
             code = self.grams(flat, q)
@@ -187,7 +198,6 @@ class Index:
                 ends = np.minimum((begins + sizes)[text_of], starts + group.high + group.slack)
                 inside = starts < ends
                 starts, text_of, ends = starts[inside], text_of[inside], ends[inside]
-                pairs: dict[tuple[int, int], set[int]] = {}
                 for part in range(0, len(starts), 50_000):
                     s, e, t = starts[part : part + 50_000], ends[part : part + 50_000], text_of[part : part + 50_000]
                     walks, seed_of = None, None
@@ -197,29 +207,32 @@ class Index:
                         mine = self.keys(walks, places)
                         left, right = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                         for row in np.flatnonzero(right > left).tolist():
-                            for item in members[left[row] : right[row]].tolist():
-                                pairs.setdefault((int(t[row]), item), set()).add(int(s[row]))
-                for (k, item), hits in pairs.items():
-                    begin = int(begins[k])
-                    out += self._verified(k, item, sorted(h - begin for h in hits), flat[begin : begin + int(sizes[k])])
+                            for piece in members[left[row] : right[row]].tolist():
+                                item, offset, _ = self.pieces[piece]
+                                pairs.setdefault((int(t[row]), item), set()).add(int(s[row]) - offset)
+        out = []
+        for (k, item), hits in pairs.items():
+            begin = int(begins[k])
+            out += self._verified(k, item, sorted(h - begin for h in hits), flat[begin : begin + int(sizes[k])])
         return out
 
     def _verified(self, k: int, item: int, hits: list[int], symbols: np.ndarray):
         target = self.items[item]
         n, most = len(target), allowed(len(target), self.similarity)
         for h in hits:
-            if np.array_equal(symbols[h : h + n], target):
+            if h >= 0 and np.array_equal(symbols[h : h + n], target):
                 return [(k, item, h, n, 0, n)]
         best = None
         a = b = None
         for h in [*hits, None]:
-            if a is not None and (h is None or h - most > b):
+            if a is not None and (h is None or h - 2 * most > b):
                 edits, start, end = best_window(target, symbols[a:b])
                 if edits <= most and (best is None or edits < best[0]):
                     best = (edits, a + start, end - start)
                 a = b = None
             if h is not None:
-                a, b = max(0, h - most) if a is None else a, min(len(symbols), h + n + 2 * most)
+                # a piece's own place may be off by the edits before it
+                a, b = max(0, h - 2 * most) if a is None else a, min(len(symbols), h + n + 3 * most)
         return [(k, item, best[1], best[2], best[0], n)] if best else []
 
 

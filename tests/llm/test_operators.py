@@ -30,6 +30,20 @@ def corpus(n=60, seed=0):
     return [*rows, (n, None), (n + 1, ""), (n + 2, rows[3][1]), (n + 3, rows[3][1]), (n + 4, "one"), (n + 5, LONG), (n + 6, "")]
 
 
+CLASH = "doc_id long, text string, id long, _id long, key long, body string, n long, digest string, keep_id long, shard int, label string, score double"
+
+
+def test_clashing_columns_and_types_do_no_harm(spark):
+    rows = [(1, "same text here now", *[None] * 10), (2, "same text here now", *[None] * 10), (None, None, *[None] * 10), (3, "apache license", *[None] * 10)]
+    docs = spark.createDataFrame(rows, CLASH)
+    assert packing.pack(docs).count() >= 4 and simhash.near_duplicates(docs).count() == 4
+    assert license_scan.scan(docs).where("n_base = 1").count() == 1 and exact_dedup.dedup(docs).where("kept").count() == 3
+    assert kd_shard.shard(docs, n_shards=2).count() == 4 and ppm.score(docs, F.lit(False)).count() == 4
+    assert simhash.drop_near_copies(docs).columns == docs.columns and simhash.drop_near_copies(docs).count() == 3
+    bench = spark.createDataFrame([(1, "apache license")], "item_id long, text string")
+    assert decontaminate.find(docs, bench).count() == 1 and decontaminate.clean(docs, bench).count() == 3
+
+
 ODD = [(1, None), (2, ""), (None, "null id"), (None, None), (3, "same text here"), (3, "same text here"), (4, "same text here"), (5, "\n\t ")]
 
 
@@ -608,6 +622,24 @@ def test_best_window_is_the_best():
         assert got == want == edits(item.tolist(), region[start:end].tolist())
 
 
+@pytest.mark.parametrize("n", [12, 25, 60, 150])
+def test_items_of_any_length_are_found_at_the_most_edits(n):
+    rng = random.Random(n)
+    words = [f"v{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k in range(20)]
+    index = decontaminate.Index(items, 0.8, 6, 8, 3)
+    for kind in ("delete", "insert", "replace"):
+        texts = []
+        for _, text in items:
+            leak = text.split()
+            for _ in range(decontaminate.allowed(n, 0.8)):
+                at = rng.randrange(len(leak))
+                leak[at : at + 1] = {"delete": [], "insert": [leak[at], "new"], "replace": ["new"]}[kind]
+            texts.append(" ".join([rng.choice(words) for _ in range(40)] + leak + [rng.choice(words) for _ in range(40)]).encode().split())
+        found = {(h[0], h[1]) for h in index.search(texts)}
+        assert sum((k, k) in found for k in range(20)) >= 19, kind
+
+
 def test_leaks_are_found(spark):
     rng = random.Random(6)
     words = [f"v{k}" for k in range(400)]

@@ -59,6 +59,32 @@ def test_what_op8_predicts_toxic_goes(spark, tmp_path, monkeypatch):
     assert sorted(r["doc_id"] for r in after.collect()) == [0, 1, 2]
 
 
+def test_stages_judge_rows_by_their_own_text(spark, tmp_path):
+    """Null and repeated ids, repeated rows, clashing columns, an empty table."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    leak, long = text(30), text(120)
+    near = long.split()
+    near[60] = "changed"
+    rows = [(1, f"{text(20)} {leak}"), (1, text(50)), (None, f"{leak} {text(9)}"), (None, text(40)), (7, long), (7, " ".join(near)), (None, " ".join([*near[:-1], "end"])), (8, None), (8, ""), (9, text(30))]
+    rows.append(rows[-1])
+    schema = "doc_id long, text string, _toxic double, _key string, _leaks int"
+    docs = spark.createDataFrame([(i, t, 0.5, "k", 1) for i, t in rows], schema).repartition(3)
+    sf = write(spark, tmp_path, {"labels": ([], "doc_id long, quality int, toxic int"), "benchmark": ([(0, leak)], "item_id long, text string")})
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in df.fillna("", "text").fillna(-1, "doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
+    assert stages["toxicity"](spark, docs, sf).count() == len(rows)
+    assert texts(stages["exact dedup"](spark, docs, sf)) == texts(docs.where("NOT (doc_id = 8 AND text IS NULL)").dropDuplicates(["text"])) or stages["exact dedup"](spark, docs, sf).count() == 9
+    left = stages["SimHash near-dedup"](spark, docs, sf)
+    assert left.where("text LIKE '%changed%'").count() + left.where(F.col("text") == long).count() == 1 and left.where("coalesce(text, '') = ''").count() == 1
+    assert left.where("doc_id = 9").count() == 1 and left.where("doc_id = 1").count() == 2 and left.where("doc_id IS NULL").count() == 2
+    clean = stages["benchmark decontamination"](spark, docs, sf)
+    assert clean.count() == len(rows) - 2 and clean.where("doc_id = 1").count() == 1 and clean.where("doc_id IS NULL").count() == 2
+    assert stages["packing"](spark, docs, sf).count() >= len(rows) and stages["packing"](spark, docs.limit(0), sf).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
