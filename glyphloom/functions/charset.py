@@ -66,6 +66,18 @@ def input_ids(counts: DataFrame, table: DataFrame, least: int = 1000) -> DataFra
     return norms.select("norm", "cnt", F.row_number().over(W.orderBy("place")).cast("long").alias("id"))
 
 
+def encode_text(df: DataFrame, col: str, ids: dict[str, int], out: str) -> DataFrame:
+    """df with ``out``: the ids of a text's characters, 0 for those without one."""
+    known = F.create_map(*[F.lit(v) for pair in ids.items() for v in pair]) if ids else F.create_map().cast("map<string,int>")
+    return df.withColumn(out, F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.coalesce(known[c], F.lit(0))))
+
+
+def decode_ids(df: DataFrame, col: str, ids: dict[str, int], out: str) -> DataFrame:
+    """df with ``out``: the text of ids, the out-of-vocabulary character for 0 and unknown ones."""
+    known = F.create_map(*[F.lit(v) for c, k in ids.items() for v in (k, c)]) if ids else F.create_map().cast("map<int,string>")
+    return df.withColumn(out, F.array_join(F.transform(col, lambda k: F.coalesce(known[k], F.lit(OOV))), ""))
+
+
 def replace_unknown(df: DataFrame, col: str, known: list[str], out: str) -> DataFrame:
     """Every character outside ``known`` becomes the out-of-vocabulary character."""
     inside = "".join("\\" + c if c in "\\]^-[&" else c for c in sorted(known))

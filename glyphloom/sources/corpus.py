@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import text
 from ..operators.ngram import NgramModel, build
 
 
@@ -69,6 +70,20 @@ def load_model(spark: SparkSession, path: str) -> NgramModel:
     return build(rows.drop("order"), rows.select(F.max("order")).first()[0])
 
 
+def save_words(lines: DataFrame, path: str) -> None:
+    """Counts of words, and of word parts after hyphens and after dashes, as three tables."""
+    counted = lambda rows, name: rows.groupBy(name).agg(F.count(F.lit(1)).alias("cnt"))
+    counted(text.words(lines), "word").write.mode("overwrite").parquet(f"{path}/words")
+    for name, pattern in (("hyphen", text.HYPHEN_SUFFIX), ("dash", text.DASH_SUFFIX)):
+        counted(text.suffixes(lines, pattern), "suffix").write.mode("overwrite").parquet(f"{path}/{name}_suffixes")
+
+
+def load_words(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of ``save_words``."""
+    words, hyphen, dash = (spark.read.parquet(f"{path}/{name}") for name in ("words", "hyphen_suffixes", "dash_suffixes"))
+    return words, hyphen, dash
+
+
 def encoder_json(ids: DataFrame, norms: DataFrame) -> str:
     """The vocabulary's state: [codes by normal form, width of a feature vector, known characters]."""
     codes = {r["norm"]: r["id"] for r in ids.collect()}

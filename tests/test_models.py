@@ -216,6 +216,39 @@ def test_files_models_and_progress(spark, tmp_path, model):
     assert {(r["line"], r["label"]) for r in corpus.read_labelled(spark, str(tmp_path / "t")).collect()} == {("ab-", "1"), ("cd", "0")}
 
 
+def test_words_codes_and_vowels(spark, tmp_path):
+    lines = spark.createDataFrame([("f", 0, "kis-lány jön-megy alma, alma"), ("f", 1, "szó – beszéd.")], "file string, line_no int, line string")
+    corpus.save_words(lines, str(tmp_path / "w"))
+    words, hyphen, dash = corpus.load_words(spark, str(tmp_path / "w"))
+    assert {r["word"]: r["cnt"] for r in words.collect()} == {"kis-lány": 1, "jön-megy": 1, "alma": 2, "szó": 1, "beszéd": 1}
+    assert {r["suffix"] for r in hyphen.collect()} == {"lány", "megy"} and {r["suffix"] for r in dash.collect()} == {"beszéd"}
+    ids = {"a": 1, "b": 2, "é": 3}
+    df = charset.encode_text(spark.createDataFrame([(1, "abéx"), (2, ""), (3, None)], "id long, t string"), "t", ids, "codes")
+    got = {r["id"]: (r["codes"], r["back"]) for r in charset.decode_ids(df, "codes", ids, "back").collect()}
+    assert got == {1: ([1, 2, 3, 0], "abé" + text.OOV), 2: ([], ""), 3: (None, None)}
+    from glyphloom.operators import dehyphen
+
+    assert spark.createDataFrame([("Őrület",)], "w string").select(dehyphen.vowels("w")).first()[0] == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glyphloom.__main__ import COMMANDS, main
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.txt").write_text("the town was asleep\nin the mist of the morning\n")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.txt").write_text("the town well-known considerable mist\nthe mor-\nning")
+    (tmp_path / "lex").write_text("morning\ntown\n")
+    at = lambda n: str(tmp_path / n)
+    main(["train", at("c"), at("m"), "--order", "3"])
+    main(["words", at("c"), at("w")])
+    for command in (["score", at("m"), at("t")], ["entropy", at("m"), at("t")], ["variants", at("m"), at("t")], ["rules", at("w"), at("lex"), at("t"), "--end-of-line"], ["baseline", at("t")], ["wrap", at("t"), "--maxlength", "20"], ["passages", at("c"), "1.0"], ["merge", at("m"), at("t"), at("t")]):
+        main([*command, "--out", at("out")])
+        assert spark.read.parquet(at("out")).count() >= 1, command
+    assert spark.read.parquet(at("out")).first()["merged"].startswith("the town")
+    assert len(COMMANDS) == 16
+
+
 def test_count_stream(spark, tmp_path):
     spark.createDataFrame([(1, "abab")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
