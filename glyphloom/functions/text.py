@@ -62,8 +62,8 @@ def sliding(df: DataFrame, keep: list[str], text: Column | str, size: int, heads
 def segments(lines_df: DataFrame, id_col: str = "doc_id", most: int = 4, seed: int = 222) -> DataFrame:
     """(id, seg_no, seg): runs of 1 to ``most`` lines, a length being as likely as it is large, newlines kept inside.
 
-    The length that a line would start comes from a hash of (id, line, seed), so runs are reproducible: the starts
-    are found by walking each document's line lengths once.
+    The length that a line would start comes from a hash of (id, line, seed), so runs are reproducible; each document's
+    lines are walked once.
     """
     total = most * (most + 1) // 2
     draw = F.pmod(F.xxhash64(id_col, "line_no", F.lit(seed)), F.lit(total)) + 1
@@ -72,13 +72,21 @@ def segments(lines_df: DataFrame, id_col: str = "doc_id", most: int = 4, seed: i
         length = F.when(draw > k * (k + 1) // 2, F.lit(k + 1)).otherwise(length)
     rows = lines_df.withColumn("want", length.cast("int"))
     per_doc = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "want"))).alias("ls"))
-    walk = """aggregate(ls, named_struct('left', 0, 'no', -1, 'out', cast(array() as array<int>)),
-        (s, x) -> named_struct('left', if(s.left = 0, x.want, s.left) - 1, 'no', if(s.left = 0, s.no + 1, s.no),
-                               'out', concat(s.out, array(if(s.left = 0, s.no + 1, s.no)))), s -> s.out)"""
-    marked = per_doc.select(id_col, F.explode(F.arrays_zip("ls", F.expr(walk).alias("no"))).alias("z"))
-    flat = marked.select(id_col, F.col("z.no").alias("seg_no"), F.col("z.ls.line_no").alias("line_no"), F.col("z.ls.line").alias("line"))
-    joined = flat.groupBy(id_col, "seg_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return joined.select(id_col, "seg_no", F.expr("trim(BOTH '\n' FROM array_join(transform(l, x -> x.line), '\n'))").alias("seg"))
+    per_doc = per_doc.select(id_col, F.col("ls.line").alias("lines"), F.col("ls.want").alias("wants"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[tuple[int, int, str]] = []
+            for k, (lines, wants) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at = no = 0
+                while at < len(lines):
+                    out.append((k, no, "\n".join(lines[at : at + wants[at]]).strip("\n")))
+                    at, no = at + wants[at], no + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], names=[id_col, "seg_no", "seg"])
+
+    return per_doc.mapInArrow(run, per_doc.select(id_col).schema.add("seg_no", "integer").add("seg", "string"))
 
 
 def windows(df: DataFrame, keep: list[str], col: str, left: int, right: int) -> DataFrame:
