@@ -18,7 +18,7 @@ from .common import Scratch, parts
 END = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A chunk of texts ends at so many different words or bytes, whichever comes first.
-CHUNK_WORDS, CHUNK_BYTES = 400_000, 32 << 20
+CHUNK_WORDS, CHUNK_BYTES = 400_000, 16 << 20
 #: A block of word pairs gets so many running words' pairs; a word after which more running words stand is dealt to several.
 BLOCK_TOKENS, HOT_TOKENS = 2_000_000, 500_000
 #: A window of bytes is one long: its length above 56 bits, its last byte lowest.

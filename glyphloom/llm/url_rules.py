@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import lower_ascii
+from .common import lower_ascii, salts
 
 RULE_SCHEMA = "verdict string, host string, path string"
-#: Into so many parts the hosts of one top-level domain are dealt; each gets that domain's rules.
-SALTS = 64
+#: The hosts of one top-level domain are dealt into parts, by the number of pages; each part gets that domain's rules.
+PAGES_A_SALT = 100_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,7 +53,7 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return opened.unionByName(closed)
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", n_salts: int = SALTS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", n_salts: int | None = None) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits), verdict.
 
     Distinct hosts and the rules' interval boundaries are sorted together by reversed-host key within
@@ -62,6 +62,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     ties go to the longer host, then the greater text and verdict. Rules of a null or empty host fit nothing.
     Null, empty and odd urls have empty parts and the default verdict. Repeated pages give repeated rows.
     """
+    n_salts = n_salts or salts(pages.count(), PAGES_A_SALT)
     host, path = split_url(F.col(url_col))
     parts = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
     hosts = parts.where("host <> ''").select("host").distinct().select("host", host_key(F.col("host")).alias("key"))
