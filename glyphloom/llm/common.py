@@ -42,12 +42,16 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame, collect: bool = True) -> None:
+        """Deletes tables. Spark's cleaner then frees the shuffle files of writes that have ended, whose plans only the
+        driver's garbage still holds."""
         for table in tables:
             path, _ = self.paths.pop(id(table), (None, None))
             if path:
                 where, fs = self._fs(path)
                 fs.delete(where, True)
+        if collect:
+            self.spark._jvm.System.gc()
 
 
 def salts(rows: int, per_salt: int = 20_000, least: int = 64) -> int:
@@ -88,7 +92,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.keep(small, "links")
         # the count and two independent sums of hashes tell whether the set of links changed
         state = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        scratch.drop(now)
+        scratch.drop(now, collect=False)
         now = after
         if state == seen:
             break

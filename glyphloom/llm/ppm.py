@@ -212,11 +212,11 @@ def _named(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
 # --- contexts of the word before ---------------------------------------------------------------------
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, byte plane by byte plane, compressed."""
+def packed(values: np.ndarray, level: int = 1) -> bytes:
+    """Whole numbers from 0 on, byte plane by byte plane, compressed (level 0: hashes, which do not shrink)."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     used = max((k + 1 for k in range(8) if planes[k].any()), default=0)
-    return bytes([used]) + len(values).to_bytes(8, "little") + zlib.compress(planes[:used].tobytes(), 1)
+    return bytes([used]) + len(values).to_bytes(8, "little") + zlib.compress(planes[:used].tobytes(), level)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -235,7 +235,8 @@ class _Pairs:
 
     def __init__(self, row: pa.Table, looked: pa.Table, blocks: int):
         low, high = (np.frombuffer(row.column(n)[0].as_py(), "<u2").astype(np.int64) for n in ("low", "high"))
-        self.body = high << 16 | low
+        self.body = (high << 16 | low).astype(np.int32)
+        del low, high
         self.sizes = np.array(row.column("sizes")[0].as_py(), np.int64)
         held = np.array(row.column("held")[0].as_py(), bool)
         at = looked.column("at").to_numpy()
@@ -243,10 +244,10 @@ class _Pairs:
         self.c, hashes = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.c[at], hashes[at] = looked.column("c").to_numpy(), looked.column("h").to_numpy()
         ends = np.cumsum(self.sizes)
-        before = np.r_[np.zeros(min(1, len(self.body)), np.int64), self.body[:-1]]
+        before = np.r_[self.body[:1], self.body[:-1]]
         before[(ends - self.sizes)] = self.body[ends - 1]  # each text has its end symbol
-        self.before = before
-        code, self.at, count = np.unique(before * n + self.body, return_inverse=True, return_counts=True)
+        code, self.at = np.unique(before.astype(np.int64) * n + self.body, return_inverse=True)
+        self.at = self.at.astype(np.int32)
         training = np.repeat(~held, self.sizes)
         self.seen = np.bincount(self.at[training], minlength=len(code)) if len(code) else np.zeros(0, np.int64)
         self.v, self.w = code // max(n, 1), code % max(n, 1)
@@ -255,8 +256,10 @@ class _Pairs:
         with np.errstate(over="ignore"):
             deal = (hv + (hw % parts) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         self.block = ((deal >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
-        self.hv, self.hw = hv, hw
-        self.order = np.lexsort((hw, hv, self.block))
+        # a pair is told apart by 64 bits of the word before and 48 of the word: two of a billion words after one word
+        # are taken for one another some two thousand times
+        self.hv, self.hw = hv, hw >> np.uint64(16)
+        self.order = np.lexsort((self.hw, hv, self.block))
 
 
 _BLOCK_SQL = "block int, chunk string, befores binary, runs binary, words binary, seen binary, counts binary"
@@ -275,7 +278,7 @@ def _to_blocks(left: pa.Table, right: pa.Table, blocks: int) -> pa.Table:
         hv = p.hv[on]
         first = np.flatnonzero(np.r_[True, hv[1:] != hv[:-1]])
         seen = p.seen[on]
-        rows.append((int(block[s]), chunk, packed(hv[first]), packed(np.diff(np.r_[first, e - s])), packed(p.hw[on]), packed(seen), packed(np.where(seen > 0, p.c[p.w[on]], 0))))
+        rows.append((int(block[s]), chunk, packed(hv[first], 0), packed(np.diff(np.r_[first, e - s])), packed(p.hw[on], 0), packed(seen), packed(np.where(seen > 0, p.c[p.w[on]], 0))))
     types = [pa.int32(), pa.string(), *[pa.binary()] * 5]
     names = [x.split()[0] for x in _BLOCK_SQL.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * 7
@@ -410,6 +413,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n_all, v_all = totals["n"] or 0, totals["v"] or 0
     held = shelves.select("shelf", F.explode(F.arrays_zip("codes", "weights")).alias("w")).select("shelf", F.col("w.codes").alias("code"), F.col("w.weights").alias("c"))
     windows = scratch.keep(held.groupBy("code").agg(F.sum("c").alias("c")), "windows")
+    scratch.drop()
     grams, contexts = trie(windows, scratch)
     contexts = scratch.keep(contexts, "contexts")
     scores = window_scores(windows, grams, contexts)
@@ -425,6 +429,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
     looked = scratch.keep(looked, "looked", compression="zstd")
+    scratch.drop()
     n_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
     texts = chunks.select("chunk", "held", "sizes", "low", "high")
@@ -432,6 +437,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counted = scratch.keep(sent.groupBy("block").applyInArrow(_count_block, _COUNTED_SQL), "counted", compression="zstd")
     after = counted.where("chunk IS NULL").select(F.explode(F.arrays_zip("h", "d", "once", "mass")).alias("s")).groupBy(F.col("s.h").alias("h"))
     after = scratch.keep(after.agg(F.sum("s.d").alias("d"), F.sum("s.once").alias("once"), F.sum("s.mass").alias("mass")), "after")
+    scratch.drop()
     # a word's training count is the number of training words after it
     followed = after.join(named.where("c > 1").select(F.xxhash64("word").alias("h"), "c"), "h")
     seen = followed.select(F.expr(_bucket_sql("(c - 1)")).alias("n"), F.explode(F.array(
@@ -440,6 +446,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     )).alias("e"))
     seen = seen.groupBy("n", F.col("e.d").alias("d")).agg(((F.sum("e.lost") + 0.5) / (F.sum("e.events") + 1)).alias("q"))
     escape = {(r["n"], r["d"]): r["q"] for r in seen.collect()}  # by bucket: at most some 130 x 130
+    scratch.drop(named)
     words = looked.join(after.select("h", "d", "mass"), "h", "left")
     words = words.select("of", "at", "h", "c", "lp", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("mass", F.lit(0)).alias("mass"), F.lit(None).cast("binary").alias("body"))
     none = lambda kind: F.lit(None).cast(kind)
