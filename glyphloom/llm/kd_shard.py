@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, numbered, salts
 
+#: Tables with a row a node are broadcast up to so many nodes, some 10 MB; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Bits of a point's order key that one histogram round settles; 63 bits in all.
 ROUNDS = (16, 16, 16, 15)
 
@@ -30,7 +33,7 @@ def _reached(hist: DataFrame, bin_col: str) -> DataFrame:
     return found.select("node", "dim", "target", F.col("s.bin").alias("bin"), F.col("s.base").alias("base"), F.col("s.w").alias("w"))
 
 
-def _median_cuts(points: DataFrame, dims: int) -> DataFrame:
+def _median_cuts(points: DataFrame, dims: int, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
     """(node, dim, cut, with_cut): for each node the widest dimension and the key where the left share ends.
 
     points: node, share (of the weight that goes left), weight, keys array<long>. One histogram of at
@@ -43,14 +46,14 @@ def _median_cuts(points: DataFrame, dims: int) -> DataFrame:
     state = nodes.select("node", widest.alias("dim"), (F.col("total") * F.col("share")).alias("target"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base"))
     left = sum(ROUNDS)
     for bits in ROUNDS:
-        near = points.select("node", "weight", "keys").join(F.broadcast(state), "node")
+        near = points.select("node", "weight", "keys").join(small(state), "node")
         key = F.expr("keys[dim]")
         near = near.where(F.shiftright(key, left) == F.col("prefix")) if left < 63 else near
         left -= bits
         hist = near.groupBy("node", "dim", "target", "base", F.shiftright(key, left).alias("bin")).agg(F.sum("weight").alias("w"))
         groups = hist.groupBy("node", "dim", "target", "base", F.shiftright("bin", bits // 2).alias("bin")).agg(F.sum("w").alias("w"))
         group = _reached(groups, "bin").select(F.col("node").alias("_node"), F.col("bin").alias("_group"), F.col("base").alias("_base"))
-        within = hist.join(F.broadcast(group), (F.col("node") == F.col("_node")) & (F.shiftright("bin", bits // 2) == F.col("_group")))
+        within = hist.join(small(group), (F.col("node") == F.col("_node")) & (F.shiftright("bin", bits // 2) == F.col("_group")))
         cut = _reached(within.select("node", "dim", "target", F.col("_base").alias("base"), "bin", "w"), "bin")
         state = cut.select("node", "dim", "target", F.col("bin").alias("prefix"), "base")
     nearer = F.abs(F.col("base") + F.col("w") - F.col("target")) < F.abs(F.col("target") - F.col("base"))
@@ -86,6 +89,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metad
     total, f0, f1, b0, b1 = low.first()
     total = total or 0
     leaves = n_shards or max(1, math.ceil(total / target_bytes))
+    small = F.broadcast if leaves <= MOST_BROADCAST else lambda nodes: nodes
     tie = F.shiftrightunsigned(F.xxhash64("g"), 32)
     values = [_scaled(F.col("first"), F.lit(f0), F.lit(f1)), _scaled(F.col("bytes"), F.lit(b0), F.lit(b1)), *(F.coalesce(F.col(f"_m{k}"), F.lit(0)) for k in range(len(metadata)))]
     keys = F.array(*(F.shiftleft(v.cast("long"), 32).bitwiseOR(tie) for v in values))
@@ -95,8 +99,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metad
     # node: its first shard; leaves: how many shards it holds
     for _ in range(max(0, math.ceil(math.log2(leaves)))):
         open_ = points.where("leaves > 1").withColumn("share", F.floor(F.col("leaves") / 2) / F.col("leaves"))
-        cuts = scratch.keep(_median_cuts(open_, len(values)), "cuts")
-        at = points.join(F.broadcast(cuts), "node", "left").withColumn("_k", F.expr("keys[dim]"))
+        cuts = scratch.keep(_median_cuts(open_, len(values), small), "cuts")
+        at = points.join(small(cuts), "node", "left").withColumn("_k", F.expr("keys[dim]"))
         to_left = (F.col("_k") < F.col("cut")) | ((F.col("_k") == F.col("cut")) & F.col("with_cut"))
         half = F.floor(F.col("leaves") / 2).cast("long")
         alone = F.col("leaves") == 1
