@@ -395,7 +395,7 @@ def text_entropy(spark, sf_dir):
     return rows.groupBy("item_id").agg(F.round(F.sum("h_bits"), 6).alias("sum_bits"), F.round(F.sum("h_nats"), 6).alias("sum_nats"), F.count_if(F.col("best") != F.col("target")).alias("errors"))
 
 
-@query(_bi_sql("ff.p * fb.p") + """ SELECT item_id, CAST(pos - 3 AS BIGINT) AS pos, CASE WHEN t = ' ' THEN '␣' ELSE t END AS ch, CASE WHEN best = t THEN '' WHEN best = ' ' THEN '␣' ELSE replace(best, chr(0), '␀') END AS best,
+@query(_bi_sql("ff.p * fb.p") + """ SELECT item_id, CAST(pos - 3 AS BIGINT) AS pos, CASE WHEN t = ' ' THEN '␣' WHEN t NOT IN (SELECT ch FROM u) THEN chr(1) ELSE t END AS ch, CASE WHEN best = t THEN '' WHEN best = ' ' THEN '␣' ELSE replace(best, chr(0), '␀') END AS best,
     round(best_p, 3) AS best_p, CASE WHEN best = t THEN 'OK' ELSE 'ERR!' END AS status FROM so""")
 def prediction_table(spark, sf_dir):
     out = score.prediction_table(_bidirectional(spark, sf_dir, "product").withColumn("best_p", F.round("best_p", 3)), "item_id")
