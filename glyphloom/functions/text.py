@@ -51,42 +51,15 @@ def sliding(df: DataFrame, keep: list[str], text: Column | str, size: int, heads
     cut = rf"(?s)(?=(.{{1,{PIECE + size - 1}}})).{{1,{PIECE}}}"
     pieces = df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(cut), F.lit(1))).alias("_k", "_piece"))
     n = F.length("_piece")
-    at = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-    made = F.transform(at, lambda i: F.struct((F.col("_k").cast("long") * PIECE + i - 1).alias("start"), F.substring(F.col("_piece"), i, F.lit(size)).alias("w")))
+    # places from 1 on are whole windows; those up to 0 stand for the beginnings of the text, 0 for the longest
+    places = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1)))
     if heads:
-        first = [F.struct(F.lit(-1).cast("long").alias("start"), F.substring("_piece", 1, k).alias("w")) for k in range(1, heads + 1)]
-        made = F.concat(F.slice(F.array(*first), F.lit(1), F.when(F.col("_k") == 0, F.least(n, F.lit(heads))).otherwise(0)), made)
-    return pieces.select(*keep, F.explode(made).alias("_w")).select(*keep, "_w.*")
-
-
-def segments(lines_df: DataFrame, id_col: str = "doc_id", most: int = 4, seed: int = 222) -> DataFrame:
-    """(id, seg_no, seg): runs of 1 to ``most`` lines, a length being as likely as it is large, newlines kept inside.
-
-    The length that a line would start comes from a hash of (id, line, seed), so runs are reproducible; each document's
-    lines are walked once.
-    """
-    total = most * (most + 1) // 2
-    draw = F.pmod(F.xxhash64(id_col, "line_no", F.lit(seed)), F.lit(total)) + 1
-    length = F.lit(1)
-    for k in range(1, most):
-        length = F.when(draw > k * (k + 1) // 2, F.lit(k + 1)).otherwise(length)
-    rows = lines_df.withColumn("want", length.cast("int"))
-    per_doc = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "want"))).alias("ls"))
-    per_doc = per_doc.select(id_col, F.col("ls.line").alias("lines"), F.col("ls.want").alias("wants"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[tuple[int, int, str]] = []
-            for k, (lines, wants) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                at = no = 0
-                while at < len(lines):
-                    out.append((k, no, "\n".join(lines[at : at + wants[at]]).strip("\n")))
-                    at, no = at + wants[at], no + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], names=[id_col, "seg_no", "seg"])
-
-    return per_doc.mapInArrow(run, per_doc.select(id_col).schema.add("seg_no", "integer").add("seg", "string"))
+        places = F.when(F.col("_k") == 0, F.sequence(F.lit(1 - heads), F.greatest(n - (size - 1), F.least(n - heads, F.lit(0))))).otherwise(places)
+    rows = pieces.select(*keep, "_k", "_piece", F.explode(places).alias("_i"))
+    start, w = F.col("_k").cast("long") * PIECE + F.col("_i") - 1, F.substring(F.col("_piece"), F.col("_i"), F.lit(size))
+    if heads:
+        start, w = F.when(F.col("_i") > 0, start).otherwise(F.lit(-1).cast("long")), F.when(F.col("_i") > 0, w).otherwise(F.substring(F.col("_piece"), F.lit(1), F.col("_i") + heads))
+    return rows.select(*keep, start.alias("start"), w.alias("w"))
 
 
 def windows(df: DataFrame, keep: list[str], col: str, left: int, right: int) -> DataFrame:
