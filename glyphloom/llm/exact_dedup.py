@@ -33,9 +33,9 @@ def hit_filter(digests: DataFrame, bits: int) -> DataFrame:
     return digests.groupBy(F.floor(slot / BITMAP).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((slot % BITMAP).cast("long")).alias("bits"))
 
 
-def may_hit(df: DataFrame, filled: DataFrame, bits: int) -> DataFrame:
+def may_hit(df: DataFrame, filled: DataFrame, bits: int, column: str = "digest") -> DataFrame:
     """df with ``maybe``: false only if the row's digest is certainly not in the filter."""
-    slot = _slot(F.col("digest"), bits)
+    slot = _slot(F.col(column), bits)
     keyed = df.withColumn("bucket", F.floor(slot / BITMAP).cast("int")).withColumn("_bit", (slot % BITMAP).cast("int"))
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     test = F.expr("power(2, _bit % 8)").cast("int")

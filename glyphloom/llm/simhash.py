@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, components, free_name, parts, release
+from . import exact_dedup
+from .common import Scratch, components, parts, release
 
 #: A bucket of more fingerprints is compared in blocks of this size, each pair of blocks on its own.
 BLOCK = 2048
@@ -443,7 +444,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     sets = known.groupBy("digest", "node").agg(first)
     sets = scratch.keep(sets.join(roots, sets["node"] == roots["_node"], "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "sets")
-    several = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that nothing below the join keeps a large component's rows in one task
+    several = scratch.keep(sets.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     members = scratch.keep(sets.join(several, "root").select("root", "digest", "n", F.col("first.id").alias("_id"), F.col("first.key").alias("_key")), "members")
 
     def shingled(batches):
@@ -451,7 +453,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = [np.unique(shingle_hashes(t, shingle, 42)).view(np.int64) for t in batch.column(3).to_pylist()]
             yield pa.record_batch([*batch.columns[:3], pa.array(made, pa.list_(pa.int64()))], names=["root", "digest", "n", "shingles"])
 
-    chosen = rows.join(members, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select("root", "digest", "n", "text")
+    # only texts that may be members are shuffled
+    chosen = _marked(rows, members.select(F.col("_key").alias("key")), "key").where("maybe")
+    chosen = chosen.join(members, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select("root", "digest", "n", "text")
     left = scratch.keep(chosen.mapInArrow(shingled, "root long, digest long, n long, shingles array<long>").dropDuplicates(["root", "digest"]), "left")
     pairs = scratch.keep(left.where(F.col("n") <= block).groupBy("root").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long"), "pairs")
     large = left.where(F.col("n") > block)
@@ -470,18 +474,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), F.col("stays.id").alias("keep_id"), F.col("stays.key").alias("keep_key"))
 
 
+def _marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows with ``maybe``: false only where ``column`` is certainly none of the keys. The filter's size has a bound."""
+    bits = exact_dedup.filter_bits(keys.count())
+    return exact_dedup.may_hit(rows, exact_dedup.hit_filter(keys.select(F.col(column).alias("digest")), bits), bits, column)
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each group of ``near_copies``. Of rows that repeat both id and text one stays, whichever."""
     scratch = Scratch(docs.sparkSession, "copies")
-    key = free_name(docs, "_key")
-    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    names = {c: f"v_{c}" for c in docs.columns}
+    keyed = docs.withColumnsRenamed(names).withColumn("key", text_key(F.col(names[text_col]))).withColumn("row_id", F.col(names[id_col]).cast("long"))
     gone = near_copies(docs, id_col, text_col, **options).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
     gone = scratch.keep(gone, "gone")
-    twice = keyed.groupBy(F.col(id_col).cast("long").alias("_gone"), F.col(key).alias("_gone_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    twice = keyed.groupBy(F.col("row_id").alias("_gone"), F.col("key").alias("_gone_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     twice = scratch.keep(twice, "twice")
-    same = lambda other: (keyed[key] == other["_gone_key"]) & keyed[id_col].cast("long").eqNullSafe(other["_gone"])
-    left = keyed.join(gone, same(gone), "left_anti")
+    same = (F.col("key") == F.col("_gone_key")) & F.col("row_id").eqNullSafe(F.col("_gone"))
+    marked = _marked(keyed, gone.select(F.col("_gone_key").alias("key")).unionByName(twice.select(F.col("_gone_key").alias("key"))), "key")
+    untouched, maybe = marked.where(~F.col("maybe")), marked.where("maybe")
+    left = maybe.join(gone, same, "left_anti")
     if twice.limit(1).count():
-        repeated = left.join(twice, same(twice), "left_semi").dropDuplicates([id_col, key])
-        left = left.join(twice, same(twice), "left_anti").unionByName(repeated)
-    return left.drop(key)
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["row_id", "key"]))
+    return untouched.unionByName(left).select(*(F.col(a).alias(c) for c, a in names.items()))
