@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, parts
+from .common import Scratch, parts, release
 
 #: The end of a text is a token of this one byte, which no UTF-8 text holds.
 END = b"\xff"
@@ -226,6 +226,20 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
+_LOOKED_SQL = "chunk string, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, h array<long>, c array<long>, lp array<double>"
+
+
+def _looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk with its words' hashes, training counts and logs as byte strings in place of the words."""
+    at = right.column("at").to_numpy()
+    out = {n: left.column(n).slice(0, 1) for n in ("chunk", "doc_ids", "held", "sizes", "low", "high")}
+    for name, kind in (("h", np.int64), ("c", np.int64), ("lp", np.float64)):
+        values = np.zeros(len(at), kind)
+        values[at] = right.column(name).to_numpy()
+        out[name] = pa.array([values])
+    return pa.table(out)
+
+
 class _Pairs:
     """A chunk's different (word before, word) pairs in the order in which blocks take and give them back.
 
@@ -233,16 +247,14 @@ class _Pairs:
     training words after it is dealt to several by a hash of the next word, as every chunk knows from its count.
     """
 
-    def __init__(self, row: pa.Table, looked: pa.Table, blocks: int):
+    def __init__(self, row: pa.Table, blocks: int):
         low, high = (np.frombuffer(row.column(n)[0].as_py(), "<u2").astype(np.int64) for n in ("low", "high"))
         self.body = (high << 16 | low).astype(np.int32)
         del low, high
         self.sizes = np.array(row.column("sizes")[0].as_py(), np.int64)
         held = np.array(row.column("held")[0].as_py(), bool)
-        at = looked.column("at").to_numpy()
-        n = len(at)
-        self.c, hashes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.c[at], hashes[at] = looked.column("c").to_numpy(), looked.column("h").to_numpy()
+        self.c, hashes = (_list(row, n) for n in ("c", "h"))
+        n = len(self.c)
         ends = np.cumsum(self.sizes)
         before = np.r_[self.body[:1], self.body[:-1]]
         before[(ends - self.sizes)] = self.body[ends - 1]  # each text has its end symbol
@@ -262,14 +274,26 @@ class _Pairs:
         self.order = np.lexsort((self.hw, hv, self.block))
 
 
+def _list(row: pa.Table, name: str) -> np.ndarray:
+    """The list of a table's one row."""
+    return row.column(name).combine_chunks().flatten().to_numpy()
+
+
 _BLOCK_SQL = "block int, chunk string, befores binary, runs binary, words binary, seen binary, counts binary"
 
 
-def _to_blocks(left: pa.Table, right: pa.Table, blocks: int) -> pa.Table:
+def _to_blocks(batches, blocks: int):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield from _chunk_blocks(pa.Table.from_batches([batch.slice(k, 1)]), blocks).to_batches()
+    release()
+
+
+def _chunk_blocks(row: pa.Table, blocks: int) -> pa.Table:
     """A chunk's pairs, one row a block: the words before with how many follow each, the words, their training counts in
     pairs and, where these are not 0, alone."""
-    chunk = left.column("chunk")[0].as_py()
-    p = _Pairs(left.slice(0, 1), right, blocks)
+    chunk = row.column("chunk")[0].as_py()
+    p = _Pairs(row, blocks)
     block = p.block[p.order]
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
     rows = []
@@ -326,22 +350,21 @@ def _count_block(table: pa.Table) -> pa.Table:
     })
 
 
-def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, first: float, rest: float, escape: dict[tuple[int, int], float]) -> pa.Table:
+def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int, v: int, first: float, rest: float, escape: dict[tuple[int, int], float]) -> pa.Table:
     """A chunk's texts with their sums over tokens.
 
-    right: rows of its words, and rows of its blocks with the counts of its pairs. first: the escape probability of the contexts
+    right: rows of words that others follow, and rows of the chunk's blocks with the counts of its pairs. n, v: training tokens
+    and different ones. first: the escape probability of the context
     without a word before; rest: the byte strings' probability that is not taken up by known words.
     """
     row = left.slice(0, 1)
     is_word = pa.compute.is_null(right.column("body"))
     words, answers = right.filter(is_word), right.filter(pa.compute.invert(is_word))
-    p = _Pairs(row, words, blocks)
+    p = _Pairs(row, blocks)
     size = len(p.c)
     at = words.column("at").to_numpy()
-    spelled, kinds, mass = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
-    spelled[at] = words.column("lp").to_numpy()
+    spelled, kinds, mass = _list(row, "lp"), np.zeros(size, np.int64), np.zeros(size, np.int64)
     kinds[at], mass[at] = words.column("d").to_numpy(), words.column("mass").to_numpy()
-    n, v = int(row.column("n_all")[0].as_py() or 0), int(row.column("v_all")[0].as_py() or 0)
     base = np.log10((p.c + 0.5) / (n + 0.5 * (v + 1)))
     # a word alone: its count, or an escape to its bytes, without what they give to known words
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -428,12 +451,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     first, rest = ((totals["once"] or 0) + 0.5) / (n_all + 1), max(1 - taken, 1e-12)
 
     looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
-    looked = scratch.keep(looked, "looked", compression="zstd")
-    scratch.drop()
-    n_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "low", "high")
+    texts = scratch.keep(texts.groupBy("chunk").cogroup(looked.groupBy("of")).applyInArrow(_looked_up, _LOOKED_SQL), "texts", compression="zstd")
+    scratch.drop(chunks)
+    n_tokens = texts.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
-    texts = chunks.select("chunk", "held", "sizes", "low", "high")
-    sent = texts.groupBy("chunk").cogroup(looked.select("of", "at", "h", "c").groupBy("of")).applyInArrow(lambda left, right: _to_blocks(left, right, blocks), _BLOCK_SQL)
+    sent = texts.select("chunk", "held", "sizes", "low", "high", "h", "c").mapInArrow(lambda b: _to_blocks(b, blocks), _BLOCK_SQL)
     counted = scratch.keep(sent.groupBy("block").applyInArrow(_count_block, _COUNTED_SQL), "counted", compression="zstd")
     after = counted.where("chunk IS NULL").select(F.explode(F.arrays_zip("h", "d", "once", "mass")).alias("s")).groupBy(F.col("s.h").alias("h"))
     after = scratch.keep(after.agg(F.sum("s.d").alias("d"), F.sum("s.once").alias("once"), F.sum("s.mass").alias("mass")), "after")
@@ -447,11 +470,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     seen = seen.groupBy("n", F.col("e.d").alias("d")).agg(((F.sum("e.lost") + 0.5) / (F.sum("e.events") + 1)).alias("q"))
     escape = {(r["n"], r["d"]): r["q"] for r in seen.collect()}  # by bucket: at most some 130 x 130
     scratch.drop(named)
-    words = looked.join(after.select("h", "d", "mass"), "h", "left")
-    words = words.select("of", "at", "h", "c", "lp", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("mass", F.lit(0)).alias("mass"), F.lit(None).cast("binary").alias("body"))
-    none = lambda kind: F.lit(None).cast(kind)
-    answers = counted.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), F.col("block").alias("at"), none("long").alias("h"), none("long").alias("c"), none("double").alias("lp"), none("long").alias("d"), none("long").alias("mass"), "body")
-    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "low", "high", F.lit(n_all).cast("long").alias("n_all"), F.lit(v_all).cast("long").alias("v_all"))
+    words = texts.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip("h", "c")).alias("at", "w")).where("w.c > 0").select("of", "at", F.col("w.h").alias("h"))
+    words = words.join(after.select("h", "d", "mass"), "h").select("of", "at", "d", "mass", F.lit(None).cast("binary").alias("body"))
+    none = F.lit(None).cast("long")
+    answers = counted.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), F.col("block").alias("at"), none.alias("d"), none.alias("mass"), "body")
     right = words.unionByName(answers)
-    out = texts.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(lambda left, right: _scored(left, right, adapt, blocks, first, rest, escape), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = texts.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(lambda left, right: _scored(left, right, adapt, blocks, n_all, v_all, first, rest, escape), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)

@@ -498,9 +498,9 @@ def test_hot_words_before_are_dealt_to_several_blocks_and_give_the_same():
         sent, pairs = [], []
         for c in chunks:
             own = c.column("words")[0].as_py()
-            looked = pa.table({"at": list(range(len(own))), "h": [int.from_bytes(hashlib.md5(w).digest()[:8], "little", signed=True) for w in own], "c": [total[w] for w in own]})
-            pairs.append(ppm._Pairs(c, looked, 4))
-            sent.append(ppm._to_blocks(c, looked, 4))
+            row = c.append_column("h", pa.array([[int.from_bytes(hashlib.md5(w).digest()[:8], "little", signed=True) for w in own]])).append_column("c", pa.array([[total[w] for w in own]]))
+            pairs.append(ppm._Pairs(row, 4))
+            sent.append(ppm._chunk_blocks(row, 4))
         sent = pa.concat_tables(sent)
         counted = [ppm._count_block(sent.filter(pa.compute.equal(sent.column("block"), b))) for b in set(sent.column("block").to_pylist())]
         stats, found = collections.Counter(), []
