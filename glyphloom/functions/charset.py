@@ -78,7 +78,15 @@ def decode_ids(df: DataFrame, col: str, ids: dict[str, int], out: str) -> DataFr
     return df.withColumn(out, F.array_join(F.transform(col, lambda k: F.coalesce(known[k], F.lit(OOV))), ""))
 
 
+def _ranges(letters: list[str]) -> list[str]:
+    """Members of a pattern's character class: runs of code points as ranges, which are quicker to test."""
+    code = sorted({ord(c) for c in letters})
+    starts = [k for k, v in enumerate(code) if k == 0 or code[k - 1] != v - 1]
+    show = lambda v: f"\\x{{{v:x}}}"
+    return [show(code[a]) if b - a == 1 else f"{show(code[a])}-{show(code[b - 1])}" for a, b in zip(starts, [*starts[1:], len(code)], strict=True)]
+
+
 def replace_unknown(df: DataFrame, col: str, known: list[str], out: str) -> DataFrame:
     """Every character outside ``known`` becomes the out-of-vocabulary character."""
-    inside = "".join("\\" + c if c in "\\]^-[&" else c for c in sorted(known))
+    inside = "".join(_ranges(known))
     return df.withColumn(out, F.regexp_replace(col, f"[^{inside}]", OOV) if known else F.regexp_replace(col, "(?s).", OOV))

@@ -36,18 +36,23 @@ def positions(texts: DataFrame, id_col: str, col: str, n: int, padded: bool = Fa
 def score(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False) -> DataFrame:
     """(id, pos, target, p, best, k) at every position. Distinct windows are scored once and joined back. Characters that
     the model has not seen are the out-of-vocabulary character, with the least probability if the model has not seen that either."""
-    at = positions(masked(texts, col, model), id_col, col, model.n, padded)
-    known = estimate(at.select("gram").distinct(), model)
-    return at.join(known, "gram").select(id_col, "pos", F.expr("right(gram, 1)").alias("target"), _least("p").alias("p"), "best", "k")
+    at = positions(texts, id_col, col, model.n, padded)
+    return at.join(_known(at, model), "gram").select(id_col, "pos", F.expr("right(masked, 1)").alias("target"), _least("p").alias("p"), "best", "k")
 
 
 def metrics(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False) -> DataFrame:
     """(id, n, acc, ppl) of each text. Counts of distinct windows are aggregated before the model is joined.
     Unseen characters as in ``score``."""
-    at = positions(masked(texts, col, model), id_col, col, model.n, padded).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("times"))
-    known = estimate(at.select("gram").distinct(), model)
-    rows = at.join(known, "gram")
-    return _metrics(rows, [id_col], _least("p"), F.col("best") == F.expr("right(gram, 1)"), F.col("times"))
+    # written, since the model meets the different windows and then every row meets its window
+    at = kept(positions(texts, id_col, col, model.n, padded).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("times")), "windows")
+    rows = at.join(_known(at, model), "gram")
+    return _metrics(rows, [id_col], _least("p"), F.col("best") == F.expr("right(masked, 1)"), F.col("times"))
+
+
+def _known(at: DataFrame, model: NgramModel) -> DataFrame:
+    """(gram, masked, p, k, best) of each different window; masking those is the same as masking the texts."""
+    distinct = replace_unknown(at.select("gram").distinct(), "gram", model.alphabet(), "masked")
+    return estimate(distinct, model, "masked")
 
 
 def _least(p: str) -> Column:
