@@ -97,6 +97,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], similarity: float, seeds: int, repeats: int, sampled: int):
         self.similarity, self.vocabulary = similarity, {}
         self.ids, self.items = [], []
+        self.own_grams: dict[int, np.ndarray] = {}
         for item_id, text in items:
             found = words(text)
             if found:
@@ -216,17 +217,28 @@ class Index:
             out += self._verified(k, item, sorted(h - begin for h in hits), flat[begin : begin + int(sizes[k])])
         return out
 
+    def _may_hold(self, item: int, region: np.ndarray) -> bool:
+        """The exact q-gram count filter for a whole item: without that many of its grams a region is beyond its edits."""
+        n = len(self.items[item])
+        q = next((q for q in (3, 2, 1) if self._need(n, q) >= 1 and self.base**q < 2**62), 0)
+        if not q:
+            return True
+        if item not in self.own_grams:
+            self.own_grams[item] = np.unique(self.grams(self.items[item], q))
+        own, code = self.own_grams[item], self.grams(region, q)
+        return int((own[np.minimum(np.searchsorted(own, code), len(own) - 1)] == code).sum()) >= self._need(n, q)
+
     def _verified(self, k: int, item: int, hits: list[int], symbols: np.ndarray):
         target = self.items[item]
         n, most = len(target), allowed(len(target), self.similarity)
         for h in hits:
-            if h >= 0 and np.array_equal(symbols[h : h + n], target):
+            if 0 <= h <= len(symbols) - n and symbols[h] == target[0] and np.array_equal(symbols[h : h + n], target):
                 return [(k, item, h, n, 0, n)]
         best = None
         a = b = None
         for h in [*hits, None]:
             if a is not None and (h is None or h - 2 * most > b):
-                edits, start, end = best_window(target, symbols[a:b])
+                edits, start, end = best_window(target, symbols[a:b]) if self._may_hold(item, symbols[a:b]) else (most + 1, 0, 0)
                 if edits <= most and (best is None or edits < best[0]):
                     best = (edits, a + start, end - start)
                 a = b = None
