@@ -18,7 +18,9 @@ from .common import Scratch, parts, release
 END = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A chunk of texts ends at so many different words or bytes, whichever comes first.
-CHUNK_WORDS, CHUNK_BYTES = 400_000, 16 << 20
+CHUNK_WORDS, CHUNK_BYTES = 600_000, 32 << 20
+#: A shelf of the vocabulary has so many words.
+SHELF_WORDS = 400_000
 #: A block of word pairs gets so many running words' pairs; a word after which more running words stand is dealt to several.
 BLOCK_TOKENS, HOT_TOKENS = 2_000_000, 500_000
 #: A window of bytes is one long: its length above 56 bits, its last byte lowest.
@@ -125,7 +127,7 @@ def _to_shelves(batches, order: int):
         for word, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words.append(word)
             counts.append(count)
-            if len(words) >= CHUNK_WORDS:
+            if len(words) >= SHELF_WORDS:
                 yield shelf()
                 words, counts = [], []
     if words:
@@ -451,9 +453,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     first, rest = ((totals["once"] or 0) + 0.5) / (n_all + 1), max(1 - taken, 1e-12)
 
     looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
+    # written, so that its shuffle files are gone before the next ones come
+    looked = scratch.keep(looked, "looked", compression="zstd")
+    scratch.drop()
     texts = chunks.select("chunk", "doc_ids", "held", "sizes", "low", "high")
     texts = scratch.keep(texts.groupBy("chunk").cogroup(looked.groupBy("of")).applyInArrow(_looked_up, _LOOKED_SQL), "texts", compression="zstd")
-    scratch.drop(chunks)
+    scratch.drop(chunks, looked)
     n_tokens = texts.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-n_tokens // BLOCK_TOKENS))
     sent = texts.select("chunk", "held", "sizes", "low", "high", "h", "c").mapInArrow(lambda b: _to_blocks(b, blocks), _BLOCK_SQL)
