@@ -51,6 +51,7 @@ class Scratch:
                 where, fs = self._fs(path)
                 fs.delete(where, True)
         if collect:
+            gc.collect()  # Python's handles on the plans go first
             self.spark._jvm.System.gc()
 
 
