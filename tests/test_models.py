@@ -192,6 +192,16 @@ def test_segments_keep_every_line(spark):
         assert "\n".join(own) == "\n".join(f"l{j}" for j in range(k)) and all(s.count("\n") < 4 for s in own)
 
 
+def test_segment_query_runs(spark, tmp_path):
+    from glyphloom.plans import catalogue
+
+    rows = [(1, "a\nb\nc\nd\ne"), (2, ""), (3, None), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalogue.QUERIES["segment_hash"](spark, str(tmp_path)).orderBy("doc_id", "seg_no").collect()
+    assert "\n".join(r["seg"] for r in out if r["doc_id"] == 1) == "a\nb\nc\nd\ne"
+    assert [(r["seg_no"], r["seg"]) for r in out if r["doc_id"] in (2, None)] == [(0, "x"), (0, "")] and all(r["doc_id"] != 3 for r in out)
+
+
 def test_files_models_and_progress(spark, tmp_path, model):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x.txt").write_text("one\ntwo\n")
