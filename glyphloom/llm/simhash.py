@@ -139,6 +139,50 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_keys), np.concatenate(out_rows)
 
 
+#: Fingerprints of a near copy's search, and the plain bits beside the codeword in each of their 32-bit halves: at a Jaccard similarity of
+#: 0.8 two halves share a key with probability 0.268 or more, so a pair shares none of 34 with probability 2.4e-5.
+PRINTS, PLAIN = 17, 5
+#: Byte -> its bits as the bytes of one number.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """PRINTS independent fingerprints of one set: the majority of its hashes, of their second hashes and so on."""
+    words = np.empty((len(hashes), PRINTS), np.uint64)
+    for k in range(PRINTS):
+        words[:, k], hashes = hashes, _mixed(hashes)
+    raw, ones = words.astype("<u8").view(np.uint8), np.zeros(64 * PRINTS, np.int64)
+    for at in range(0, len(raw), 255):
+        ones += _SPREAD[raw[at : at + 255]].sum(0).view(np.uint8)
+    return np.packbits(2 * ones > len(words), bitorder="little").view(np.uint64)
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) pairs for rows of fingerprints farther apart: of each half of each fingerprint the codeword indices near
+    its 23 low bits, each with PLAIN of the bits above."""
+    out_keys, out_rows = [], []
+    index = np.arange(len(prints))
+    for kind in range(2 * prints.shape[1]):
+        half = (prints[:, kind // 2] >> np.uint64(kind % 2 * 32) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        near, n = golay_keys(half & 0x7FFFFF)
+        rest = kind << 12 + PLAIN | half >> 23 & (1 << PLAIN) - 1
+        for k in range(6):
+            on = index if k == 0 else np.flatnonzero(n > k)
+            out_keys.append(rest[on] | near[on, k] << PLAIN)
+            out_rows.append(on)
+    return np.concatenate(out_keys), np.concatenate(out_rows)
+
+
+def bands(hashes: np.ndarray, places: int = 64) -> np.ndarray:
+    """The wide keys of one set in places, so that sets that are equal at a place share a key. Of keys that meet in a place
+    the largest takes it (the search itself uses all keys); a free place holds a number of the set's own."""
+    prints = fingerprints(hashes)
+    out = np.full(2 * PRINTS * places, -1 - (nodes(prints[None])[0] >> np.uint64(1)).astype(np.int64))
+    key, _ = wide_keys(prints[None])
+    np.maximum.at(out, (key >> 12 + PLAIN) * places + (key >> PLAIN) % places, key)
+    return out
+
+
 # --- verification inside buckets -----------------------------------------------------------------
 
 
@@ -150,20 +194,22 @@ def nodes(prints: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whether rows (..., fingerprints) are within ``most`` bits in each fingerprint."""
-    return (np.bitwise_count(a ^ b) <= most).all(-1)
+def _near(a: np.ndarray, b: np.ndarray, most: int, total: int) -> np.ndarray:
+    """Whether rows (..., fingerprints) are within ``most`` bits in each fingerprint and ``total`` in all."""
+    near, bits = True, np.int16(0)
+    for k in range(a.shape[-1]):
+        own = np.bitwise_count(a[..., k] ^ b[..., k])
+        near, bits = near & (own <= most), bits + own.astype(np.int16)
+    return near & (bits <= total)
 
 
-def link(prints: np.ndarray, other: np.ndarray | None, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of rows within ``most`` bits, as nodes (member, smallest member of its tree).
+def link(prints: np.ndarray, other: np.ndarray | None, most: int, total: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows that are near (see _near), as nodes (member, smallest member of its tree).
 
     ``other``: rows that need no comparing with each other. No more links than members, whatever the pairs.
     """
     everyone = prints if other is None else np.concatenate([prints, other])
-    near = np.ones((len(prints), len(everyone)), bool)
-    for k in range(prints.shape[1]):
-        near &= np.bitwise_count(prints[:, None, k] ^ everyone[None, :, k]) <= most
+    near = _near(prints[:, None], everyone[None], most, total)
     n = len(prints)
     parent = list(range(len(everyone)))
     pending = np.ones(len(everyone), bool)
@@ -197,7 +243,30 @@ def _prints(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(first, batch.num_columns)], 1)
 
 
-def _scan_buckets(batches, most: int, block: int):
+def _close(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of buckets of rows: (first, second) rows of the only near pair known in a bucket, and the buckets that have more.
+
+    Rows are compared with those one, two ... places on in all buckets at once; a bucket with two near pairs needs no more.
+    """
+    sizes = ends - starts
+    bucket = np.repeat(np.arange(len(starts)), sizes)
+    row = np.arange(len(bucket)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    left = ends[bucket] - 1 - row
+    hits, pair = np.zeros(len(starts), np.int64), np.zeros((len(starts), 2), np.int64)
+    step, on = 1, np.flatnonzero(left >= 1)
+    while len(on):
+        hit = on[_near(value[row[on]], value[row[on] + step], most, total)]
+        if len(hit):
+            pair[bucket[hit], 0], pair[bucket[hit], 1] = row[hit], row[hit] + step
+            hits += np.bincount(bucket[hit], minlength=len(hits))
+            on = on[hits[bucket[on]] < 2]
+        step += 1
+        on = on[left[on] >= step]
+    one = hits == 1
+    return pair[one, 0], pair[one, 1], np.flatnonzero(hits > 1)
+
+
+def _scan_buckets(batches, most: int, total: int, block: int):
     """Sorted (key, fingerprints) rows -> links; the rows of a bucket over ``block`` come out as they are, with their key."""
     tail_key, tail = None, None
     over = False
@@ -218,21 +287,19 @@ def _scan_buckets(batches, most: int, block: int):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         pairs: list[tuple[int, int]] = []
-        two = starts[(ends - starts == 2) & (ends < len(key))]
-        hit = two[_near(value[two], value[two + 1], most)]
-        a, b = nodes(value[hit]), nodes(value[hit + 1])
+        whole = ends < len(key)
+        held = whole & (ends - starts > block)
+        if over and whole[0]:
+            held[0], over = True, False
+        for s, e in zip(starts[held].tolist(), ends[held].tolist(), strict=True):
+            yield out([], value[s:e], int(key[s]))
+        here = whole & ~held & (ends - starts > 1)
+        first, last = starts[here], ends[here]
+        one, two, several = _close(value, first, last, most, total)
+        a, b = nodes(value[one]), nodes(value[two])
         pairs += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)
-        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-            if e == len(key):
-                continue
-            if over and s == 0 or e - s > block:
-                yield out([], value[s:e], int(key[s]))
-            else:
-                pairs += link(value[s:e], None, most)
-        if over and ends[0] < len(key):
-            if ends[0] <= 2:
-                yield out([], value[: ends[0]], int(key[0]))
-            over = False
+        for s, e in zip(first[several].tolist(), last[several].tolist(), strict=True):
+            pairs += link(value[s:e], None, most, total)
         s = int(starts[-1])
         tail_key, tail = int(key[s]), value[s:].copy()
         if len(tail) > block:
@@ -243,17 +310,17 @@ def _scan_buckets(batches, most: int, block: int):
         if over or len(tail) > block:
             yield out([], tail, tail_key)
         elif len(tail) > 1:
-            yield out(link(tail, None, most), None, None)
+            yield out(link(tail, None, most, total), None, None)
     release()
 
 
-def _block_links(pdf, columns: list[str], most: int):
+def _block_links(pdf, columns: list[str], most: int, total: int):
     """The rows of one pair of blocks of one bucket -> links."""
     import pandas as pd
 
     value = np.stack([pdf[c].to_numpy().view(np.uint64) for c in columns], 1)
     side = pdf["side"].to_numpy()
-    pairs = link(value[side == 0], value[side == 1] if (side == 1).any() else None, most)
+    pairs = link(value[side == 0], value[side == 1] if (side == 1).any() else None, most, total)
     return pd.DataFrame({"a": _signed([p[0] for p in pairs]), "b": _signed([p[1] for p in pairs])})
 
 
@@ -274,15 +341,15 @@ def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK) ->
                     yield pa.record_batch([pa.array(key | k << 44), *(pa.array(part[row, c].view(np.int64)) for c in range(part.shape[1]))], names=["key", *columns])
 
     schema = "key long, " + ", ".join(f"{c} long" for c in columns)
-    return bucket_links(prints.mapInArrow(explode, schema), most, scratch, block)
+    return bucket_links(prints.mapInArrow(explode, schema), most, most * len(columns), scratch, block)
 
 
-def bucket_links(keyed: DataFrame, most: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def bucket_links(keyed: DataFrame, most: int, total: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(a, b): links of nodes whose components are those of all pairs of rows of ``keyed`` (a key, then fingerprints)
-    that share a key and are within ``most`` bits in each fingerprint."""
+    that share a key and are within ``most`` bits in each fingerprint and ``total`` in all."""
     columns = keyed.columns[1:]
     by = keyed.columns[0]
-    scanned = keyed.repartition(by).sortWithinPartitions(by, *columns).mapInArrow(lambda b: _scan_buckets(b, most, block), "a long, b long, key long")
+    scanned = keyed.repartition(by).sortWithinPartitions(by, *columns).mapInArrow(lambda b: _scan_buckets(b, most, total, block), "a long, b long, key long")
     scanned = scratch.keep(scanned, "scan")
     direct = scanned.where("key IS NULL").select("a", "b")
     held = scanned.where("key IS NOT NULL").select("key", *(F.col(n).alias(c) for n, c in zip("ab", columns, strict=False)))
@@ -290,7 +357,7 @@ def bucket_links(keyed: DataFrame, most: int, scratch: Scratch, block: int = BLO
     dealt = held.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64(*columns), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     dealt = dealt.select("key", *columns, "mine", other).select("key", *columns, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    across = dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, columns, most), "a long, b long")
+    across = dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, columns, most, total), "a long, b long")
     return direct.unionByName(across)
 
 
@@ -324,30 +391,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(named, "print").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
-#: Bands and the minima of each: a pair of Jaccard similarity 0.8 shares no band with probability (1 - 0.8**5)**32, or 3e-6.
-BANDS, ROWS = 32, 5
 #: Documents of a candidate component that one task compares; of a larger one, two blocks of so many at a time.
 TOGETHER = 1024
 
 
-def _factors() -> np.ndarray:
-    return _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band: a hash of the smallest products of the hashes with the band's factors."""
-    factors = _factors()
-    low = np.full(len(factors), 2**64 - 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 1024):
-            low = np.minimum(low, (factors[:, None] * hashes[None, at : at + 1024]).min(1))
-        low = low.reshape(BANDS, ROWS)
-        out = np.arange(BANDS, dtype=np.uint64)
-        for k in range(ROWS):
-            out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) ^ low[:, k]
-    return _mixed(out)
-
-
 def near_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each set of hashes the smallest index of its component, over all pairs of at least ``similarity`` (exact Jaccard).
 
@@ -406,14 +453,14 @@ def text_key(text) -> object:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER, total: int = 38) -> DataFrame:
     """(id, text_key, keep_id, keep_key): of each group of near copies all rows but those of the text that stays, and that one.
 
     Groups are the components of the pairs with at least ``similarity`` of their different word shingles in common (exact
     Jaccard similarity): a document goes even where only a chain of such pairs leads to the one that stays, which is that of the
     smallest id (null ids come last; of equal ids the smaller text key).
-    Candidates: documents that share a band of shingle minima and whose two fingerprints, taken like the bands from the different
-    shingles, are within ``most`` bits (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
+    Candidates: documents that share a wide Golay key of one of PRINTS fingerprints of their different shingles, and the first two of
+    whose fingerprints are within ``most`` bits each and ``total`` together (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
     different shingle sets are compared exactly, over ``block`` of them in pairs of blocks, and components are taken
     again. Rows are told apart by id and text, so ids may repeat or be null. Null and empty texts have no shingles and are alike.
     """
@@ -424,22 +471,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def hashed(batches):
         for batch in parts(batches, 2):
-            values = np.zeros((batch.num_rows, 2), np.uint64)
-            made, digests = [], np.zeros(batch.num_rows, np.uint64)
+            values, digests = np.zeros((batch.num_rows, PRINTS), np.uint64), np.zeros(batch.num_rows, np.uint64)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 hashes = np.unique(shingle_hashes(text, shingle, 42))
-                values[k] = majority(hashes), majority(_mixed(hashes))
+                values[k] = fingerprints(hashes)
                 digests[k] = xxh64_intdigest(hashes.tobytes(), 42)
-                made.append(_signed(bands(hashes)))
-            yield pa.record_batch(
-                [*batch.columns[:2], *(pa.array(_signed(values[:, c].copy())) for c in (0, 1)), pa.array(_signed(nodes(values))), pa.array(_signed(digests)), pa.array(made, pa.list_(pa.int64()))],
-                names=["id", "key", "p0", "p1", "node", "digest", "bands"],
-            )
+            made = [pa.array(_signed(v)) for v in (nodes(values[:, :2]), digests)]
+            yield pa.record_batch([*batch.columns[:2], *made, pa.array(list(_signed(values)), pa.list_(pa.int64()))], names=["id", "key", "node", "digest", "prints"])
+
+    def explode(batches):
+        for batch in batches:
+            value = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, PRINTS).view(np.uint64)
+            for at in range(0, len(value), 1024):
+                part = value[at : at + 1024]
+                key, row = wide_keys(part)
+                yield pa.record_batch([pa.array(key), *(pa.array(part[row, c].view(np.int64)) for c in (0, 1))], names=["key", "p0", "p1"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    known = scratch.keep(rows.mapInArrow(hashed, "id long, key binary, p0 long, p1 long, node long, digest long, bands array<long>"), "prints")
-    keyed = known.dropDuplicates(["digest"]).select(F.explode("bands").alias("band"), "p0", "p1")
-    roots = components(bucket_links(keyed, most, scratch), scratch).withColumnRenamed("node", "_node")
+    known = scratch.keep(rows.mapInArrow(hashed, "id long, key binary, node long, digest long, prints array<long>"), "prints")
+    keyed = known.dropDuplicates(["digest"]).select("prints").mapInArrow(explode, "key long, p0 long, p1 long")
+    roots = components(bucket_links(keyed, most, total, scratch), scratch).withColumnRenamed("node", "_node")
     # one row for each different shingle set, with the row that stands for it
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     sets = known.groupBy("digest", "node").agg(first)

@@ -359,6 +359,30 @@ def test_candidates_hold_pairs_at_the_threshold(size):
     assert found >= 998
 
 
+@pytest.mark.parametrize("size", [9, 45, 270])
+def test_wide_golay_keys_hold_pairs_at_the_threshold(size):
+    rng = np.random.default_rng(size)
+    sets = []
+    for _ in range(1000):
+        every = np.unique(rng.integers(0, 2**64, size + size // 9, dtype=np.uint64))
+        sets.append((every[:size], np.r_[every[: size - size // 9], every[size:]]))
+    a, b = (np.stack([simhash.fingerprints(pair[k]) for pair in sets]) for k in (0, 1))
+    assert a[0, 0] == simhash.majority(sets[0][0]) and a[0, 1] == simhash.majority(simhash._mixed(sets[0][0]))
+    (ka, ra), (kb, rb) = simhash.wide_keys(a), simhash.wide_keys(b)
+    mine = set(zip(ka.tolist(), ra.tolist(), strict=True))
+    shared = {r for k, r in zip(kb.tolist(), rb.tolist(), strict=True) if (k, r) in mine}
+    near = set(np.flatnonzero(simhash._near(a[:, :2], b[:, :2], 26, 38)).tolist())
+    assert len(shared & near) >= 998
+
+
+def test_near_pairs_of_buckets_against_all_pairs():
+    rng = np.random.default_rng(3)
+    value = rng.integers(0, 2**64, (60, 2), dtype=np.uint64)
+    value[[5, 31, 32, 33]], ends = value[[2, 30, 30, 30]], np.array([10, 20, 50, 60])
+    one, two, several = simhash._close(value, np.r_[0, ends[:-1]], ends, 26, 38)
+    assert (one.tolist(), two.tolist(), several.tolist()) == ([2], [5], [2])
+
+
 def test_groups_of_sets_against_brute_force():
     rng = random.Random(6)
     for _ in range(60):
