@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,28 @@ def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
+class Finder:
+    """Looks mixed 64-bit keys up in a sorted table as ``_found`` does: by their first bits, then in steps of one row."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(1, len(table).bit_length() - 2)
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.first = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table, last = self.table, len(self.table) - 1
+        if last < 0:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(self.first[keys >> self.shift], last)
+        value = table[at]
+        on = np.flatnonzero((value < keys) & (at < last))
+        while len(on):
+            at[on] += 1
+            value[on] = table[at[on]]
+            on = on[(value[on] < keys[on]) & (at[on] < last)]
+        return at, value == keys
+
+
 @dataclass
 class KneserNey:
     """Two models of the bytes of a word: class counts at the full order, one set of continuation counts below."""
@@ -84,6 +107,10 @@ class KneserNey:
     grams: tuple[np.ndarray, ...]
     contexts: tuple[np.ndarray, ...]
     levels: list[tuple[np.ndarray, ...]]
+    finders: list[Finder] = field(default_factory=list, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"finders": []}
 
     @classmethod
     def fit(cls, vocabulary: list[bytes], ordinary: np.ndarray, toxic: np.ndarray, order: int = 10, discount: float = 0.75) -> KneserNey:
@@ -114,19 +141,22 @@ class KneserNey:
     def byte_logs(self, at: Positions) -> np.ndarray:
         """(2, positions): log p(byte | the word's bytes before, ordinary), and the same for toxic."""
         end, depth, d = at.end, at.depth, self.discount
+        if not self.finders:
+            self.finders += map(Finder, (self.contexts[0], self.grams[0], *chain.from_iterable((level[2], level[0]) for level in self.levels)))
+        find = self.finders
         low = np.full(len(end), 1 / 256)
         for length in range(1, self.order):
             on = np.flatnonzero((depth > length) | (depth < self.order) & (depth == length))
-            unique, c, low_key, total, types = self.levels[length - 1]
-            k, have = _found(low_key, at.key(end[on] - 1, length - 1))
+            _, c, _, total, types = self.levels[length - 1]
+            k, have = find[2 * length](at.key(end[on] - 1, length - 1))
             on, k = on[have], k[have]
-            g, seen = _found(unique, at.key(end[on], length))
+            g, seen = find[2 * length + 1](at.key(end[on], length))
             low[on] = (np.maximum(np.where(seen, c[g], 0) - d, 0) + d * types[k] * low[on]) / total[k]
         out = np.tile(np.log(low), (2, 1))
-        row, known = _found(self.contexts[0], at.key(end - 1, depth - 1))
+        row, known = find[0](at.key(end - 1, depth - 1))
         on = np.flatnonzero(known)
         row = row[on]
-        g, seen = _found(self.grams[0], at.key(end[on], depth[on]))
+        g, seen = find[1](at.key(end[on], depth[on]))
         for k in (0, 1):
             n, types = self.contexts[1 + 2 * k][row], self.contexts[2 + 2 * k][row]
             own = (np.maximum(np.where(seen, self.grams[1 + k][g], 0) - d, 0) + d * types * low[on]) / np.maximum(n, 1)
@@ -312,11 +342,11 @@ class _Known:
         """The features of texts, given as words."""
         if len(self.at) > CACHE_WORDS:
             self.clear()
-        self.add(list({w for ws in texts for w in ws} - self.at.keys()))
+        running = list(chain.from_iterable(texts))
+        self.add(list(set(running).difference(self.at)))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
-        get = self.at.__getitem__
-        at = np.fromiter((k for ws in texts for k in map(get, ws)), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.at.__getitem__, running), np.int64, len(running))
         logs = self.logs[:, at]
         alone, after = logs[1] - logs[0], self.scorer.pairs.ratios(self.number[at], (ends - sizes)[sizes > 0], logs)
         return [features(alone[e - n : e], after[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]

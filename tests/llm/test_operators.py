@@ -806,6 +806,17 @@ def test_class_models_sum_to_one():
         assert np.exp(pairs.logs(np.full(6, v), np.arange(6), low)).sum(1) == pytest.approx([1, 1], abs=1e-5)
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 7, 1000, 50_000])
+def test_finder_looks_up_as_a_binary_search(size):
+    rng = np.random.default_rng(size)
+    table = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+    if size > 2:
+        table = np.unique(np.r_[table, np.uint64(0), np.uint64(2**64 - 1), table[:1] + np.arange(200, dtype=np.uint64)])
+    keys = np.r_[table, table + np.uint64(1), table - np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64), np.uint64(0), np.uint64(2**64 - 1)]
+    (row, have), (at, seen) = toxicity.Finder(table)(keys), toxicity._found(table, keys)
+    assert have.tolist() == seen.tolist() == np.isin(keys, table).tolist() and row.tolist() == at.tolist()
+
+
 def test_class_models_are_distributions():
     words = [b"abc", b"abd", b"xyz", b"ab"]
     model = toxicity.KneserNey.fit(words, np.array([5, 0, 3, 1]), np.array([0, 4, 0, 1]), order=3)
