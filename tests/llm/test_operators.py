@@ -132,6 +132,19 @@ def test_shards_against_a_tree_by_hand(spark):
     assert got == want and len(texts) == 300
 
 
+def test_plans_of_the_tree_stay_small(spark, monkeypatch):
+    joins, keep = [], common.Scratch.keep
+
+    def spy(self, df, name, **options):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return keep(self, df, name, **options)
+
+    monkeypatch.setattr(common.Scratch, "keep", spy)
+    rows = [(k, f"text {k}" * (k % 7)) for k in range(60)]
+    assert kd_shard.shard(docs_of(spark, rows), n_shards=4).count() == 60
+    assert joins and max(joins) <= 3
+
+
 def test_numbering_is_dense_with_ties(spark):
     scratch = common.Scratch(spark, "t")
     df = scratch.keep(spark.range(500).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("o")), "x")
