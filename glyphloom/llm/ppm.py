@@ -31,8 +31,8 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").translate(_LOWER).split(), END]
 
 
-_CHUNK = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("low", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
-_CHUNK_SQL = "chunk string, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, words array<binary>, counts array<long>"
+_CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("low", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+_CHUNK_SQL = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, words array<binary>, counts array<long>"
 
 
 class _Chunk:
@@ -62,7 +62,7 @@ class _Chunk:
         rank[order] = np.arange(len(order))
         body = rank[body]  # frequent words get small numbers, so the upper halves are mostly zero
         words = list(self.number)
-        row = [uuid.uuid4().hex, self.ids, self.held, self.sizes, (body & 0xFFFF).astype("<u2").tobytes(), (body >> 16).astype("<u2").tobytes(), [words[k] for k in order.tolist()], counts[order].tolist()]
+        row = [uuid.uuid4().int >> 65, self.ids, self.held, self.sizes, (body & 0xFFFF).astype("<u2").tobytes(), (body >> 16).astype("<u2").tobytes(), [words[k] for k in order.tolist()], counts[order].tolist()]
         return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
 
@@ -228,16 +228,58 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
-_LOOKED_SQL = "chunk string, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, h array<long>, c array<long>, lp array<double>"
+#: So many looked up rows at a time become packed columns, one row for each chunk among them.
+PACK_ROWS = 1_000_000
+
+
+def _to_columns(batches, hashes: tuple[str, ...] = ()):
+    """Rows (of, at, numbers) -> a row for each ``of``: its places, as steps, and numbers as compressed columns."""
+    held, n = [], 0
+
+    def made():
+        table = pa.Table.from_batches(held)
+        of, at = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.int64)
+        values = [table.column(k).to_numpy().view(np.int64) for k in range(2, table.num_columns)]
+        by = np.lexsort((at, of))
+        starts = np.flatnonzero(np.r_[True, np.diff(of[by]) != 0])
+        rows = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
+            on = by[s:e]
+            rows.append((int(of[on[0]]), packed(np.diff(at[on], prepend=0)), *(packed(v[on], 0 if name in hashes else 1) for name, v in zip(table.column_names[2:], values, strict=True))))
+        types = [pa.int64(), *[pa.binary()] * (table.num_columns - 1)]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=table.column_names)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield made()
+            held, n = [], 0
+    if held:
+        yield made()
+    release()
+
+
+def _column(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    """The numbers of a packed column's rows one after another."""
+    return np.concatenate([np.zeros(0, np.uint64), *(unpacked(v.as_py()) for v in table.column(name))]).view(kind)
+
+
+def _places(table: pa.Table, name: str = "at") -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(v.as_py()).view(np.int64)) for v in table.column(name))])
+
+
+_LOOKED_SQL = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, h array<long>, c array<long>, lp array<double>"
 
 
 def _looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk with its words' hashes, training counts and logs as byte strings in place of the words."""
-    at = right.column("at").to_numpy()
+    at = _places(right)
     out = {n: left.column(n).slice(0, 1) for n in ("chunk", "doc_ids", "held", "sizes", "low", "high")}
     for name, kind in (("h", np.int64), ("c", np.int64), ("lp", np.float64)):
         values = np.zeros(len(at), kind)
-        values[at] = right.column(name).to_numpy()
+        values[at] = _column(right, name, kind)
         out[name] = pa.array([values])
     return pa.table(out)
 
@@ -281,7 +323,7 @@ def _list(row: pa.Table, name: str) -> np.ndarray:
     return row.column(name).combine_chunks().flatten().to_numpy()
 
 
-_BLOCK_SQL = "block int, chunk string, befores binary, runs binary, words binary, seen binary, counts binary"
+_BLOCK_SQL = "block int, chunk long, befores binary, runs binary, words binary, seen binary, counts binary"
 
 
 def _to_blocks(batches, blocks: int):
@@ -305,13 +347,13 @@ def _chunk_blocks(row: pa.Table, blocks: int) -> pa.Table:
         first = np.flatnonzero(np.r_[True, hv[1:] != hv[:-1]])
         seen = p.seen[on]
         rows.append((int(block[s]), chunk, packed(hv[first], 0), packed(np.diff(np.r_[first, e - s])), packed(p.hw[on], 0), packed(seen), packed(np.where(seen > 0, p.c[p.w[on]], 0))))
-    types = [pa.int32(), pa.string(), *[pa.binary()] * 5]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
     names = [x.split()[0] for x in _BLOCK_SQL.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * 7
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
 
 
-_COUNTED_SQL = "chunk string, block int, body binary, h array<long>, d array<long>, once array<long>, mass array<long>"
+_COUNTED_SQL = "chunk long, block int, body binary, h array<long>, d array<long>, once array<long>, mass array<long>"
 
 
 def _count_block(table: pa.Table) -> pa.Table:
@@ -345,7 +387,7 @@ def _count_block(table: pa.Table) -> pa.Table:
     bodies = [packed(total[pair[e - len(p[0]) : e]]) for e, p in zip(ends.tolist(), parts, strict=True)]
     m = len(chunks)
     return pa.table({
-        "chunk": pa.array([*chunks, None], pa.string()),
+        "chunk": pa.array([*chunks, None], pa.int64()),
         "block": pa.array([block] * (m + 1), pa.int32()),
         "body": pa.array([*bodies, None], pa.binary()),
         **{name: pa.array([None] * m + [v[used]], pa.list_(pa.int64())) for name, v in zip(("h", "d", "once", "mass"), stats, strict=True)},
@@ -355,7 +397,7 @@ def _count_block(table: pa.Table) -> pa.Table:
 def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int, v: int, first: float, rest: float, escape: dict[tuple[int, int], float]) -> pa.Table:
     """A chunk's texts with their sums over tokens.
 
-    right: rows of words that others follow, and rows of the chunk's blocks with the counts of its pairs. n, v: training tokens
+    right: packed columns of words that others follow, and rows of the chunk's blocks with the counts of its pairs. n, v: training tokens
     and different ones. first: the escape probability of the context
     without a word before; rest: the byte strings' probability that is not taken up by known words.
     """
@@ -364,9 +406,9 @@ def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int,
     words, answers = right.filter(is_word), right.filter(pa.compute.invert(is_word))
     p = _Pairs(row, blocks)
     size = len(p.c)
-    at = words.column("at").to_numpy()
+    at = _places(words, "places")
     spelled, kinds, mass = _list(row, "lp"), np.zeros(size, np.int64), np.zeros(size, np.int64)
-    kinds[at], mass[at] = words.column("d").to_numpy(), words.column("mass").to_numpy()
+    kinds[at], mass[at] = _column(words, "d"), _column(words, "mass")
     base = np.log10((p.c + 0.5) / (n + 0.5 * (v + 1)))
     # a word alone: its count, or an escape to its bytes, without what they give to known words
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -453,6 +495,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     first, rest = ((totals["once"] or 0) + 0.5) / (n_all + 1), max(1 - taken, 1e-12)
 
     looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
+    looked = looked.mapInArrow(lambda b: _to_columns(b, ("h",)), "of long, at binary, h binary, c binary, lp binary")
     # written, so that its shuffle files are gone before the next ones come
     looked = scratch.keep(looked, "looked", compression="zstd")
     scratch.drop()
@@ -476,9 +519,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     escape = {(r["n"], r["d"]): r["q"] for r in seen.collect()}  # by bucket: at most some 130 x 130
     scratch.drop(named)
     words = texts.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip("h", "c")).alias("at", "w")).where("w.c > 0").select("of", "at", F.col("w.h").alias("h"))
-    words = words.join(after.select("h", "d", "mass"), "h").select("of", "at", "d", "mass", F.lit(None).cast("binary").alias("body"))
-    none = F.lit(None).cast("long")
-    answers = counted.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), F.col("block").alias("at"), none.alias("d"), none.alias("mass"), "body")
-    right = words.unionByName(answers)
+    words = words.join(after.select("h", "d", "mass"), "h").select("of", F.col("at").alias("places"), "d", "mass")
+    # written, so that its shuffle files are gone before the texts are dealt
+    words = scratch.keep(words.mapInArrow(_to_columns, "of long, places binary, d binary, mass binary"), "words")
+    scratch.drop()
+    none = F.lit(None).cast("binary")
+    answers = counted.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), F.col("block").alias("at"), none.alias("places"), none.alias("d"), none.alias("mass"), "body")
+    right = answers.unionByName(words.withColumns({"at": F.lit(None).cast("int"), "body": none}))
     out = texts.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(lambda left, right: _scored(left, right, adapt, blocks, n_all, v_all, first, rest, escape), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)

@@ -556,6 +556,23 @@ def test_hot_words_before_are_dealt_to_several_blocks_and_give_the_same():
     assert results[0] == results[1]
 
 
+def test_looked_up_rows_come_back_from_packed_columns(monkeypatch):
+    monkeypatch.setattr(ppm, "PACK_ROWS", 700)
+    rng = np.random.default_rng(5)
+    at = {7: rng.permutation(900), 2**62 + 1: rng.permutation(400), 3: np.array([0])}
+    of = np.concatenate([np.full(len(v), k) for k, v in at.items()])
+    by = rng.permutation(len(of))
+    h, c, lp = rng.integers(-(2**63), 2**63, len(of)), rng.integers(0, 2**40, len(of)), -rng.random(len(of)) * 300
+    rows = pa.table({"of": of[by], "at": pa.array(np.concatenate(list(at.values()))[by], pa.int32()), "h": h[by], "c": c[by], "lp": lp[by]})
+    found = pa.Table.from_batches(ppm._to_columns(iter(rows.to_batches(max_chunksize=333)), ("h",)))
+    assert len(found) > 3 and sum(len(ppm._places(found.slice(k, 1))) for k in range(len(found))) == len(of)
+    for chunk, places in at.items():
+        left = pa.table({"chunk": [chunk], "doc_ids": [[1]], "held": [[False]], "sizes": [[1]], "low": [b""], "high": [b""]})
+        out = ppm._looked_up(left, found.filter(pa.compute.equal(found.column("of"), chunk)))
+        for name, values in (("h", h), ("c", c), ("lp", lp)):
+            assert np.array_equal(np.array(out.column(name)[0].as_py())[places], values[of == chunk])
+
+
 def test_ppm_sees_the_order_of_words(spark):
     rng = random.Random(4)
     text = "the cat sat on a mat while rain fell over the old town and nobody came"
