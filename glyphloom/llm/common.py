@@ -44,13 +44,14 @@ class Scratch:
 
     def drop(self, *tables: DataFrame, collect: bool = True) -> None:
         """Deletes tables. Spark's cleaner then frees the shuffle files of writes that have ended, whose plans only the
-        driver's garbage still holds."""
+        driver's garbage still holds, and the last one's its scheduler, until another job comes."""
         for table in tables:
             path, _ = self.paths.pop(id(table), (None, None))
             if path:
                 where, fs = self._fs(path)
                 fs.delete(where, True)
         if collect:
+            self.spark.range(1).collect()
             gc.collect()  # Python's handles on the plans go first
             self.spark._jvm.System.gc()
 

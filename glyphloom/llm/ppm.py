@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,14 @@ class _Chunk:
     """Texts as numbers of a dictionary of their own words."""
 
     def __init__(self):
-        self.ids, self.held, self.sizes, self.body, self.number, self.bytes = [], [], [], [], {}, 0
+        self.ids, self.held, self.sizes, self.body, self.bytes = [], [], [], [], 0
+        # a new word's number is how many there are
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
 
     def add(self, doc_id, held: bool, text: str | None) -> None:
         found = tokens(text)
-        number = self.number
-        self.body.append(np.array([number.setdefault(w, len(number)) for w in found], np.uint32))
+        self.body.append(np.fromiter(map(self.number.__getitem__, found), np.uint32, len(found)))
         self.ids.append(doc_id)
         self.held.append(held)
         self.sizes.append(len(found))
@@ -427,8 +430,10 @@ def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int,
     body, sizes = p.body, p.sizes
     doc = np.repeat(np.arange(len(sizes)), sizes)
     # how often the token stood in its text before, and how many tokens did
-    order = np.lexsort((np.arange(len(body)), body, doc))
-    begins = np.r_[True, (body[order][1:] != body[order][:-1]) | (doc[order][1:] != doc[order][:-1])] if len(body) else np.zeros(0, bool)
+    key = doc * max(size, 1) + body
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begins = np.r_[True, key[1:] != key[:-1]] if len(body) else np.zeros(0, bool)
     run = np.arange(len(body)) - np.maximum.accumulate(np.where(begins, np.arange(len(body)), 0))
     before = np.empty(len(body), np.int64)
     before[order] = run
@@ -494,7 +499,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     taken = named.where("c > 0").agg(F.sum(F.expr("pow(10D, lp)"))).first()[0] or 0.0
     first, rest = ((totals["once"] or 0) + 0.5) / (n_all + 1), max(1 - taken, 1e-12)
 
-    looked = entries.select("chunk", "at", "word").join(named, "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
+    looked = entries.select("chunk", "at", "word").join(named.hint("shuffle_hash"), "word").select(F.col("chunk").alias("of"), "at", F.xxhash64("word").alias("h"), "c", "lp")
     looked = looked.mapInArrow(lambda b: _to_columns(b, ("h",)), "of long, at binary, h binary, c binary, lp binary")
     # written, so that its shuffle files are gone before the next ones come
     looked = scratch.keep(looked, "looked", compression="zstd")
