@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -42,11 +43,25 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """df, computed once and held on the executors' disks until ``drop``, for tables that live briefly: no file is
+        created in the shared folder, each of which costs the executor the launch of two or three processes (Hadoop's chmod). A
+        lost block is made again, so df must come out the same each time. Plans over a held table hold its own, so tables that build on
+        one another are better written."""
+        out = df.persist(StorageLevel.DISK_ONLY)
+        self.paths[id(out)] = (None, out)
+        return out
+
+    def tables(self) -> list[DataFrame]:
+        return [table for _, table in self.paths.values()]
+
     def drop(self, *tables: DataFrame, collect: bool = True) -> None:
         """Deletes tables. Spark's cleaner then frees the shuffle files of writes that have ended, whose plans only the
         driver's garbage still holds, and the last one's its scheduler, until another job comes."""
         for table in tables:
-            path, _ = self.paths.pop(id(table), (None, None))
+            path, held = self.paths.pop(id(table), (None, None))
+            if held is not None and not path:
+                held.unpersist()
             if path:
                 where, fs = self._fs(path)
                 fs.delete(where, True)
@@ -103,6 +118,36 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return own.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its tree) for every other node of the components of edges (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(one):
+        x, y = label[one], label[two]
+        apart = x != y
+        one, two, x, y = one[apart], two[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    on = label != np.arange(len(nodes))
+    return nodes[on], nodes[label[on]]
+
+
+def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """Edges (a, b) with the components of ``edges``, a table that is held or written: about ``most`` at a time become a spanning
+    forest, which has fewer edges than nodes, however often a large group's members were linked."""
+    n = edges.count()
+
+    def trees(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            yield pa.record_batch([pa.array(v) for v in forest(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["a", "b"])
+        release()
+
+    return edges.coalesce(max(1, -(-n // most))).mapInArrow(trees, "a long, b long")
+
+
 def parts(batches, column: int, most: int = 2 << 20):
     """The rows of Arrow batches in parts of about ``most`` bytes of a text column, which bounds a worker's memory; one
     text is never divided. When the rows are over the worker gives free memory back, since it lives on for other stages."""

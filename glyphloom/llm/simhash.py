@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import exact_dedup
-from .common import Scratch, components, parts, release
+from .common import Scratch, components, contracted, parts, release
 
 #: A bucket of more fingerprints is compared in blocks of this size, each pair of blocks on its own.
 BLOCK = 2048
@@ -344,13 +344,13 @@ def links(prints: DataFrame, most: int, scratch: Scratch, block: int = BLOCK) ->
     return bucket_links(prints.mapInArrow(explode, schema), most, most * len(columns), scratch, block)
 
 
-def bucket_links(keyed: DataFrame, most: int, total: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def bucket_links(keyed: DataFrame, most: int, total: int, scratch: Scratch, block: int = BLOCK, hold: bool = False) -> DataFrame:
     """(a, b): links of nodes whose components are those of all pairs of rows of ``keyed`` (a key, then fingerprints)
-    that share a key and are within ``most`` bits in each fingerprint and ``total`` in all."""
+    that share a key and are within ``most`` bits in each fingerprint and ``total`` in all. hold: what was scanned is held, not written."""
     columns = keyed.columns[1:]
     by = keyed.columns[0]
     scanned = keyed.repartition(by).sortWithinPartitions(by, *columns).mapInArrow(lambda b: _scan_buckets(b, most, total, block), "a long, b long, key long")
-    scanned = scratch.keep(scanned, "scan")
+    scanned = scratch.hold(scanned) if hold else scratch.keep(scanned, "scan")
     direct = scanned.where("key IS NULL").select("a", "b")
     held = scanned.where("key IS NOT NULL").select("key", *(F.col(n).alias(c) for n, c in zip("ab", columns, strict=False)))
     blocks = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
@@ -453,7 +453,7 @@ def text_key(text) -> object:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER, total: int = 38) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER, total: int = 38, scratch: Scratch | None = None) -> DataFrame:
     """(id, text_key, keep_id, keep_key): of each group of near copies all rows but those of the text that stays, and that one.
 
     Groups are the components of the pairs with at least ``similarity`` of their different word shingles in common (exact
@@ -463,11 +463,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose fingerprints are within ``most`` bits each and ``total`` together (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
     different shingle sets are compared exactly, over ``block`` of them in pairs of blocks, and components are taken
     again. Rows are told apart by id and text, so ids may repeat or be null. Null and empty texts have no shingles and are alike.
+    The links of candidates are contracted to forests first, since each of a text's keys may lead a large group's members to another one.
+    scratch: holds the tables between, for a caller that drops them when it has written the result.
     """
     from xxhash import xxh64_intdigest
 
     ship(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
 
     def hashed(batches):
         for batch in parts(batches, 2):
@@ -488,9 +490,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.record_batch([pa.array(key), *(pa.array(part[row, c].view(np.int64)) for c in (0, 1))], names=["key", "p0", "p1"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    known = scratch.keep(rows.mapInArrow(hashed, "id long, key binary, node long, digest long, prints array<long>"), "prints")
+    known = scratch.hold(rows.mapInArrow(hashed, "id long, key binary, node long, digest long, prints array<long>"))
     keyed = known.dropDuplicates(["digest"]).select("prints").mapInArrow(explode, "key long, p0 long, p1 long")
-    roots = components(bucket_links(keyed, most, total, scratch), scratch).withColumnRenamed("node", "_node")
+    linked = scratch.hold(bucket_links(keyed, most, total, scratch, hold=True))
+    roots = components(contracted(linked), scratch).withColumnRenamed("node", "_node")
     # one row for each different shingle set, with the row that stands for it
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     sets = known.groupBy("digest", "node").agg(first)
@@ -514,8 +517,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = F.ceil(F.col("n") / block).cast("int")
         dealt = large.withColumn("mine", F.pmod(F.xxhash64("digest"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).where("mine <> other")
         dealt = dealt.select("root", "digest", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        across = dealt.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long")
-        pairs = pairs.unionByName(components(across, scratch).select(F.col("node").alias("a"), F.col("root").alias("b")))
+        across = scratch.hold(dealt.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long"))
+        pairs = pairs.unionByName(components(contracted(across), scratch).select(F.col("node").alias("a"), F.col("root").alias("b")))
     grouped = sets.join(pairs.withColumnRenamed("a", "digest"), "digest", "left").select("digest", "first", F.coalesce("b", "digest").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
     judged = scratch.keep(grouped.join(stays, "group").select(F.col("digest").alias("_digest"), "stays"), "stays")
@@ -536,8 +539,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "copies")
     names = {c: f"v_{c}" for c in docs.columns}
     keyed = docs.withColumnsRenamed(names).withColumn("key", text_key(F.col(names[text_col]))).withColumn("row_id", F.col(names[id_col]).cast("long"))
-    gone = near_copies(docs, id_col, text_col, **options).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    between = Scratch(docs.sparkSession, "near")
+    gone = near_copies(docs, id_col, text_col, scratch=between, **options).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
     gone = scratch.keep(gone, "gone")
+    between.drop(*between.tables())
     twice = keyed.groupBy(F.col("row_id").alias("_gone"), F.col("key").alias("_gone_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     twice = scratch.keep(twice, "twice")
     same = (F.col("key") == F.col("_gone_key")) & F.col("row_id").eqNullSafe(F.col("_gone"))

@@ -172,6 +172,36 @@ def test_components(spark):
     assert out == {v: find(v) for v in linked}
 
 
+def test_links_of_a_large_group_become_a_forest(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(3000)] + [(100 + k, 101 + k) for k in range(30)] + [(-5, 7)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3).cache()
+    parts = len(edges) // 500 + 1
+    forest = common.contracted(table, 500)
+    assert forest.count() < parts * 75
+    roots = lambda e: {r["node"]: r["root"] for r in common.components(e, common.Scratch(spark, "cc")).collect()}
+    assert roots(forest) == roots(table) == roots(common.contracted(table))
+    assert common.contracted(table.limit(0)).count() == 0
+
+
+def test_near_copies_leave_few_files(spark, monkeypatch):
+    """The tables with many partitions are held on the executors and given back; plans stay small, since what follows is written."""
+    kept, keep = {}, common.Scratch.keep
+
+    def spy(self, df, name, **options):
+        kept[name] = max(kept.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan"))
+        return keep(self, df, name, **options)
+
+    monkeypatch.setattr(common.Scratch, "keep", spy)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words, f"x{k}"])) for k in range(8)] + [(50, "one two three"), (51, None)]
+    out = simhash.drop_near_copies(docs_of(spark, rows), shingle=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 50, 51]
+    assert not set(kept) & {"prints", "scan"} and max(kept.values()) <= 24
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
 # --- packing ---
 
 
