@@ -14,7 +14,7 @@ from .common import Scratch, numbered, salts
 #: Tables with a row a node are broadcast up to so many nodes, some 10 MB; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 #: Bits of a point's order key that one histogram round settles; 63 bits in all.
-ROUNDS = (16, 16, 16, 15)
+ROUNDS = (8,) * 7 + (7,)
 
 
 def _scaled(value: Column, low: Column, high: Column) -> Column:
@@ -33,18 +33,16 @@ def _reached(hist: DataFrame, bin_col: str) -> DataFrame:
     return found.select("node", "dim", "target", F.col("s.bin").alias("bin"), F.col("s.base").alias("base"), F.col("s.w").alias("w"))
 
 
-def _median_cuts(points: DataFrame, dims: int, scratch: Scratch, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
+def _median_cuts(points: DataFrame, dims: int, gathered: Callable[[DataFrame], DataFrame], small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
     """(node, dim, cut, with_cut): for each node the widest dimension and the key where the left share ends.
 
-    points: node, share (of the weight that goes left), weight, keys array<long>. One histogram of at
-    most 65536 bins a node and round, which is searched by its 256 groups of bins and then within one of them, so that
-    neither a node nor its histogram is ever gathered in one place. Both are written each round: a histogram is read twice,
-    and a plan that held the rounds before would double with each.
+    points: node, share (of the weight that goes left), weight, keys array<long>. One histogram of at most 256 bins a node and
+    round. What a round found, a row a node, is ``gathered``, so that no plan holds the rounds before.
     """
     spans = [F.max(F.col("keys")[d]) - F.min(F.col("keys")[d]) for d in range(dims)]
     nodes = points.groupBy("node").agg(F.max("share").alias("share"), F.sum("weight").alias("total"), F.array(*spans).alias("spans"))
     widest = (F.array_position("spans", F.array_max("spans")) - 1).cast("int")
-    state = scratch.keep(nodes.select("node", widest.alias("dim"), (F.col("total") * F.col("share")).alias("target"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base")), "state")
+    state = gathered(nodes.select("node", widest.alias("dim"), (F.col("total") * F.col("share")).alias("target"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("base")))
     left = sum(ROUNDS)
     for bits in ROUNDS:
         near = points.select("node", "weight", "keys").join(small(state), "node")
@@ -52,12 +50,7 @@ def _median_cuts(points: DataFrame, dims: int, scratch: Scratch, small: Callable
         near = near.where(F.shiftright(key, left) == F.col("prefix")) if left < 63 else near
         left -= bits
         hist = near.groupBy("node", "dim", "target", "base", F.shiftright(key, left).alias("bin")).agg(F.sum("weight").alias("w"))
-        hist = scratch.keep(hist, "hist")
-        groups = hist.groupBy("node", "dim", "target", "base", F.shiftright("bin", bits // 2).alias("bin")).agg(F.sum("w").alias("w"))
-        group = _reached(groups, "bin").select(F.col("node").alias("_node"), F.col("bin").alias("_group"), F.col("base").alias("_base"))
-        within = hist.join(small(group), (F.col("node") == F.col("_node")) & (F.shiftright("bin", bits // 2) == F.col("_group")))
-        cut = scratch.keep(_reached(within.select("node", "dim", "target", F.col("_base").alias("base"), "bin", "w"), "bin"), "cut")
-        scratch.drop(hist, collect=False)
+        cut = gathered(_reached(hist, "bin"))
         state = cut.select("node", "dim", "target", F.col("bin").alias("prefix"), "base")
     nearer = F.abs(F.col("base") + F.col("w") - F.col("target")) < F.abs(F.col("target") - F.col("base"))
     return cut.select("node", "dim", F.col("bin").alias("cut"), nearer.alias("with_cut"))
@@ -92,17 +85,19 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metad
     total, f0, f1, b0, b1 = low.first()
     total = total or 0
     leaves = n_shards or max(1, math.ceil(total / target_bytes))
-    small = F.broadcast if leaves <= MOST_BROADCAST else lambda nodes: nodes
+    few = leaves <= MOST_BROADCAST
+    small = F.broadcast if few else lambda nodes: nodes
+    # rows that are broadcast pass the driver anyway: as a local table they leave no files
+    gathered = (lambda nodes: spark.createDataFrame(nodes.toArrow(), nodes.schema)) if few else lambda nodes: scratch.keep(nodes, "nodes")
     tie = F.shiftrightunsigned(F.xxhash64("g"), 32)
     values = [_scaled(F.col("first"), F.lit(f0), F.lit(f1)), _scaled(F.col("bytes"), F.lit(b0), F.lit(b1)), *(F.coalesce(F.col(f"_m{k}"), F.lit(0)) for k in range(len(metadata)))]
     keys = F.array(*(F.shiftleft(v.cast("long"), 32).bitwiseOR(tie) for v in values))
     points = groups.select("g", "weight", keys.alias("keys"), F.lit(0).cast("long").alias("node"), F.lit(leaves).cast("long").alias("leaves"))
-    points = scratch.keep(points, "points")
-    scratch.drop(groups)
+    read = groups
     # node: its first shard; leaves: how many shards it holds
     for _ in range(max(0, math.ceil(math.log2(leaves)))):
         open_ = points.where("leaves > 1").withColumn("share", F.floor(F.col("leaves") / 2) / F.col("leaves"))
-        cuts = _median_cuts(open_, len(values), scratch, small)
+        cuts = _median_cuts(open_, len(values), gathered, small)
         at = points.join(small(cuts), "node", "left").withColumn("_k", F.expr("keys[dim]"))
         to_left = (F.col("_k") < F.col("cut")) | ((F.col("_k") == F.col("cut")) & F.col("with_cut"))
         half = F.floor(F.col("leaves") / 2).cast("long")
@@ -113,8 +108,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metad
             F.when(alone, F.col("leaves")).when(to_left, half).otherwise(F.col("leaves") - half).alias("leaves"),
         )
         after = scratch.keep(after, "points")
-        scratch.drop(points)
-        points = after
+        scratch.drop(read)
+        points = read = after
     placed = rows.select("id", "size", "text_crc32", "g").join(points.select("g", F.col("node").cast("int").alias("shard")), "g").drop("g")
     placed = scratch.keep(placed, "placed")
     scratch.drop(rows)

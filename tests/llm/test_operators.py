@@ -145,6 +145,17 @@ def test_plans_of_the_tree_stay_small(spark, monkeypatch):
     assert joins and max(joins) <= 3
 
 
+def test_rounds_of_the_tree_leave_no_files(spark, monkeypatch):
+    """What a round finds, a row a node, is not written but where nodes are too many for the driver; the shards are the same."""
+    kept, keep = collections.Counter(), common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, name, **options: kept.update([name]) or keep(self, df, name, **options))
+    docs = docs_of(spark, [(k, f"text {k}" * (k % 7)) for k in range(60)])
+    few = {r["doc_id"]: r["shard"] for r in kd_shard.shard(docs, n_shards=4).collect()}
+    assert kept == {"rows": 1, "groups": 1, "points": 2, "placed": 1}
+    monkeypatch.setattr(kd_shard, "MOST_BROADCAST", 1)
+    assert few == {r["doc_id"]: r["shard"] for r in kd_shard.shard(docs, n_shards=4).collect()} and kept["nodes"] > 0
+
+
 def test_numbering_is_dense_with_ties(spark):
     scratch = common.Scratch(spark, "t")
     df = scratch.keep(spark.range(500).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("o")), "x")
