@@ -64,9 +64,10 @@ class _Chunk:
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         body = rank[body]  # frequent words get small numbers, so the upper halves are mostly zero
-        words = list(self.number)
-        row = [uuid.uuid4().int >> 65, self.ids, self.held, self.sizes, (body & 0xFFFF).astype("<u2").tobytes(), (body >> 16).astype("<u2").tobytes(), [words[k] for k in order.tolist()], counts[order].tolist()]
-        return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
+        words = pa.array(list(self.number), pa.binary()).take(pa.array(order))
+        row = [uuid.uuid4().int >> 65, self.ids, self.held, self.sizes, (body & 0xFFFF).astype("<u2").tobytes(), (body >> 16).astype("<u2").tobytes()]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words, pa.array(counts[order], pa.int64()))]
+        return pa.record_batch([*(pa.array([v], f.type) for v, f in zip(row, _CHUNK, strict=False)), *lists], schema=_CHUNK)
 
 
 def _to_chunks(batches):
@@ -287,6 +288,28 @@ def _looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
+def _different(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different numbers below 2**bits and the place of each one's among them. Numbers are sorted with their places in
+    the low bits, where both fit, which takes less time than sorting places by them."""
+    low = max(1, (len(code) - 1).bit_length())
+    if bits + low > 63:
+        unique, at = np.unique(code, return_inverse=True)
+        return unique, at.astype(np.int32)
+    both = np.sort(code << low | np.arange(len(code)))
+    place, both = both & (1 << low) - 1, both >> low
+    new = np.r_[True, both[1:] != both[:-1]][: len(both)]
+    at = np.empty(len(code), np.int32)
+    at[place] = np.cumsum(new) - 1
+    return both[new], at
+
+
+def _dealt(hv: np.ndarray, part: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a word before, or of one part of a frequent one."""
+    with np.errstate(over="ignore"):
+        deal = (hv + part * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((deal >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+
+
 class _Pairs:
     """A chunk's different (word before, word) pairs in the order in which blocks take and give them back.
 
@@ -305,20 +328,24 @@ class _Pairs:
         ends = np.cumsum(self.sizes)
         before = np.r_[self.body[:1], self.body[:-1]]
         before[(ends - self.sizes)] = self.body[ends - 1]  # each text has its end symbol
-        code, self.at = np.unique(before.astype(np.int64) * n + self.body, return_inverse=True)
-        self.at = self.at.astype(np.int32)
+        # numbered by their hashes, so that pairs sorted by their numbers are sorted by both hashes
+        by = np.argsort(hashes.view(np.uint64), kind="stable")
+        number = np.empty(n, np.int64)
+        number[by] = np.arange(n)
+        bits = max(1, (n - 1).bit_length())
+        code, self.at = _different(number[before] << bits | number[self.body], 2 * bits)
         training = np.repeat(~held, self.sizes)
         self.seen = np.bincount(self.at[training], minlength=len(code)) if len(code) else np.zeros(0, np.int64)
-        self.v, self.w = code // max(n, 1), code % max(n, 1)
+        self.v, self.w = by[code >> bits], by[code & (1 << bits) - 1]
         hv, hw = hashes[self.v].view(np.uint64), hashes[self.w].view(np.uint64)
-        parts = np.uint64(1) + self.c[self.v].astype(np.uint64) // np.uint64(HOT_TOKENS)
-        with np.errstate(over="ignore"):
-            deal = (hv + (hw % parts) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        self.block = ((deal >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+        self.block = _dealt(hashes.view(np.uint64), np.uint64(0), blocks)[self.v]
+        parts = np.uint64(1) + self.c.astype(np.uint64) // np.uint64(HOT_TOKENS)
+        hot = np.flatnonzero((parts > 1)[self.v])
+        self.block[hot] = _dealt(hv[hot], hw[hot] % parts[self.v[hot]], blocks)
         # a pair is told apart by 64 bits of the word before and 48 of the word: two of a billion words after one word
         # are taken for one another some two thousand times
         self.hv, self.hw = hv, hw >> np.uint64(16)
-        self.order = np.lexsort((self.hw, hv, self.block))
+        self.order = np.argsort(self.block.astype(np.uint16) if blocks <= 1 << 16 else self.block, kind="stable")
 
 
 def _list(row: pa.Table, name: str) -> np.ndarray:

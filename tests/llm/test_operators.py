@@ -597,6 +597,36 @@ def test_hot_words_before_are_dealt_to_several_blocks_and_give_the_same():
     assert results[0] == results[1]
 
 
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_pairs_are_told_apart_and_dealt_as_by_hand(hot, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_TOKENS", hot)
+    rng = np.random.default_rng(7)
+    chunk = ppm._Chunk()
+    for k in range(20):
+        chunk.add(k, k % 5 == 1, " ".join(f"w{w}" for w in rng.integers(0, 30, k * 3)))
+    row = chunk.batch()
+    words = row.column("words")[0].as_py()
+    h = rng.integers(-(2**63), 2**63 - 1, len(words))
+    table = pa.table({n: row.column(n) for n in ("chunk", "held", "sizes", "low", "high")} | {"h": pa.array([h]), "c": row.column("counts")})
+    p = ppm._Pairs(table, 7)
+    number, seen, at = {w: k for k, w in enumerate(words)}, collections.Counter(), []
+    rng = np.random.default_rng(7)
+    for k in range(20):
+        body = [number[w] for w in ppm.tokens(" ".join(f"w{w}" for w in rng.integers(0, 30, k * 3)))]
+        own = list(zip([body[-1], *body[:-1]], body, strict=True))
+        at += own
+        seen.update({} if k % 5 == 1 else own)
+    pairs = list(zip(p.v.tolist(), p.w.tolist(), strict=True))
+    assert [pairs[k] for k in p.at] == at and len(set(pairs)) == len(pairs)
+    assert {x: n for x, n in zip(pairs, p.seen.tolist(), strict=True) if n} == seen
+    c, u = row.column("counts")[0].as_py(), h.view(np.uint64).tolist()
+    deal = lambda v, w: ((u[v] + u[w] % (1 + c[v] // hot) * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 % 2**64 >> 33) % 7
+    assert p.block.tolist() == [deal(v, w) for v, w in pairs]
+    assert p.order.tolist() == sorted(range(len(pairs)), key=lambda k: (p.block[k], u[pairs[k][0]], u[pairs[k][1]]))
+    many = np.array([5, 2**62, 5, 0])
+    assert [x.tolist() for x in ppm._different(many, 63)] == [[0, 5, 2**62], [1, 2, 1, 0]] == [x.tolist() for x in (np.unique(many), ppm._different(np.array([5, 9, 5, 0]), 4)[1])]
+
+
 def test_looked_up_rows_come_back_from_packed_columns(monkeypatch):
     monkeypatch.setattr(ppm, "PACK_ROWS", 700)
     rng = np.random.default_rng(5)
