@@ -148,9 +148,25 @@ def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
     return edges.coalesce(max(1, -(-n // most))).mapInArrow(trees, "a long, b long")
 
 
-def parts(batches, column: int, most: int = 2 << 20):
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker keeps from task to task, of one owner at a time: workers live on, and what an earlier operator left would
+    stand beside the tables of the next one."""
+    if owner not in _KEPT:
+        had = any(_KEPT.values())
+        _KEPT.clear()
+        if had:
+            release()
+    return _KEPT.setdefault(owner, {})
+
+
+def parts(batches, column: int, most: int = 2 << 20, owner: str = ""):
     """The rows of Arrow batches in parts of about ``most`` bytes of a text column, which bounds a worker's memory; one
-    text is never divided. When the rows are over the worker gives free memory back, since it lives on for other stages."""
+    text is never divided. What others than ``owner`` keep in this worker goes first. When the rows are over the worker gives free
+    memory back, since it lives on for other stages."""
+    kept(owner)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import Scratch, numbered, parts, salts
+from .common import Scratch, kept, numbered, parts, salts
 
 #: The letters, digits and white space up to U+024F as the split pattern below has them.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r\x20\x85\xa0"
@@ -66,17 +66,15 @@ class ByteBPE:
         return SPECIAL_ID.to_bytes(4, "little").join(ids)
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def load_tokenizer(ranks_file: str | None = None) -> ByteBPE:
     """The worker's tokenizer; by default the installed public vocabulary."""
     import public_tokenizers
 
     name = ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if name not in _LOADED:
-        _LOADED[name] = ByteBPE(name, public_tokenizers.PATTERN)
-    return _LOADED[name]
+    loaded = kept("packing")
+    if name not in loaded:
+        loaded[name] = ByteBPE(name, public_tokenizers.PATTERN)
+    return loaded[name]
 
 
 def binary_parts(length: int) -> list[int]:
@@ -243,7 +241,7 @@ _PLACED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 def _cut_documents(batches, window: int, ranks_file: str | None):
     tokenizer = load_tokenizer(ranks_file)
     end = b"\0\0\0\0"
-    for batch in parts(batches, 1):
+    for batch in parts(batches, 1, owner="packing"):
         rows: list[list] = [[] for _ in _PIECES]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = tokenizer.encode(text or "") + end

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import pickle
 import zlib
 from dataclasses import dataclass, field
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
-from .common import parts, release
+from .common import kept, parts, release
 
 #: A-Z become lower case; what is no letter, digit or byte from 0x80 on divides words.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -24,7 +25,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A worker keeps the scores of at most so many different words; then it starts anew.
 CACHE_WORDS = 200_000
 #: New words are scored so many at a time, and the fitted scorer leaves its worker in parts of so many bytes.
-SLICE_WORDS, PART_BYTES = 20_000, 4 << 20
+SLICE_WORDS, PART_BYTES = 8_000, 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -288,8 +289,29 @@ def _squeezed(scorer: Scorer) -> bytes:
     return bytes(out + squeeze.flush())
 
 
+class _Inflated(io.RawIOBase):
+    """Compressed bytes, read as they were before, without ever holding all of these."""
+
+    def __init__(self, body: bytes):
+        self._body, self._inflate, self._left, self._next = memoryview(body), zlib.decompressobj(), b"", 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        while True:
+            if not self._left:
+                self._left, self._next = self._body[self._next : self._next + (1 << 16)], self._next + (1 << 16)
+            over = not self._left
+            piece = self._inflate.decompress(self._left, len(to))
+            self._left = self._inflate.unconsumed_tail
+            if piece or over:
+                to[: len(piece)] = piece
+                return len(piece)
+
+
 def _restored(body: bytes) -> Scorer:
-    return pickle.loads(zlib.decompress(body))
+    return pickle.load(io.BufferedReader(_Inflated(body), 1 << 16))
 
 
 class Fitted:
@@ -416,6 +438,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = texts.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("_k"), "_id", "_text", "toxic").repartition(1).sortWithinPartitions("_k", "_id", "_text").select("_text", "toxic")
 
     def fitted(batches):
+        kept("")
         found, toxic, left = [], [], most_total
         for batch in batches:
             for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -448,9 +471,11 @@ def score(docs: DataFrame, fitted: Fitted, text_col: str = "text", out: str = "s
 
     def run(batches):
         if not cache:
+            kept("")
             cache.append(_Known(shared.value))
+            release()
         known = cache[0]
-        for batch in parts(batches, at):
+        for batch in parts(batches, at, 1 << 20):
             rows = known.rows([words(t) for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.scorer.probability(np.array(rows).reshape(-1, FEATURES)))], names=[*batch.schema.names, out])
 

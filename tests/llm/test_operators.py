@@ -867,6 +867,28 @@ def test_toxicity_learns_expressions(spark):
     assert [r["score"] for r in toxicity.score(docs, unlabelled).select("score").distinct().collect()] == [pytest.approx(1e-6)]
 
 
+def test_a_worker_holds_the_model_once_and_no_tokenizer_beside_it():
+    import tracemalloc
+
+    n = 1 << 20
+    model = toxicity.KneserNey(1, 0.5, (np.arange(n, dtype=np.uint64), *[np.random.default_rng(5).random(n, np.float32)] * 2), (), [])
+    scorer = toxicity.Scorer(model, toxicity.Pairs.fit([], np.zeros(0), 0), {b"a": 0}, np.zeros(5), 0.5, np.zeros(5), np.ones(5))
+    body = toxicity._squeezed(scorer)
+    tracemalloc.start()
+    out = toxicity._restored(body)
+    now, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 1.2 * now and out.number == {b"a": 0} and out.bias == 0.5
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(out.model.grams, model.grams, strict=True))
+    # the next operator in a worker frees what the tokenizer keeps from task to task
+    loaded = packing.load_tokenizer()
+    assert packing.load_tokenizer() is loaded
+    list(common.parts(iter([pa.record_batch([pa.array(["a"])], names=["text"])]), 0, owner="packing"))
+    assert packing.load_tokenizer() is loaded
+    list(common.parts(iter([pa.record_batch([pa.array(["a"])], names=["text"])]), 0))
+    assert packing.load_tokenizer() is not loaded
+
+
 def test_expressions_of_ordinary_words_count():
     rng = random.Random(12)
     vocabulary = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)] + ["white", "trash"]
