@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from .common import Scratch, parts, release
 #: The end of a text is a token of this one byte, which no UTF-8 text holds.
 END = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: A chunk of texts ends at so many different words or bytes, whichever comes first.
+#: A chunk of texts ends with the part of a batch that brings so many different words or bytes, whichever comes first.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 16 << 20
 #: A shelf of the vocabulary has so many words.
 SHELF_WORDS = 400_000
@@ -32,39 +31,66 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").translate(_LOWER).split(), END]
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binaries one after another, and where these begin and end."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8), ends - ends[0]
+
+
 _CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("low", pa.binary()), ("high", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
 _CHUNK_SQL = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, words array<binary>, counts array<long>"
 
 
 class _Chunk:
-    """Texts as numbers of a dictionary of their own words."""
+    """Texts as numbers of a dictionary of their own words; the end symbol is number 0."""
 
     def __init__(self):
         self.ids, self.held, self.sizes, self.body, self.bytes = [], [], [], [], 0
-        # a new word's number is how many there are
-        self.number: dict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        self.words = pa.array([END], pa.large_binary())
 
     def add(self, doc_id, held: bool, text: str | None) -> None:
-        found = tokens(text)
-        self.body.append(np.fromiter(map(self.number.__getitem__, found), np.uint32, len(found)))
-        self.ids.append(doc_id)
-        self.held.append(held)
-        self.sizes.append(len(found))
-        self.bytes += len(text or "")
+        self.add_rows([doc_id], [held], pa.array([(text or "").encode("utf-8", "replace")], pa.binary()).cast(pa.string()))
+
+    def add_rows(self, ids: list, held: list[bool], texts: pa.Array) -> None:
+        """Rows of one part, whose words are told apart among themselves first."""
+        data, ends = _bytes(pa.compute.fill_null(texts.cast(pa.large_binary()), b""))
+        # offsets from 0 on: pyarrow's kernels for strings misread a part of a batch
+        lower = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(data.tobytes().translate(_LOWER)))
+        split = pa.compute.ascii_split_whitespace(lower)
+        # white space at the ends of a text gives empty words
+        real = np.asarray(pa.compute.binary_length(split.values)) > 0
+        own = split.values.dictionary_encode()
+        start = split.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(np.r_[0, np.cumsum(real)][start - start[0]]) + 1
+        found = own.indices.to_numpy()[real]
+        used = np.asarray(pa.compute.binary_length(own.dictionary)) > 0
+        both = pa.concat_arrays([self.words, own.dictionary.cast(pa.large_binary()).filter(pa.array(used))]).dictionary_encode()
+        number = np.zeros(len(used), np.uint32)
+        number[used] = both.indices.to_numpy()[len(self.words) :]
+        self.words = both.dictionary
+        body = np.zeros(len(found) + len(sizes), np.uint32)
+        word = np.ones(len(body), bool)
+        word[np.cumsum(sizes) - 1] = False
+        body[word] = number[found]
+        self.body.append(body)
+        self.ids += ids
+        self.held += held
+        self.sizes += sizes.tolist()
+        self.bytes += len(data)
 
     def full(self) -> bool:
-        return len(self.number) >= CHUNK_WORDS or self.bytes >= CHUNK_BYTES
+        return len(self.words) >= CHUNK_WORDS or self.bytes >= CHUNK_BYTES
 
     def batch(self) -> pa.RecordBatch:
         body = np.concatenate(self.body)
         training = np.repeat(~np.array(self.held), self.sizes)
-        counts = np.bincount(body[training], minlength=len(self.number))
-        order = np.argsort(-np.bincount(body, minlength=len(self.number)), kind="stable")
+        counts = np.bincount(body[training], minlength=len(self.words))
+        order = np.argsort(-np.bincount(body, minlength=len(self.words)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         body = rank[body]  # frequent words get small numbers, so the upper halves are mostly zero
-        words = pa.array(list(self.number), pa.binary()).take(pa.array(order))
+        words = self.words.take(pa.array(order)).cast(pa.binary())
         row = [uuid.uuid4().int >> 65, self.ids, self.held, self.sizes, (body & 0xFFFF).astype("<u2").tobytes(), (body >> 16).astype("<u2").tobytes()]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words, pa.array(counts[order], pa.int64()))]
         return pa.record_batch([*(pa.array([v], f.type) for v, f in zip(row, _CHUNK, strict=False)), *lists], schema=_CHUNK)
@@ -72,30 +98,31 @@ class _Chunk:
 
 def _to_chunks(batches):
     now = _Chunk()
-    for batch in parts(batches, 2):
-        for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            now.add(doc_id, held, text)
-            if now.full():
-                yield now.batch()
-                now = _Chunk()
+    for batch in parts(batches, 2, 4 << 20):
+        now.add_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
+        if now.full():
+            yield now.batch()
+            now = _Chunk()
     if now.ids:
         yield now.batch()
 
 
-def window_codes(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+def window_codes(words: list[bytes] | pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, word numbers) of every predicted byte of a word with its context.
 
     A word is predicted from a blank before it to the blank after it (the end token has none after it); the
     context is up to ``order`` bytes, none before the first blank.
     """
-    closed = [b" " + w if w == END else b" " + w + b" " for w in words]
-    sizes = np.fromiter(map(len, closed), np.int64, len(closed))
-    text = np.frombuffer(b"".join(closed), np.uint8).astype(np.int64)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words.cast(pa.large_binary())
+    inner = np.asarray(pa.compute.binary_length(words)).astype(np.int64)
+    sizes = inner + np.where(np.asarray(pa.compute.equal(words, END)), 1, 2)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    text = np.full(len(place), 32, np.int64)
+    text[(place > 0) & (place <= np.repeat(inner, sizes))] = _bytes(words)[0]
     code = text.copy()
     for k in range(1, order + 1):
-        on = np.flatnonzero(place >= k)
-        code[on] |= text[on - k] << 8 * k
+        code[k:] |= np.where(place[k:] >= k, text[:-k] << 8 * k, 0)
     length = np.minimum(place + 1, order + 1)
     keep = place > 0
     return (length << 56 | code)[keep], np.repeat(np.arange(len(words)), sizes)[keep]
@@ -116,26 +143,33 @@ _SHELF_SQL = "shelf string, words array<binary>, counts array<long>, codes array
 
 def _to_shelves(batches, order: int):
     """The vocabulary in shelves, each with its different windows and their training counts."""
-    words, counts = [], []
+    held, n = [], 0
     names = [x.split()[0] for x in _SHELF_SQL.split(", ")]
 
-    def shelf():
+    def shelf(rows: pa.Table):
+        words, counts = (c.combine_chunks() for c in rows.columns)
         codes, at = window_codes(words, order)
-        unique, inverse = np.unique(codes, return_inverse=True)
-        weights = np.bincount(inverse, np.array(counts, float)[at], len(unique)).astype(np.int64)
-        row = [uuid.uuid4().hex, words, counts, unique, weights]
-        types = [pa.string(), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3]
-        return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+        by = np.argsort(codes)
+        codes = codes[by]
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+        weights = np.add.reduceat(counts.to_numpy()[at[by]], first) if len(codes) else np.zeros(0, np.int64)
+        row = [uuid.uuid4().hex, codes[first], weights]
+        types = [pa.string(), *[pa.list_(pa.int64())] * 2]
+        name, codes, weights = (pa.array([v], t) for v, t in zip(row, types, strict=True))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words, counts)]
+        return pa.record_batch([name, *lists, codes, weights], names=names)
 
     for batch in batches:
-        for word, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words.append(word)
-            counts.append(count)
-            if len(words) >= SHELF_WORDS:
-                yield shelf()
-                words, counts = [], []
-    if words:
-        yield shelf()
+        while batch.num_rows:
+            part = batch.slice(0, SHELF_WORDS - n)
+            batch = batch.slice(len(part))
+            held.append(part)
+            n += len(part)
+            if n == SHELF_WORDS:
+                yield shelf(pa.Table.from_batches(held))
+                held, n = [], 0
+    if held:
+        yield shelf(pa.Table.from_batches(held))
 
 
 def _length(code: Column) -> Column:
@@ -207,12 +241,12 @@ def window_scores(windows: DataFrame, grams: DataFrame, contexts: DataFrame) ->
 
 def _named(left: pa.Table, right: pa.Table, order: int) -> pa.Table:
     """A shelf's words with log10 of their probabilities as byte strings, from those of its windows."""
-    words, counts = left.column("words")[0].as_py(), left.column("counts")[0].as_py()
+    words, counts = (left.column(n).combine_chunks().flatten() for n in ("words", "counts"))
     codes, at = window_codes(words, order)
     known = right.column("code").to_numpy()
-    by = np.argsort(known, kind="stable")
+    by = np.argsort(known)  # different windows
     lp = right.column("lp").to_numpy()[by][np.searchsorted(known[by], codes)]
-    return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts, pa.int64()), "lp": np.bincount(at, lp, len(words))})
+    return pa.table({"word": words, "c": counts, "lp": np.bincount(at, lp, len(words))})
 
 
 # --- contexts of the word before ---------------------------------------------------------------------
@@ -244,7 +278,8 @@ def _to_columns(batches, hashes: tuple[str, ...] = ()):
         table = pa.Table.from_batches(held)
         of, at = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.int64)
         values = [table.column(k).to_numpy().view(np.int64) for k in range(2, table.num_columns)]
-        by = np.lexsort((at, of))
+        chunks = np.unique(of)
+        by, _ = _ordered(np.searchsorted(chunks, of) << 31 | at)  # a place is below 2**31
         starts = np.flatnonzero(np.r_[True, np.diff(of[by]) != 0])
         rows = []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
@@ -303,6 +338,16 @@ def _different(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return both[new], at
 
 
+def _ordered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of whole numbers from 0 on, and these in it; sorted with their places in the low bits, where both fit."""
+    low = max(1, (len(code) - 1).bit_length())
+    if len(code) and int(code.max()) >> 63 - low:
+        order = np.argsort(code, kind="stable")
+        return order, code[order]
+    both = np.sort(code << low | np.arange(len(code)))
+    return both & (1 << low) - 1, both >> low
+
+
 def _dealt(hv: np.ndarray, part: np.ndarray, blocks: int) -> np.ndarray:
     """The block of a word before, or of one part of a frequent one."""
     with np.errstate(over="ignore"):
@@ -449,7 +494,12 @@ def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int,
         bodies = answers.column("body")
         if len(by_block):
             total[p.order] = np.concatenate([unpacked(bodies[int(k)].as_py()) for k in by_block]).astype(np.int64)
-        q = np.array([escape.get(k, 0.5) for k in zip(bucket(p.c).tolist(), bucket(kinds).tolist(), strict=True)])
+        by_c, by_kinds = bucket(p.c), bucket(kinds)
+        table = np.full((int(by_c.max(initial=0)) + 1, int(by_kinds.max(initial=0)) + 1), 0.5)
+        for (a, b), value in escape.items():
+            if a < table.shape[0] and b < table.shape[1]:
+                table[a, b] = value
+        q = table[by_c, by_kinds]
         free = np.log10(np.maximum(1 - mass / max(n, 1) * (1 - first), 1e-12))
         lower = np.log10(q)[p.v] + alone[p.w] - free[p.v]
         pair = np.where(kinds[p.v] == 0, alone[p.w], np.where(total > 0, np.log10(np.maximum(total, 1) / np.maximum(p.c[p.v], 1) * (1 - q[p.v])), lower))
@@ -458,8 +508,7 @@ def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int,
     doc = np.repeat(np.arange(len(sizes)), sizes)
     # how often the token stood in its text before, and how many tokens did
     key = doc * max(size, 1) + body
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    order, key = _ordered(key)
     begins = np.r_[True, key[1:] != key[:-1]] if len(body) else np.zeros(0, bool)
     run = np.arange(len(body)) - np.maximum.accumulate(np.where(begins, np.arange(len(body)), 0))
     before = np.empty(len(body), np.int64)

@@ -558,6 +558,38 @@ def test_ppm_against_brute_force(spark, order, monkeypatch):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
+def test_chunks_take_rows_by_the_batch_and_hold_their_tokens():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "B", "Éé", "中", "\x00", " ", "\t", "\x0b", "\x0c\r\n", "\x1c", "\x85", "\xa0"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts[5:9] = [None, "", "  ", "x" * 5000]
+    held = [i % 5 == 1 for i in range(300)]
+    rows = pa.record_batch([pa.array(range(300)), pa.array(held), pa.array(texts)], names=["id", "held", "text"])
+    now = ppm._Chunk()
+    for s, e in ((0, 0), (0, 7), (7, 8), (8, 300)):
+        part = rows.slice(s, e - s)
+        now.add_rows(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2))
+    out = now.batch()
+    get = lambda n: out.column(n)[0].as_py()
+    want = [ppm.tokens(t) for t in texts]
+    body = np.frombuffer(get("low"), "<u2") + (np.frombuffer(get("high"), "<u2").astype(np.int64) << 16)
+    assert [get("words")[k] for k in body] == list(itertools.chain.from_iterable(want)) and get("sizes") == [len(t) for t in want]
+    counts = collections.Counter(itertools.chain.from_iterable(t for t, h in zip(want, held) if not h))
+    assert len(set(get("words"))) == len(get("words")) and get("counts") == [counts[w] for w in get("words")]
+    # the vocabulary's windows, from the arrays that Arrow brings
+    words, n = get("words"), 23
+    batch = pa.record_batch([pa.array(words, pa.binary()), pa.array(range(len(words)))], names=["word", "c"])
+    shelves = pa.Table.from_batches(ppm._to_shelves(iter([batch.slice(0, n), batch.slice(n), batch.slice(0, 0)]), 2))
+    found = collections.Counter()
+    for c, w in enumerate(words):
+        x = b" " + w + (b"" if w == ppm.END else b" ")
+        for i in range(1, len(x)):
+            found[min(i, 2) + 1 << 56 | int.from_bytes(x[max(0, i - 2) : i + 1], "big")] += c
+    assert dict(zip(shelves.column("codes")[0].as_py(), shelves.column("weights")[0].as_py())) == found
+    order, sorted_ = ppm._ordered(np.array([5, 0, 2**62, 5, 0]))
+    assert order.tolist() == [1, 4, 0, 3, 2] and sorted_.tolist() == [0, 0, 5, 5, 2**62]
+    assert [x.tolist() for x in ppm._ordered(np.array([3, 1, 3, 0]))] == [[3, 1, 0, 2], [0, 1, 3, 3]]
+
+
 def test_hot_words_before_are_dealt_to_several_blocks_and_give_the_same():
     rng = np.random.default_rng(3)
     words = [f"w{k}".encode() for k in range(50)]
