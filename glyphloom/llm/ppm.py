@@ -17,7 +17,7 @@ from .common import Scratch, parts, release
 #: The end of a text is a token of this one byte, which no UTF-8 text holds.
 END = b"\xff"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: A chunk of texts ends with the part of a batch that brings so many different words or bytes, whichever comes first.
+#: A chunk of texts ends before a part of a batch like the last one would bring it beyond so many different words or bytes.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 16 << 20
 #: A shelf of the vocabulary has so many words.
 SHELF_WORDS = 400_000
@@ -48,6 +48,7 @@ class _Chunk:
     def __init__(self):
         self.ids, self.held, self.sizes, self.body, self.bytes = [], [], [], [], 0
         self.words = pa.array([END], pa.large_binary())
+        self.last = 0, 0
 
     def add(self, doc_id, held: bool, text: str | None) -> None:
         self.add_rows([doc_id], [held], pa.array([(text or "").encode("utf-8", "replace")], pa.binary()).cast(pa.string()))
@@ -68,6 +69,7 @@ class _Chunk:
         both = pa.concat_arrays([self.words, own.dictionary.cast(pa.large_binary()).filter(pa.array(used))]).dictionary_encode()
         number = np.zeros(len(used), np.uint32)
         number[used] = both.indices.to_numpy()[len(self.words) :]
+        self.last = len(both.dictionary) - len(self.words), len(data)
         self.words = both.dictionary
         body = np.zeros(len(found) + len(sizes), np.uint32)
         word = np.ones(len(body), bool)
@@ -80,7 +82,7 @@ class _Chunk:
         self.bytes += len(data)
 
     def full(self) -> bool:
-        return len(self.words) >= CHUNK_WORDS or self.bytes >= CHUNK_BYTES
+        return len(self.words) + self.last[0] > CHUNK_WORDS or self.bytes + self.last[1] > CHUNK_BYTES
 
     def batch(self) -> pa.RecordBatch:
         body = np.concatenate(self.body)
@@ -98,7 +100,7 @@ class _Chunk:
 
 def _to_chunks(batches):
     now = _Chunk()
-    for batch in parts(batches, 2, 4 << 20):
+    for batch in parts(batches, 2):
         now.add_rows(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
         if now.full():
             yield now.batch()
@@ -344,8 +346,12 @@ def _ordered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(code) and int(code.max()) >> 63 - low:
         order = np.argsort(code, kind="stable")
         return order, code[order]
-    both = np.sort(code << low | np.arange(len(code)))
-    return both & (1 << low) - 1, both >> low
+    both = code << low
+    both |= np.arange(len(code))
+    both.sort()
+    order = both & (1 << low) - 1
+    both >>= low
+    return order, both
 
 
 def _dealt(hv: np.ndarray, part: np.ndarray, blocks: int) -> np.ndarray:
@@ -504,16 +510,20 @@ def _scored(left: pa.Table, right: pa.Table, adapt: float, blocks: int, n: int,
         lower = np.log10(q)[p.v] + alone[p.w] - free[p.v]
         pair = np.where(kinds[p.v] == 0, alone[p.w], np.where(total > 0, np.log10(np.maximum(total, 1) / np.maximum(p.c[p.v], 1) * (1 - q[p.v])), lower))
     lp = pair[p.at]
+    del total, lower, pair, alone, words, answers, right
+    p.v = p.w = p.hv = p.hw = p.block = p.order = p.seen = p.at = None
     body, sizes = p.body, p.sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     # how often the token stood in its text before, and how many tokens did
-    key = doc * max(size, 1) + body
-    order, key = _ordered(key)
+    order, key = _ordered(doc * np.int64(max(size, 1)) + body)
     begins = np.r_[True, key[1:] != key[:-1]] if len(body) else np.zeros(0, bool)
-    run = np.arange(len(body)) - np.maximum.accumulate(np.where(begins, np.arange(len(body)), 0))
+    del key
+    place = np.arange(len(body))
+    run = place - np.maximum.accumulate(np.where(begins, place, 0))
     before = np.empty(len(body), np.int64)
     before[order] = run
-    begun = np.arange(len(body)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    del order, run, begins
+    begun = place - np.repeat(np.cumsum(sizes) - sizes, sizes)
     price = np.log10((before + adapt * 10**lp) / (begun + adapt)) if adapt else lp
     return pa.table({
         "doc_id": pa.array(row.column("doc_ids")[0].as_py(), pa.int64()),

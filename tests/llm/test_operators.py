@@ -558,7 +558,7 @@ def test_ppm_against_brute_force(spark, order, monkeypatch):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
-def test_chunks_take_rows_by_the_batch_and_hold_their_tokens():
+def test_chunks_take_rows_by_the_batch_and_hold_their_tokens(monkeypatch):
     rng = random.Random(4)
     texts = ["".join(rng.choice(["a", "B", "Éé", "中", "\x00", " ", "\t", "\x0b", "\x0c\r\n", "\x1c", "\x85", "\xa0"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
     texts[5:9] = [None, "", "  ", "x" * 5000]
@@ -575,6 +575,11 @@ def test_chunks_take_rows_by_the_batch_and_hold_their_tokens():
     assert [get("words")[k] for k in body] == list(itertools.chain.from_iterable(want)) and get("sizes") == [len(t) for t in want]
     counts = collections.Counter(itertools.chain.from_iterable(t for t, h in zip(want, held) if not h))
     assert len(set(get("words"))) == len(get("words")) and get("counts") == [counts[w] for w in get("words")]
+    # no chunk goes beyond its bytes, however the batch ends
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 5 << 20)
+    long = pa.record_batch([pa.array(range(4000)), pa.array([False] * 4000), pa.array([f"{i} " + "ab c " * 1000 for i in range(4000)])], names=["id", "held", "text"])
+    sizes = [sum(c.column("sizes")[0].as_py()) for c in ppm._to_chunks(iter([long]))]
+    assert sum(sizes) == 4000 * 2002 and max(sizes) * 2.5 <= 5 << 20
     # the vocabulary's windows, from the arrays that Arrow brings
     words, n = get("words"), 23
     batch = pa.record_batch([pa.array(words, pa.binary()), pa.array(range(len(words)))], names=["word", "c"])
