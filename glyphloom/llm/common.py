@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import uuid
@@ -9,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +59,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame, collect: bool = True) -> None:
         """Deletes tables. Spark's cleaner then frees the shuffle files of writes that have ended, whose plans only the
-        driver's garbage still holds, and the last one's its scheduler, until another job comes."""
+        driver's garbage still holds, and the last one's its scheduler, until another job comes. What the driver's JVM has freed
+        goes back to the system."""
         for table in tables:
             path, held = self.paths.pop(id(table), (None, None))
             if held is not None and not path:
@@ -69,6 +72,22 @@ class Scratch:
             self.spark.range(1).collect()
             gc.collect()  # Python's handles on the plans go first
             self.spark._jvm.System.gc()
+        trim(self.spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Gives native memory that the driver's JVM has freed back to the system, where the JVM can (HotSpot's jcmd command).
+
+    Each plan is compiled in native memory, outside the heap. The allocator keeps what is freed there in pieces, so the driver
+    grows by every plan of a long session.
+    """
+    java, new = spark._jvm.java, spark.sparkContext._gateway.new_array
+    with contextlib.suppress(Py4JError):
+        # by reflection, since Py4J finds no method of the server's own class, which is not public
+        call = next(m for m in java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = new(java.lang.Object, 4)
+        args[0], args[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
 
 
 def salts(rows: int, per_salt: int = 20_000, least: int = 64) -> int:

@@ -183,6 +183,25 @@ def test_components(spark):
     assert out == {v: find(v) for v in linked}
 
 
+def test_dropped_tables_take_what_the_driver_freed_with_them(spark):
+    """Native memory freed in pieces, with some in use between them, goes back to the system; the heap does not matter here."""
+    pid = spark._jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getName().split("@")[0]
+
+    def held_mb():
+        with open(f"/proc/{pid}/status") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("VmRSS")) >> 10
+
+    packers = [spark._jvm.java.util.zip.Deflater() for _ in range(600)]
+    for k, packer in enumerate(packers):
+        if k % 20:
+            packer.end()
+    before = held_mb()
+    common.Scratch(spark, "t").drop(collect=False)
+    assert held_mb() < before - 40
+    for packer in packers[::20]:
+        packer.end()
+
+
 def test_links_of_a_large_group_become_a_forest(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(3000)] + [(100 + k, 101 + k) for k in range(30)] + [(-5, 7)]
