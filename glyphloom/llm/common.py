@@ -114,7 +114,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), for nodes that have an edge.
 
     Alternates the large-star and small-star steps until nothing changes; each round is one written table of links, so no
-    node's neighbours are ever gathered in one row, and hubs only meet in aggregates and joins.
+    node's neighbours are ever gathered in one row, and hubs only meet in aggregates and joins. A round's shuffle files go with its table:
+    each has a file or three for every task, however few the links.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
@@ -128,7 +129,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.keep(small, "links")
         # the count and two independent sums of hashes tell whether the set of links changed
         state = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        scratch.drop(now, collect=False)
+        scratch.drop(now)
         now = after
         if state == seen:
             break

@@ -492,8 +492,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     known = scratch.hold(rows.mapInArrow(hashed, "id long, key binary, node long, digest long, prints array<long>"))
     keyed = known.dropDuplicates(["digest"]).select("prints").mapInArrow(explode, "key long, p0 long, p1 long")
-    linked = scratch.hold(bucket_links(keyed, most, total, scratch, hold=True))
-    roots = components(contracted(linked), scratch).withColumnRenamed("node", "_node")
+    had = {id(t) for t in scratch.tables()}
+    trees = scratch.keep(contracted(scratch.hold(bucket_links(keyed, most, total, scratch, hold=True))), "trees")
+    # the keys' shuffle files and what was scanned go before the rounds
+    scratch.drop(*(t for t in scratch.tables() if id(t) not in had and t is not trees))
+    roots = components(trees, scratch).withColumnRenamed("node", "_node")
     # one row for each different shingle set, with the row that stands for it
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     sets = known.groupBy("digest", "node").agg(first)

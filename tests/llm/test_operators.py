@@ -202,6 +202,22 @@ def test_dropped_tables_take_what_the_driver_freed_with_them(spark):
         packer.end()
 
 
+def test_rounds_of_components_leave_no_files_of_earlier_ones(spark, monkeypatch):
+    """The scanned buckets are gone when components begin, and each round frees its shuffle files."""
+    held, freed, components, drop = [], [], common.components, common.Scratch.drop
+
+    def begin(edges, scratch):
+        held.append([path for path, _ in scratch.paths.values() if path is None])
+        monkeypatch.setattr(common.Scratch, "drop", lambda self, *tables, collect=True: freed.append(collect) or drop(self, *tables, collect=collect))
+        return components(edges, scratch)
+
+    monkeypatch.setattr(simhash, "components", begin)
+    words = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*words[:40], f"x{i}", *words[40:]])) for i in range(6)]
+    assert [r["doc_id"] for r in simhash.drop_near_copies(docs_of(spark, rows)).collect()] == [0]
+    assert [len(x) for x in held] == [1] and len(freed) > 2 and all(freed)
+
+
 def test_links_of_a_large_group_become_a_forest(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(3000)] + [(100 + k, 101 + k) for k in range(30)] + [(-5, 7)]
