@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -142,16 +144,21 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: Fingerprints of a near copy's search, and the plain bits beside the codeword in each of their 32-bit halves: at a Jaccard similarity of
 #: 0.8 two halves share a key with probability 0.268 or more, so a pair shares none of 34 with probability 2.4e-5.
 PRINTS, PLAIN = 17, 5
+#: Further fingerprints, of which no key is made: what pairs that share a key are compared by. Two unrelated sets that share a key are alike in the
+#: key's own bits, so a comparison by these would let a share of such pairs through whose number grows with the square of the documents'.
+CHECKS = 3
+#: Keys are made of so many fingerprints at a time, so that the shuffle files of some go before others come.
+AT_ONCE = 9
 #: Byte -> its bits as the bytes of one number.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """PRINTS independent fingerprints of one set: the majority of its hashes, of their second hashes and so on."""
-    words = np.empty((len(hashes), PRINTS), np.uint64)
-    for k in range(PRINTS):
+def fingerprints(hashes: np.ndarray, n: int = PRINTS) -> np.ndarray:
+    """n independent fingerprints of one set: the majority of its hashes, of their second hashes and so on."""
+    words = np.empty((len(hashes), n), np.uint64)
+    for k in range(n):
         words[:, k], hashes = hashes, _mixed(hashes)
-    raw, ones = words.astype("<u8").view(np.uint8), np.zeros(64 * PRINTS, np.int64)
+    raw, ones = words.astype("<u8").view(np.uint8), np.zeros(64 * n, np.int64)
     for at in range(0, len(raw), 255):
         ones += _SPREAD[raw[at : at + 255]].sum(0).view(np.uint8)
     return np.packbits(2 * ones > len(words), bitorder="little").view(np.uint64)
@@ -232,9 +239,6 @@ def link(prints: np.ndarray, other: np.ndarray | None, most: int, total: int) ->
     return [(x, low[parent[v]]) for v, x in enumerate(values) if x != low[parent[v]]]
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-
-
 def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
@@ -266,17 +270,18 @@ def _close(value: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int, t
     return pair[one, 0], pair[one, 1], np.flatnonzero(hits > 1)
 
 
-def _scan_buckets(batches, most: int, total: int, block: int):
-    """Sorted (key, fingerprints) rows -> links; the rows of a bucket over ``block`` come out as they are, with their key."""
+def _scan_buckets(batches, most: int, total: int, block: int, names: list[str]):
+    """Sorted (key, fingerprints) rows -> links, the first two of ``names``; the rows of a bucket over ``block`` come out as they are, with their key."""
     tail_key, tail = None, None
     over = False
 
     def out(pairs: list[tuple[int, int]], held: np.ndarray | None, key):
-        a, b = (np.array([p[i] for p in pairs], np.uint64) for i in (0, 1)) if pairs else (np.zeros(0, np.uint64),) * 2
-        more = 0 if held is None else len(held)
+        n, more = len(pairs), 0 if held is None else len(held)
+        rows = np.zeros((n + more, len(names)), np.uint64)
+        rows[:n, :2] = np.array(pairs, np.uint64).reshape(-1, 2)
         if more:
-            a, b = np.concatenate([a, held[:, 0]]), np.concatenate([b, held[:, -1]])
-        return pa.record_batch([pa.array(_signed(a)), pa.array(_signed(b)), pa.array([None] * len(pairs) + [key] * more, pa.int64())], schema=_LINKS)
+            rows[n:, : held.shape[1]] = held
+        return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in _signed(rows).T), pa.array([None] * n + [key] * more, pa.int64())], names=[*names, "key"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -349,10 +354,11 @@ def bucket_links(keyed: DataFrame, most: int, total: int, scratch: Scratch, bloc
     that share a key and are within ``most`` bits in each fingerprint and ``total`` in all. hold: what was scanned is held, not written."""
     columns = keyed.columns[1:]
     by = keyed.columns[0]
-    scanned = keyed.repartition(by).sortWithinPartitions(by, *columns).mapInArrow(lambda b: _scan_buckets(b, most, total, block), "a long, b long, key long")
+    names = [f"c{k}" for k in range(max(2, len(columns)))]
+    scanned = keyed.repartition(by).sortWithinPartitions(by, *columns).mapInArrow(lambda b: _scan_buckets(b, most, total, block, names), ", ".join(f"{n} long" for n in [*names, "key"]))
     scanned = scratch.hold(scanned) if hold else scratch.keep(scanned, "scan")
-    direct = scanned.where("key IS NULL").select("a", "b")
-    held = scanned.where("key IS NOT NULL").select("key", *(F.col(n).alias(c) for n, c in zip("ab", columns, strict=False)))
+    direct = scanned.where("key IS NULL").select(F.col("c0").alias("a"), F.col("c1").alias("b"))
+    held = scanned.where("key IS NOT NULL").select("key", *(F.col(n).alias(c) for n, c in zip(names, columns, strict=False)))
     blocks = held.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     dealt = held.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64(*columns), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
@@ -393,6 +399,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Documents of a candidate component that one task compares; of a larger one, two blocks of so many at a time.
 TOGETHER = 1024
+#: A round compares blocks that are so many numbers of places apart in a ring, so no round has more than twice as many copies of a row, however large a component.
+APART = 4
 
 
 def near_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -448,20 +456,32 @@ def _verified(pdf, similarity: float):
     return pd.DataFrame({"a": digest[on], "b": digest[label[on]]})
 
 
+def block_pairs(large: DataFrame, block: int, first: int) -> DataFrame:
+    """(root, digest, shingles, i, j): the members of components of n > ``block`` in each pair (i, j) of their blocks that are ``first`` to
+    ``first`` + APART - 1 places apart in the ring of a component's blocks. All pairs come once as ``first`` goes from 1 in steps of APART."""
+    n = F.ceil(F.col("n") / block).cast("int")
+    last = F.least(F.lit(first + APART - 1), F.floor(n / 2).cast("int"))
+    dealt = large.where(F.lit(first) <= last).withColumn("mine", F.pmod(F.xxhash64("digest"), n).cast("int"))
+    apart = F.sequence(F.lit(first), last)
+    others = F.array_distinct(F.concat(F.transform(apart, lambda d: F.pmod(F.col("mine") + d, n)), F.transform(apart, lambda d: F.pmod(F.col("mine") - d, n))))
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("root", "digest", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
 def text_key(text) -> object:
     """A text's SHA-256 as bytes; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER, total: int = 38, scratch: Scratch | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 26, block: int = TOGETHER, total: int = 57, scratch: Scratch | None = None) -> DataFrame:
     """(id, text_key, keep_id, keep_key): of each group of near copies all rows but those of the text that stays, and that one.
 
     Groups are the components of the pairs with at least ``similarity`` of their different word shingles in common (exact
     Jaccard similarity): a document goes even where only a chain of such pairs leads to the one that stays, which is that of the
     smallest id (null ids come last; of equal ids the smaller text key).
-    Candidates: documents that share a wide Golay key of one of PRINTS fingerprints of their different shingles, and the first two of
-    whose fingerprints are within ``most`` bits each and ``total`` together (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
-    different shingle sets are compared exactly, over ``block`` of them in pairs of blocks, and components are taken
+    Candidates: documents that share a wide Golay key of one of PRINTS fingerprints of their different shingles, and whose CHECKS further
+    fingerprints are within ``most`` bits each and ``total`` together (about 10 of 64 differ at a similarity of 0.8). In each component of candidates the
+    different shingle sets are compared exactly, over ``block`` of them in pairs of blocks, some pairs a round, and components are taken
     again. Rows are told apart by id and text, so ids may repeat or be null. Null and empty texts have no shingles and are alike.
     The links of candidates are contracted to forests first, since each of a text's keys may lead a large group's members to another one.
     scratch: holds the tables between, for a caller that drops them when it has written the result.
@@ -473,30 +493,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def hashed(batches):
         for batch in parts(batches, 2):
-            values, digests = np.zeros((batch.num_rows, PRINTS), np.uint64), np.zeros(batch.num_rows, np.uint64)
+            values, digests = np.zeros((batch.num_rows, PRINTS + CHECKS), np.uint64), np.zeros(batch.num_rows, np.uint64)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 hashes = np.unique(shingle_hashes(text, shingle, 42))
-                values[k] = fingerprints(hashes)
+                values[k] = fingerprints(hashes, PRINTS + CHECKS)
                 digests[k] = xxh64_intdigest(hashes.tobytes(), 42)
-            made = [pa.array(_signed(v)) for v in (nodes(values[:, :2]), digests)]
+            made = [pa.array(_signed(v)) for v in (nodes(values[:, PRINTS:]), digests)]
             yield pa.record_batch([*batch.columns[:2], *made, pa.array(list(_signed(values)), pa.list_(pa.int64()))], names=["id", "key", "node", "digest", "prints"])
 
-    def explode(batches):
-        for batch in batches:
-            value = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, PRINTS).view(np.uint64)
-            for at in range(0, len(value), 1024):
-                part = value[at : at + 1024]
-                key, row = wide_keys(part)
-                yield pa.record_batch([pa.array(key), *(pa.array(part[row, c].view(np.int64)) for c in (0, 1))], names=["key", "p0", "p1"])
+    checks = [f"p{k}" for k in range(CHECKS)]
+
+    def exploded(first: int):
+        def explode(batches):
+            for batch in batches:
+                value = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, PRINTS + CHECKS).view(np.uint64)
+                for at in range(0, len(value), 1024):
+                    part = value[at : at + 1024]
+                    key, row = wide_keys(part[:, first : min(first + AT_ONCE, PRINTS)])
+                    yield pa.record_batch([pa.array(key), *(pa.array(part[row, c].view(np.int64)) for c in range(PRINTS, PRINTS + CHECKS))], names=["key", *checks])
+
+        return explode
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     known = scratch.hold(rows.mapInArrow(hashed, "id long, key binary, node long, digest long, prints array<long>"))
-    keyed = known.dropDuplicates(["digest"]).select("prints").mapInArrow(explode, "key long, p0 long, p1 long")
-    had = {id(t) for t in scratch.tables()}
-    trees = scratch.keep(contracted(scratch.hold(bucket_links(keyed, most, total, scratch, hold=True))), "trees")
-    # the keys' shuffle files and what was scanned go before the rounds
-    scratch.drop(*(t for t in scratch.tables() if id(t) not in had and t is not trees))
-    roots = components(trees, scratch).withColumnRenamed("node", "_node")
+    distinct = scratch.keep(known.dropDuplicates(["digest"]).select("prints"), "distinct")
+    trees: list[DataFrame] = []
+    for first in range(0, PRINTS, AT_ONCE):
+        had = {id(t) for t in scratch.tables()}
+        keyed = distinct.mapInArrow(exploded(first), ", ".join(f"{c} long" for c in ["key", *checks]))
+        trees.append(scratch.keep(contracted(scratch.hold(bucket_links(keyed, most, total, scratch, hold=True))), "trees"))
+        # the keys' shuffle files and what was scanned go before the next keys and the rounds
+        scratch.drop(*(t for t in scratch.tables() if id(t) not in had and t is not trees[-1]), *([distinct] if first + AT_ONCE >= PRINTS else []))
+    roots = components(reduce(DataFrame.unionByName, trees), scratch).withColumnRenamed("node", "_node")
     # one row for each different shingle set, with the row that stands for it
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     sets = known.groupBy("digest", "node").agg(first)
@@ -516,12 +544,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = scratch.keep(chosen.mapInArrow(shingled, "root long, digest long, n long, shingles array<long>").dropDuplicates(["root", "digest"]), "left")
     pairs = scratch.keep(left.where(F.col("n") <= block).groupBy("root").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long"), "pairs")
     large = left.where(F.col("n") > block)
-    if large.limit(1).count():
-        n = F.ceil(F.col("n") / block).cast("int")
-        dealt = large.withColumn("mine", F.pmod(F.xxhash64("digest"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).where("mine <> other")
-        dealt = dealt.select("root", "digest", "shingles", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        across = scratch.hold(dealt.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long"))
-        pairs = pairs.unionByName(components(contracted(across), scratch).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    blocks = -(-(large.agg(F.max("n")).first()[0] or 0) // block)
+    if blocks:
+        across: list[DataFrame] = []
+        for first in range(1, blocks // 2 + 1, APART):
+            found = block_pairs(large, block, first).groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, similarity), "a long, b long")
+            held = scratch.hold(found)
+            across.append(scratch.keep(contracted(held), "across"))
+            scratch.drop(held)
+        pairs = pairs.unionByName(components(reduce(DataFrame.unionByName, across), scratch).select(F.col("node").alias("a"), F.col("root").alias("b")))
     grouped = sets.join(pairs.withColumnRenamed("a", "digest"), "digest", "left").select("digest", "first", F.coalesce("b", "digest").alias("group"))
     stays = grouped.groupBy("group").agg(F.min("first").alias("stays"))
     judged = scratch.keep(grouped.join(stays, "group").select(F.col("digest").alias("_digest"), "stays"), "stays")

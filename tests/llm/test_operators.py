@@ -464,6 +464,35 @@ def test_wide_golay_keys_hold_pairs_at_the_threshold(size):
     assert len(shared & near) >= 998
 
 
+def test_unrelated_texts_are_no_candidates(spark, monkeypatch):
+    """Unrelated texts that share a key used to be compared by the key's own bits too, and their links' number grew with the square of the texts'."""
+    links, contracted = set(), common.contracted
+    monkeypatch.setattr(simhash, "contracted", lambda edges, *more: links.update(map(tuple, edges.collect())) or contracted(edges, *more))
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(25))) for k in range(8000)]
+    rows.append((9000, f"{rows[7][1]} w1"))
+    out = simhash.near_copies(docs_of(spark, rows)).collect()
+    assert [(r["doc_id"], r["keep_id"]) for r in out] == [(9000, 7)]
+    assert len(links) == 1
+
+
+def test_rounds_of_blocks_hold_every_pair_once(spark):
+    """However large a component, a round copies a row to at most twice APART places."""
+    rows = [(root, d, n, [d]) for root, n in ((1, 150), (2, 41), (3, 12)) for d in range(n)]
+    large = spark.createDataFrame(rows, "root long, digest long, n long, shingles array<long>")
+    met = {}
+    for first in range(1, 8, simhash.APART):
+        dealt, copies = {}, {}
+        for r in simhash.block_pairs(large, 10, first).collect():
+            dealt.setdefault((r["root"], r["i"], r["j"]), set()).add(r["digest"])
+            copies[r["root"], r["digest"]] = copies.get((r["root"], r["digest"]), 0) + 1
+        assert max(copies.values()) <= 2 * simhash.APART and not set(dealt) & set(met)
+        met |= dealt
+    for root, n in ((1, 150), (2, 41), (3, 12)):
+        together = {(a, b) for (k, _, _), held in met.items() if k == root for a in held for b in held}
+        assert len(together) == n * n
+
+
 def test_near_pairs_of_buckets_against_all_pairs():
     rng = np.random.default_rng(3)
     value = rng.integers(0, 2**64, (60, 2), dtype=np.uint64)
