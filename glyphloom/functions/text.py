@@ -62,6 +62,23 @@ def sliding(df: DataFrame, keep: list[str], text: Column | str, size: int, heads
     return rows.select(*keep, start.alias("start"), w.alias("w"))
 
 
+def slices(batches, column: int, most: int = 2 << 20):
+    """The rows of Arrow batches in slices of about ``most`` bytes of a text column, which bounds a worker's Python objects; one text
+    is never divided. When the rows are over the worker gives free memory back."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.num_rows:
+            size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 16
+            part = np.cumsum(size) // most
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist()
+            for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                yield batch.slice(s, e - s)
+    pa.default_memory_pool().release_unused()
+
+
 def segments(lines_df: DataFrame, id_col: str = "doc_id", most: int = 4, seed: int = 222) -> DataFrame:
     """(id, seg_no, seg): runs of 1 to ``most`` lines, a length being as likely as it is large, newlines kept inside.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from ..functions.text import sliding
+from ..functions.text import sliding, slices
 from ..storage import kept
 from .neural import Scorer, predict, span_metrics
 from .ngram import NgramModel
@@ -290,7 +290,8 @@ def wrap_lines(texts: DataFrame, id_col: str, col: str, maxlength: int = 40, spl
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        # a text becomes many rows, each a Python object of several, so a few texts at a time
+        for batch in slices(batches, 1):
             rows = [(k, n, *x) for k, t in enumerate(batch.column(1).to_pylist()) for n, x in enumerate(y for line in (t or "").split("\n") for y in wrap_line(line, maxlength, split)) if t is not None]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=[id_col, "line_no", "line", "label"])
 

@@ -1,6 +1,7 @@
 """Dehyphenation, merging, evaluation, sampling, neural scoring."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphloom.functions import text
@@ -106,6 +107,19 @@ def test_wrapping_loses_nothing(spark):
     assert joined.split() == words.split()
 
 
+def test_wrapping_takes_a_few_texts_at_a_time(spark, monkeypatch):
+    """What a worker holds as Python objects does not grow with the rows of an Arrow batch."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["ab cd " * 100_000 if k == 7 else None if k == 8 else "ab cd " * 2000 for k in range(50)])], names=["id", "t"])
+    got = list(text.slices([batch.slice(0, 0), batch], 1, 50_000))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) and max(b.num_rows for b in got) <= 6
+    taken, df = [], spark.createDataFrame([(1, "x")], "id long, t string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: taken.append(run))
+    dehyphen.wrap_lines(df, "id", "t")
+    big = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["ab cd " * 2000] * 500)], names=["id", "t"])
+    made = list(taken[0]([big]))
+    assert len(made) > 2 and sum(b.num_rows for b in made) == 500 * len(dehyphen.wrap_line("ab cd " * 2000, 40))
+
+
 def test_report_by_hand(spark):
     rows = spark.createDataFrame([("1", "1")] * 8 + [("1", "3")] * 2 + [("3", "3")] * 3 + [("4", "1")], "gold string, pred string")
     out = {r["label"]: r for r in evaluate.report(evaluate.confusion(rows)).collect()}
