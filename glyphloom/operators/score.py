@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.charset import replace_unknown
-from ..functions.text import PAD, sliding
+from ..functions.text import PAD, slices, sliding
+from ..ship import ship
 from ..storage import kept
 from .ngram import NgramModel, build, distribution, estimate, ngram_counts
 
 #: Least probability in a logarithm.
 FLOOR = 1e-13
+#: Windows of up to so many characters are one number; up to so many different ones go to the workers with their scores.
+PACKED, MOST_WINDOWS = 3, 2_000_000
 #: A noncharacter, which no text holds.
 FILL = "\uffff"
 
@@ -41,14 +44,76 @@ def score(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bo
 
 
 def metrics(texts: DataFrame, id_col: str, col: str, model: NgramModel, padded: bool = False) -> DataFrame:
-    """(id, n, acc, ppl) of each text. Counts of distinct windows are aggregated before the model is joined.
+    """(id, n, acc, ppl) of each text. Counts of distinct windows are aggregated before the model is joined; short windows that
+    are not too many are scored once and sent to the texts instead, of which no window is then shuffled.
     Unseen characters as in ``score``."""
+    if not padded and model.n <= PACKED:
+        ship(texts.sparkSession)
+        rows = texts.select(id_col, col)
+        different = rows.select(col).mapInArrow(_windows(model.n), "gram string").distinct()
+        different = kept(different, "windows")
+        if different.count() <= MOST_WINDOWS:
+            return _sums(rows, id_col, _known(different, model), model.n)
     # written, since the model meets the different windows and then every row meets its window
     at = kept(positions(texts, id_col, col, model.n, padded).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("times")), "windows")
     rows = at.join(_known(at, model), "gram")
     return _metrics(rows, [id_col], _least("p"), F.col("best") == F.expr("right(masked, 1)"), F.col("times"))
 
 
+def _codes(values, n: int):
+    """(code, row) of every window of n characters of a text column."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(values), 0)).astype(np.int64)
+    chars = np.frombuffer("".join(v for v in values.to_pylist() if v).encode("utf-32-le"), "<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.flatnonzero(np.arange(len(chars)) + n <= np.cumsum(sizes)[row])
+    code = np.zeros(len(start), np.int64)
+    for k in range(n):
+        code = code << 21 | chars[start + k]
+    return code, row[start]
+
+
+def _windows(n: int):
+    """Texts -> the different windows of n characters of each slice."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in slices(batches, 0):
+            found = np.unique(_codes(batch.column(0), n)[0]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(chr(c >> 21 * k & 0x1FFFFF) for k in range(n - 1, -1, -1)) for c in found], pa.string())], names=["gram"])
+
+    return run
+
+
+def _sums(rows: DataFrame, id_col: str, known: DataFrame, n: int) -> DataFrame:
+    """``metrics`` of (id, text) by a table of all their windows' scores, which goes to the workers."""
+    import numpy as np
+
+    hit = F.coalesce(F.col("best") == F.expr("right(masked, 1)"), F.lit(False))
+    scored = known.select("gram", F.log2(_least("p")).alias("bits"), hit.alias("hit")).toArrow()
+    code = np.concatenate([_codes(part, n)[0] for part in scored.column(0).chunks] or [np.zeros(0, np.int64)])
+    order = np.argsort(code)
+    shared = rows.sparkSession.sparkContext.broadcast((code[order], np.asarray(scored.column(1))[order], np.asarray(scored.column(2)).astype(float)[order]))
+
+    def run(batches):
+        import pyarrow as pa
+
+        code, bits, hit = shared.value
+        for batch in slices(batches, 1):
+            mine, row = _codes(batch.column(1), n)
+            at, m = np.searchsorted(code, mine), batch.num_rows
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row, minlength=m), pa.int64()), *(pa.array(np.bincount(row, v[at], m)) for v in (hit, bits))], names=[id_col, "n", "hits", "bits"])
+            yield made.filter(pa.array(np.bincount(row, minlength=m) > 0))
+
+    parts = rows.mapInArrow(run, rows.select(id_col).schema.add("n", "long").add("hits", "double").add("bits", "double"))
+    total = F.sum("n")
+    return parts.groupBy(id_col).agg(total.cast("long").alias("n"), (F.sum("hits") / total).alias("acc"), F.pow(F.lit(2.0), -F.sum("bits") / total).alias("ppl"))
+
+
 def _known(at: DataFrame, model: NgramModel) -> DataFrame:
     """(gram, masked, p, k, best) of each different window; masking those is the same as masking the texts."""
     distinct = replace_unknown(at.select("gram").distinct(), "gram", model.alphabet(), "masked")
